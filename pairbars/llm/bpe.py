@@ -216,6 +216,19 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     return with_text(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary")
 
 
+def lengths(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id`` and ``n_tokens`` of every whole text, without its ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = load(tokenizer)
+        for batch in batches:
+            for part, texts in chunks(batch, size=2 << 20):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in bpe.encode(texts)], pa.int64())], ["doc_id", "n_tokens"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return with_text(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_tokens long")
+
+
 def decode(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """Turns ``ids`` back into text: adds ``decoded`` to the id, ``n_tokens`` and the ids. Null ids count as none."""
 
