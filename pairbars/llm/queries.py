@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pairbars.llm import bpe, lengths, quality, simhash, toxicity
+from pairbars.llm import bpe, lengths, pii, quality, simhash, toxicity
 from pairbars.llm.work import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -34,6 +34,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts, digest of the base spans, and all spans."""
+    docs = table(spark, sf_dir, "documents")
+    return pii.digests(pii.find(docs, pii.train(docs)))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score of every document, learnt from the labels outside the held-out fold."""
     docs = table(spark, sf_dir, "documents")
@@ -45,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_bpe": op3_bpe,
     "op4_simhash": op4_simhash,
+    "op5_pii": op5_pii,
     "op6_toxicity": op6_toxicity,
 }
 
