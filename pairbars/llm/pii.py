@@ -341,11 +341,14 @@ def all_spans(texts: list[str], net: Network | None) -> list[list[tuple[int, int
     added = network_spans(texts, net) if net else [[] for _ in texts]
     for text, more in zip(texts, added, strict=True):
         spans = [(*s, True) for s in base_spans(text)]
-        taken = [(a, b) for _, a, b, _ in spans]
-        for kind, a, b in more:
-            if b - a >= 7 and _ANCHOR.search(text, a, b) and not any(a < y and x < b for x, y in taken):
-                spans.append((kind, a, b, False))
-                taken.append((a, b))
+        if more:
+            taken = np.zeros(len(text), bool)
+            for _, a, b, _ in spans:
+                taken[a:b] = True
+            for kind, a, b in more:
+                if b - a >= 7 and _ANCHOR.search(text, a, b) and not taken[a:b].any():
+                    spans.append((kind, a, b, False))
+                    taken[a:b] = True
         out.append(sorted(spans))
     return out
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pairbars.llm import bpe, lengths, pii, quality, simhash, toxicity
+from pairbars.llm import bpe, lengths, pii, quality, rules, simhash, toxicity
 from pairbars.llm.work import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -46,6 +46,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and the cascade's verdict for every document."""
+    return rules.judge(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_token_counts": op2_token_counts,
@@ -53,6 +58,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_pii": op5_pii,
     "op6_toxicity": op6_toxicity,
+    "op8_rules": op8_rules,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_rules": rules.SQL,
+}
