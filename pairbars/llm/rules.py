@@ -60,9 +60,7 @@ def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     symbols = F.when(F.col("text").rlike(f"[{SYMBOLS}]"), F.length(F.regexp_replace("text", f"[^{SYMBOLS}]+", "")))
     long = lambda c, name: F.coalesce(c.cast("long"), F.lit(0).cast("long")).alias(name)
     rows = rows.withColumn("lines", lines)
-    return rows.select(
-        "doc_id",
-        "text",
+    counts = F.struct(
         long(F.size("words"), "n_words"),
         long(F.length(F.array_join("words", "")), "word_chars"),
         long(symbols, "n_symbols"),
@@ -70,6 +68,8 @@ def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         long(F.size("lines") - F.size(F.array_distinct("lines")), "n_dup_lines"),
         long(repeated, "n_repeat_words"),
     )
+    # a generator keeps later filters on the counts from being pushed into the functions above, which would then run for each element
+    return rows.select("doc_id", "text", F.inline(F.array(counts)))
 
 
 def base_failed() -> Column:
@@ -121,8 +121,8 @@ def judge(docs: DataFrame, rules: Sequence[Rule] | None = None, id_col: str = "d
     keyed = with_text(docs, id_col, text_col).withColumn("h", F.xxhash64("doc_id"))
     ids = keyed.select("h").distinct().orderBy("h").limit(sample_rows)
     sample = counted(keyed.join(F.broadcast(ids), "h").select("doc_id", "text"))
-    sample = written(sample.filter(~base_failed()).coalesce(1), work_dir(docs.sparkSession), "sample")
-    order = [rule for rule, _, _ in ordered(rules, sample)]
+    sample = written(sample.coalesce(1), work_dir(docs.sparkSession), "sample")
+    order = [rule for rule, _, _ in ordered(rules, sample.filter(~base_failed()))]
     rows = counted(docs, id_col, text_col).withColumn("base_failed", base_failed())
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.when(F.col("base_failed"), F.lit(False)).otherwise(cascade(order)).alias("kept"))
 
@@ -130,12 +130,12 @@ def judge(docs: DataFrame, rules: Sequence[Rule] | None = None, id_col: str = "d
 SQL = r"""
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
-             list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
 p AS (SELECT r, unnest(words) AS word, unnest(range(len(words))) AS i FROM w),
-g AS (SELECT r, i, [word, lead(word, 1) OVER q, lead(word, 2) OVER q, lead(word, 3) OVER q, lead(word, 4) OVER q] AS five,
-             lead(word, 4) OVER q AS fifth FROM p WINDOW q AS (PARTITION BY r ORDER BY i)),
-d AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, five) AS n FROM g WHERE fifth IS NOT NULL) WHERE n > 1),
-e AS (SELECT r, count(DISTINCT i + k) AS n FROM d, range(5) AS x(k) GROUP BY r),
+g AS (SELECT r, i, word || ' ' || lead(word, 1) OVER q || ' ' || lead(word, 2) OVER q || ' ' || lead(word, 3) OVER q || ' ' || lead(word, 4) OVER q AS five
+      FROM p WINDOW q AS (PARTITION BY r ORDER BY i)),
+f AS (SELECT r, five FROM g WHERE five IS NOT NULL GROUP BY r, five HAVING count(*) > 1),
+e AS (SELECT r, count(DISTINCT i + k) AS n FROM g JOIN f USING (r, five), range(5) AS x(k) GROUP BY r),
 c AS (SELECT w.r, doc_id, text, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
              length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(lines) AS n_lines,
              len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(e.n, 0) AS n_repeat_words
