@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pairbars.llm import bpe, lengths, pii, quality, rules, simhash, toxicity
+from pairbars.llm import bpe, contamination, lengths, pii, quality, rules, simhash, toxicity
 from pairbars.llm.work import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -51,6 +51,11 @@ def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op10_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document."""
+    return contamination.digests(contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_token_counts": op2_token_counts,
@@ -59,8 +64,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pii": op5_pii,
     "op6_toxicity": op6_toxicity,
     "op8_rules": op8_rules,
+    "op10_contamination": op10_contamination,
 }
 
 SQL: dict[str, str] = {
     "op8_rules": rules.SQL,
+    "op10_contamination": contamination.SQL,
 }
