@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pairbars.llm import bpe, contamination, lengths, pii, quality, rules, simhash, toxicity
+from pairbars.llm import bpe, contamination, lengths, pii, quality, rules, simhash, spans, toxicity
 from pairbars.llm.work import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -46,6 +46,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document in strings of 400 bytes that occur more than once."""
+    return spans.digests(spans.repeated_spans(table(spark, sf_dir, "documents")))
+
+
 def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and the cascade's verdict for every document."""
     return rules.judge(table(spark, sf_dir, "documents"))
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_pii": op5_pii,
     "op6_toxicity": op6_toxicity,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_rules": op8_rules,
     "op10_contamination": op10_contamination,
 }
