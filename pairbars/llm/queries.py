@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pairbars.llm import bpe, contamination, lengths, pii, quality, rules, simhash, spans, toxicity
+from pairbars.llm import bpe, contamination, lengths, licences, pii, quality, rules, simhash, spans, toxicity
 from pairbars.llm.work import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -56,6 +56,12 @@ def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Own and inherited licence of every document, in a tree of sources and languages."""
+    docs = licences.document_paths(table(spark, sf_dir, "documents"))
+    return licences.scan(docs, licences.default_templates(spark))
+
+
 def op10_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in every document."""
     return contamination.digests(contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
@@ -70,10 +76,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_rules": op8_rules,
+    "op9_licences": op9_licences,
     "op10_contamination": op10_contamination,
 }
 
 SQL: dict[str, str] = {
     "op8_rules": rules.SQL,
+    "op9_licences": licences.SQL,
     "op10_contamination": contamination.SQL,
 }
