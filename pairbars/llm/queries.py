@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pairbars.llm import bpe, contamination, lengths, licences, pii, quality, rules, simhash, spans, toxicity
-from pairbars.llm.work import table
+from pairbars.llm.work import table, work_dir, written
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -21,7 +21,8 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals, truncated totals and shares of documents for every context limit at which they change."""
-    return lengths.suffix_sums(lengths.histogram(bpe.lengths(table(spark, sf_dir, "documents"), WORD_BPE)))
+    hist = lengths.histogram(bpe.lengths(table(spark, sf_dir, "documents"), WORD_BPE))
+    return lengths.suffix_sums(written(hist, work_dir(spark), "histogram"))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
