@@ -181,7 +181,7 @@ def _w1(s: SparkSession, d: str) -> DataFrame:
 query("wf3_run_walkforward", sql("w1m", f"SELECT {_WM}{_MET} FROM w1m"))(_w1)
 _SCORE = "coalesce(net_return, 0) / greatest(abs(coalesce(max_drawdown, 0)), 1e-6::DOUBLE)"
 part("best", "w20m w21m", f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pair_id, window_ ORDER BY score DESC, combo) AS k FROM ({' UNION ALL '.join(f'SELECT pair_id, window_, {i} AS combo, {_SCORE} AS score FROM w2{i}m WHERE split = {chr(39)}val{chr(39)}' for i in range(2))})) WHERE k = 1")
-query("wf4_parameter_search", sql("best", f'SELECT pair_id, window_ AS "window", combo, {rs("score")} FROM best', recursive=True))(lambda s, d: walkforward.parameter_search(_slices(s, d), backtest.mean_reversion_trades, GRID, **COSTS))
+query("wf4_parameter_search", sql("best", f'SELECT pair_id, window_ AS "window", combo, round(score, 2) + 0.0 AS score FROM best', recursive=True))(lambda s, d: walkforward.parameter_search(_slices(s, d), backtest.mean_reversion_trades, GRID, **COSTS).withColumn("score", F.round("score", 2)))
 query("wf5_walkforward_summary", sql("w1m", f"""SELECT pair_id, count(*) AS n_windows, {r('avg(coalesce(net_return, 0))', 'mean_net')}, {r('stddev_pop(coalesce(net_return, 0))', 'std_net')}, {r('avg(coalesce(sharpe, 0))', 'mean_sharpe')}, {r('avg(coalesce(profit_factor, 0))', 'mean_profit_factor')},
   {r('avg(coalesce(win_rate, 0))', 'mean_win_rate')}, {r('avg(coalesce(max_drawdown, 0))', 'mean_drawdown')}, sum((coalesce(net_return, 0) > 0)::INT)::BIGINT AS n_profitable, {r('avg((coalesce(net_return, 0) > 0)::INT) * 100', 'pct_profitable')} FROM w1m WHERE split = 'test' GROUP BY 1"""))(lambda s, d: walkforward.walkforward_summary(_w1(s, d)))
 
