@@ -80,7 +80,7 @@ def default_rules() -> list[Rule]:
     n = F.col("n_words")
     many = lambda kept: F.length(F.regexp_replace("text", kept, ""))
     return [
-        Rule("symbols", 2 * F.col("n_symbols") > n),
+        Rule("symbols", 10 * F.col("n_symbols") > n),
         Rule("copied_lines", (2 * F.col("n_dup_lines") > F.col("n_lines")) & (F.col("n_lines") > 3)),
         Rule("short_words", F.col("word_chars") < 2 * n),
         Rule("long_words", F.col("word_chars") > 20 * n),
@@ -143,7 +143,7 @@ c AS (SELECT w.r, doc_id, text, len(words) AS n_words, length(array_to_string(wo
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
        n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
-       NOT (base_failed OR 2 * n_symbols > n_words OR (2 * n_dup_lines > n_lines AND n_lines > 3)
+       NOT (base_failed OR 10 * n_symbols > n_words OR (2 * n_dup_lines > n_lines AND n_lines > 3)
             OR word_chars < 2 * n_words OR word_chars > 20 * n_words
             OR 2 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > word_chars
             OR 2 * length(regexp_replace(text, '[^!]+', '', 'g')) > n_words
