@@ -1 +1 @@
-"""See the modules."""
+"""Windows and guarded expressions."""

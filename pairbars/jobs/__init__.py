@@ -1 +1 @@
-"""See the modules."""
+"""Fixtures from the given tables, registered queries and their SQL."""

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairbars.operators import correlation, features, ratio, regimes, sync
+from pairbars.functions.rolling import with_pos
+from pairbars.operators import features, ratio, regimes, sync
 from pairbars.sources.bars import resample
 
 TICK_ORDER = ["ts", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "price"]
@@ -60,13 +61,8 @@ def intraday_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars with planted faults, and an order of arrival ``seq``."""
-    from pairbars.functions.rolling import with_pos
-
     rows = with_pos(daily(spark, sf_dir), ["symbol"]).withColumn("n", F.col("pos") + 1)
     rows = rows.select("symbol", "bar_ts", F.when(F.col("n") % 41 == 0, 0.0).otherwise(F.col("open")).alias("open"), F.when(F.col("n") % 37 == 0, F.col("low") - 1).otherwise(F.col("high")).alias("high"), "low", F.when(F.col("n") % 43 != 0, F.col("close")).alias("close"), "tick_volume", "spread", "real_volume", F.col("n").cast("long").alias("seq"))
     again = rows.filter(F.col("seq") % 47 == 0).withColumn("close", F.col("close") * 1.5).withColumn("seq", F.col("seq") + 1_000_000)
     odd = rows.filter((F.col("symbol") == "AF") & (F.col("seq") % 41 != 0)).withColumn("symbol", F.lit("XX")).withColumn("open", F.when(F.col("seq") == 5, -1.0).otherwise(F.col("open"))).withColumn("low", F.when(F.col("seq") == 5, -1.0).otherwise(F.col("low")))
     return rows.unionByName(again).unionByName(odd)
-
-
-correlated = correlation.rolling_correlation

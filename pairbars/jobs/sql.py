@@ -9,7 +9,7 @@ from __future__ import annotations
 PARTS: dict[str, tuple[list[str], str]] = {}
 
 
-def part(name: str, needs: str, body: str, recursive: bool = False) -> None:
+def part(name: str, needs: str, body: str) -> None:
     PARTS[name] = (needs.split(), body)
 
 
@@ -35,11 +35,6 @@ def rs(*names: str) -> str:
     return ", ".join(r(n, n) for n in names)
 
 
-def num(e: str) -> str:
-    """No NaN and no infinity from a division or correlation."""
-    return f"CASE WHEN isfinite(({e})::DOUBLE) THEN ({e})::DOUBLE END"
-
-
 def corr(x: str, y: str, over: str = "") -> str:
     o = f" OVER {over}" if over else ""
     both = f"FILTER ({x} IS NOT NULL AND {y} IS NOT NULL)"
@@ -103,10 +98,4 @@ part("per", "", "SELECT unnest([1, 2, 3, 6, 12]) AS period")
 part("cand", "rat thr", "SELECT rat.*, rank, threshold, (residual_zscore < 0)::INT AS side, CASE WHEN residual_zscore > 0 THEN 'B_STRONG' ELSE 'A_STRONG' END AS direction FROM rat JOIN thr ON abs(residual_zscore) >= threshold")
 
 
-def greedy(source: str, groups: str, cooldown: int) -> str:
-    """Numbers the candidates of each group in fold order, then walks through them."""
-    return f"""SELECT {groups}, k, pos, bar_ts, threshold, direction, a_log_return, b_log_return,
-      row_number() OVER (PARTITION BY {groups} ORDER BY rank, side, pos) AS i FROM (SELECT *, 0 AS k FROM {source})"""
-
-
 FORWARD = """{keys}count(*) AS "count", """ + ", ".join([r("avg(x)", "mean"), r("median(x)", "median"), r("stddev_pop(x)", "std"), r("avg((x > 0)::INT) * 100", "pct_positive"), r("max(x)", "max"), r("min(x)", "min")])

@@ -1 +1 @@
-"""See the modules."""
+"""Operators on bars and pairs of bar series."""

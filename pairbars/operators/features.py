@@ -75,7 +75,7 @@ def atr(df: DataFrame, n: int = 14, keys: Sequence[str] = SYMBOL) -> DataFrame:
 
 
 def adx(df: DataFrame, n: int = 14, keys: Sequence[str] = SYMBOL) -> DataFrame:
-    """Directional index; the minus side takes the absolute change of the low, as the data set's rule has it."""
+    """Directional index; the minus side takes the absolute change of the low, whatever the plus side does."""
     w = last_n(keys, n)
     rows = df.withColumn("_tr", _true_range(keys)).withColumn("_plus", F.greatest(F.col("high") - F.lag("high").over(by(keys)), F.lit(0.0)))
     rows = rows.withColumn("_plus", F.when(F.lag("high").over(by(keys)).isNotNull(), F.col("_plus"))).withColumn("_minus", F.abs(F.col("low") - F.lag("low").over(by(keys))))

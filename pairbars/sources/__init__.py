@@ -1 +1 @@
-"""See the modules."""
+"""Reading, resampling and writing bars."""
