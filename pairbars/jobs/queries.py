@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from pairbars.functions.rolling import rounded
 from pairbars.jobs import fixtures as fx
-from pairbars.jobs.sql import BAR, FORWARD, SESSION, TICK_ORDER, bars, corr, full, part, r, rs, sql, win
-from pairbars.operators import backtest, cleaning, correlation, events, features, leadlag, ratio, regimes, spread, sync
+from pairbars.jobs.sql import BAR, SESSION, bars, corr, full, part, r, rs, sql, win
+from pairbars.operators import cleaning, correlation, features, leadlag, ratio, regimes, spread, sync
 from pairbars.sources import bars as src
 
 Query = Callable[[SparkSession, str], DataFrame]
