@@ -26,7 +26,6 @@ each other; a text of any length is worked through in segments.
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from collections.abc import Callable, Iterator
 
