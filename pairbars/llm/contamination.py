@@ -128,7 +128,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     found = _union(parts).groupBy("key").agg(F.collect_set(F.struct("kind", "fp")).alias("fps"))
     found = written(found, where, "found")
 
-    hit = texts.select("key", "text").join(found, "key").select("key", "fps", words_of(F.col("text")).alias("words"))
+    # what is found grows with the documents, so it is never broadcast
+    hit = texts.select("key", "text").join(found.hint("merge"), "key").select("key", "fps", words_of(F.col("text")).alias("words"))
     hit = hit.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
     parts = []
     for kind in kinds:
@@ -155,7 +156,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 def uncontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = 20) -> DataFrame:
     """``docs`` without the contaminated rows. Rows that share an id and of which one is contaminated all go; a row without an id stays."""
     found = contamination(docs, items, id_col, text_col, share).filter("contaminated").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, docs[id_col] == found["_gone"], "left_anti")
+    return docs.join(found.hint("merge"), docs[id_col] == found["_gone"], "left_anti")
 
 
 def _of_kind(kind: int) -> Column:
