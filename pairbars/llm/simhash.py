@@ -190,7 +190,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     found = near_duplicates(docs, id_col, text_col, **options)
     first = found.filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("_first")).agg(F.count("*").alias("_rows"))
-    kept = docs.join(first, docs[id_col] == first["_first"])
+    # the ids grow with the documents, so they are never broadcast
+    kept = docs.join(first.hint("merge"), docs[id_col] == first["_first"])
     once = kept.filter("_rows = 1").select(docs.columns)
     repeated = kept.filter("_rows > 1").select(docs.columns).dropDuplicates([id_col])
     return once.unionByName(repeated).unionByName(docs.filter(F.col(id_col).isNull()))
