@@ -35,7 +35,7 @@ from pairbars.llm.work import chunks, with_text
 FOLDS, FOLD = 4, 2
 #: Rows that the machine learns from at most.
 MAX_ROWS = 12_000
-MIN_DOCS = 8
+MIN_DOCS = 5
 MAX_TERMS = 2_000
 BEGINNING = 4
 BUCKETS = 1 << 20
