@@ -217,7 +217,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     numbered.repartition(n, "row").write.bucketBy(n, "row").format("parquet").saveAsTable(name)
     texts = spark.table(name)
     held = written(_map(texts.select("row", "text"), _anchor_rows(length, q), "a long, lo int, hi int, h long", ["a", "lo", "hi", "h"]), where, "anchors")
-    near = _lists(held.join(_repeated(held, "h"), "h"), "a", "lo", "hi")
+    # written, so that a join with it is between two shuffles, of which Spark can split a hot key
+    near = _lists(held.join(written(_repeated(held, "h"), where, "grams"), "h"), "a", "lo", "hi")
     cells = _map(texts.select("row", "text").join(near, "row"), _cell_rows(length, cell), "a long, lo int, hi int, needed long, enough long", ["a", "lo", "hi", "needed", "enough"])
     cells = written(cells, where, "cells")
     again = written(_repeated(cells, "needed", "enough"), where, "again")
@@ -229,7 +230,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     open_cells = left.filter("not sure").select("row", "a", "lo", "hi").unionByName(settled)
     singles = _map(texts.select("row", "text").join(_lists(open_cells, "a", "lo", "hi"), "row"), _single_rows(length), "start long, h long", ["start", "h"])
     singles = written(singles, where, "singles")
-    runs = singles.join(_repeated(singles, "h"), "h").select("row", "start", (F.col("start") + length).alias("end"))
+    runs = singles.join(written(_repeated(singles, "h"), where, "strings"), "h").select("row", "start", (F.col("start") + length).alias("end"))
     sure = left.filter("sure").select("row", (F.col("a") - F.col("hi")).alias("start"), (F.col("a") - F.col("lo") + length).alias("end"))
     covered = runs.unionByName(sure).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("found"))
     rows = spark.table(name).join(covered, "row", "left").select("doc_id", "text", "found")
