@@ -3,9 +3,13 @@
 Lines of a text that speak of a licence are its headers. Their words are joined to
 the words of the templates, which have weights by how few templates use them; a
 word of no template weighs like one of a single template. The cosine of each header
-to each template is a sum over the join. Then every directory takes the licence of
-its licence file, and a file without a header that of its nearest ancestor
-directory that has one, by joins on the paths of the distinct directories.
+to each template is a sum over the join. A text of which no line is over the
+threshold is read further: by the identifier of an SPDX tag, by windows of words
+about each mention of a licence, as long as the passage they are compared with and
+over line ends, and as a whole against full licence texts of about its length. Then
+every directory takes the licence of its licence file, and a file without a header
+that of its nearest ancestor directory that has one, by joins on the paths of the
+distinct directories.
 
 The templates are few and fixed by the caller, and their words are broadcast up to
 ``BROADCAST_ROWS``. All is in DataFrame functions.
@@ -17,9 +21,13 @@ directory the first by path and text; repeated rows give equal rows.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairbars.llm.work import work_dir, written
+
 THRESHOLD = 0.6
 BROADCAST_ROWS = 200_000
 SPEAKS = "licen[cs]e|copyright|rights reserved|spdx"
@@ -35,12 +43,42 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Proprietary", "All rights reserved."),
 ]
+# A window is as long as its passage, so it must be closer than a line.
+WINDOW_THRESHOLD = 0.75
+WHOLE_THRESHOLD = 0.9
+# Words of a mention; a window starts at every fourth part of its length.
+MENTIONS = "licen[cs]e|copyright|reserved|spdx"
+TAG = r"(?i)spdx-license-identifier\s*:\s*\(*([A-Za-z0-9.+-]+)"
+# Headers over several lines, and openings of licence files.
+PASSAGES = [
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("CC-BY-4.0", "This work is licensed under the Creative Commons Attribution 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by/4.0/"),
+    ("CC-BY-NC-4.0", "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by-nc/4.0/"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "under the terms of the GNU General Public License version 3"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+]
 
 
 def default_templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(TEMPLATES, "licence string, text string")
 
 
+def default_passages(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(TEMPLATES + PASSAGES, "licence string, text string")
+
+
+def default_texts(spark: SparkSession) -> DataFrame:
+    """Full licence texts, read by the driver from the package."""
+    files = sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))
+    return spark.createDataFrame([(f.stem, f.read_text("utf-8")) for f in files], "licence string, text string")
+
+
 def _low(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())
 
@@ -59,23 +97,71 @@ def weights(templates: DataFrame) -> DataFrame:
     return terms.groupBy("term").agg(F.max("idf").alias("idf"), F.collect_list(F.struct("licence", "w")).alias("templates"))
 
 
-def headers(files: DataFrame, templates: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``key`` (MD5 of the text), ``licence`` and ``score`` of the best header, for each distinct text with one over the threshold."""
+def _cosines(terms: DataFrame, templates: DataFrame) -> DataFrame:
+    """``key``, ``line``, ``licence`` and ``score`` of terms (key, line, term, tf), for each line and template with a term in common."""
     known = weights(templates)
     small = F.broadcast if known.count() <= BROADCAST_ROWS else (lambda df: df)
     rare = templates.agg((F.log((1 + F.countDistinct("licence")) / 2) + 1).alias("x")).first()["x"]
-    spoken = files.select(F.col(text_col).alias("text")).filter(F.col("text").rlike(f"(?i){SPEAKS}")).select("text", _text_key(F.col("text")).alias("key"))
-    lines = spoken.select("key", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).filter(F.col("line").rlike(f"(?i){SPEAKS}")).distinct()
-    # a line of any length is named by its hash from here on
-    terms = lines.select("key", F.xxhash64("line").alias("line"), F.explode(_terms(F.col("line"))).alias("term")).groupBy("key", "line", "term").agg(F.count("*").alias("tf"))
     joined = terms.join(small(known), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(rare)))
     norms = joined.groupBy("key", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = joined.select("key", "line", F.col("w").alias("own"), F.inline("templates")).groupBy("key", "line", "licence").agg(F.sum(F.col("own") * F.col("w")).alias("dot"))
-    scores = dots.join(norms, ["key", "line"]).select("key", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).filter(F.col("score") >= threshold)
+    return dots.join(norms, ["key", "line"]).select("key", "line", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
+
+
+def _best(scores: DataFrame) -> DataFrame:
     best = scores.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("x"))
     return best.select("key", F.col("x.licence").alias("licence"), (-F.col("x.s")).alias("score"))
 
 
+def _sized(templates: DataFrame) -> DataFrame:
+    """Each text as a template of its own, named by its licence, its hash and its length in words."""
+    n = F.size(_terms(F.col("text")))
+    return templates.select(F.concat_ws("#", "licence", F.xxhash64("text"), n).alias("licence"), "text", n.cast("long").alias("n")).filter("n > 0")
+
+
+def _named(scores: DataFrame) -> DataFrame:
+    parts = F.split("licence", "#")
+    return scores.select("key", "line", parts[0].alias("licence"), parts[2].cast("long").alias("length"), "score")
+
+
+def headers(files: DataFrame, templates: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """``key`` (MD5 of the text), ``licence`` and ``score`` of the best line, for each distinct text with one over the threshold."""
+    lines = _spoken(files, text_col).select("key", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).filter(F.col("line").rlike(f"(?i){SPEAKS}")).distinct()
+    # a line of any length is named by its hash from here on
+    terms = lines.select("key", F.xxhash64("line").alias("line"), F.explode(_terms(F.col("line"))).alias("term")).groupBy("key", "line", "term").agg(F.count("*").alias("tf"))
+    return _best(_cosines(terms, templates).filter(F.col("score") >= threshold))
+
+
+def passages(files: DataFrame, found: DataFrame, templates: DataFrame, texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """``key``, ``licence`` and ``score`` of the texts that are not ``found``: by SPDX tag, else by their best window or as a whole."""
+    left = _spoken(files, text_col).join(found.select("key"), "key", "left_anti").dropDuplicates(["key"]).select("key", "text", _terms(F.col("text")).alias("terms"))
+    licences = templates.select("licence").union(texts.select("licence")).distinct()
+    tag = F.explode(F.regexp_extract_all("text", F.lit(TAG), 1))
+    tags = left.select("key", tag.alias("tag")).select("key", F.regexp_replace(F.lower("tag"), r"(-only|-or-later|\+|[.-]+)$", "").alias("tag"))
+    tags = tags.join(F.broadcast(licences.withColumn("tag", F.lower("licence"))), "tag").select("key", "licence", F.lit(1.0).alias("score"))
+
+    sized = _sized(templates)
+    lengths = F.broadcast(sized.select("n", F.greatest(F.lit(1).cast("long"), F.floor(F.col("n") / 4)).alias("step")).distinct())
+    # the windows about mentions that are close to each other are the same
+    at = left.select("key", F.posexplode("terms").alias("at", "term")).filter(F.col("term").rlike(MENTIONS)).select("key", "at").crossJoin(lengths)
+    first = F.greatest(F.lit(0).cast("long"), F.ceil((F.col("at") - F.col("n") + 1) / F.col("step")))
+    at = at.select("key", "n", "step", F.explode(F.sequence(first, F.floor(F.col("at") / F.col("step")))).alias("k")).select("key", "n", (F.col("k") * F.col("step")).alias("start")).distinct()
+    window = F.slice("terms", (F.col("start") + 1).cast("int"), F.col("n").cast("int"))
+    windows = at.join(left.select("key", "terms"), "key").select("key", F.struct("n", "start").alias("line"), F.explode(window).alias("term"))
+    near = _named(_cosines(windows.groupBy("key", "line", "term").agg(F.count("*").alias("tf")), sized)).filter((F.col("line.n") == F.col("length")) & (F.col("score") >= WINDOW_THRESHOLD))
+
+    full = _sized(texts)
+    low, high = full.agg(F.min("n") / 2, F.max("n") * 2).first()
+    whole = left.filter(F.size("terms").between(low or 0, high or 0)).select("key", F.size("terms").alias("line"), F.explode("terms").alias("term"))
+    whole = _named(_cosines(whole.groupBy("key", "line", "term").agg(F.count("*").alias("tf")), full)).filter(F.col("line").between(F.col("length") / 2, F.col("length") * 2) & (F.col("score") >= WHOLE_THRESHOLD))
+    untagged = near.select("key", "licence", "score").unionByName(whole.select("key", "licence", "score")).join(tags.select("key"), "key", "left_anti")
+    return _best(tags.unionByName(untagged))
+
+
+def _spoken(files: DataFrame, text_col: str) -> DataFrame:
+    return files.select(F.col(text_col).alias("text")).filter(F.col("text").rlike(f"(?i){SPEAKS}")).select("text", _text_key(F.col("text")).alias("key"))
+
+
 def _text_key(text: Column) -> Column:
     return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
@@ -84,16 +170,22 @@ def _directory(path: Column) -> Column:
     return F.regexp_replace(F.when(path.contains("/"), path).otherwise(F.concat(F.lit("/"), path)), "/[^/]*$", "")
 
 
-def scan(files: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "path", licence_name: str = "LICENSE", threshold: float = THRESHOLD) -> DataFrame:
+def scan(files: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "path", licence_name: str = "LICENSE", threshold: float = THRESHOLD, further: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """The licence of every file.
 
+    ``further`` holds passages and full texts for what no line decides; by
+    default those of this module.
+
     Returns ``doc_id``, ``path``, ``own_licence`` and ``score`` (of its best
-    header, else null), ``inherited`` (of the nearest directory with a licence
+    header or passage, else null), ``inherited`` (of the nearest directory with a licence
     file) and ``licence`` (its own, else the inherited one).
     """
     path = F.coalesce(F.col(path_col), F.lit(""))
     rows = files.select(F.col(id_col).alias("doc_id"), path.alias("path"), _text_key(F.col(text_col)).alias("key"), _directory(path).alias("directory"))
-    rows = rows.join(headers(files, templates, text_col, threshold), "key", "left")
+    where = work_dir(files.sparkSession)
+    found = written(headers(files, templates, text_col, threshold), where, "headers")
+    more = passages(files, found, *(further or (default_passages(files.sparkSession), default_texts(files.sparkSession))), text_col)
+    rows = rows.join(found.unionByName(more), "key", "left")
     named = rows.filter(F.col("path").rlike(f"(^|/){licence_name}$") & F.col("licence").isNotNull())
     given = named.groupBy("directory").agg(F.min_by("licence", F.struct("path", "key")).alias("inherited"))
     parts = F.split("directory", "/")

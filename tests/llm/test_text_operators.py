@@ -240,6 +240,19 @@ def test_licences(spark, empty):
     assert licences.scan(licences.document_paths(empty), licences.default_templates(spark)).count() == 0
 
 
+def test_licences_beyond_single_lines(spark):
+    mpl = "# This Source Code Form is subject to the terms of the Mozilla\n# Public License, v. 2.0. If a copy of the MPL was not distributed\n# with this file, You can obtain one at http://mozilla.org/MPL/2.0/.\nimport os\n"
+    gpl = "/* This file is free: you can redistribute it\n * under the terms of the GNU General Public\n * License version 3. */"
+    long = "Some text before. Licensed under the Apache License, Version 2.0. The module below reads tables and writes them again in another order."
+    full = {r.licence: r.text for r in licences.default_texts(spark).collect()}
+    texts = ["// SPDX-License-Identifier: MIT", "# SPDX-License-Identifier: Apache-2.0\nx = 1", "SPDX-License-Identifier: GPL-3.0-or-later", long, mpl, gpl, *full.values()]
+    want = ["MIT", "Apache-2.0", "GPL-3.0", "Apache-2.0", "MPL-2.0", "GPL-3.0", *full]
+    texts += ["we hold a driving license for cars and a licence for boats, which the town gave us", "the copyright of this book is with its writers, says the court", "SPDX-License-Identifier: none-such"]
+    df = spark.createDataFrame([(i, f"d{i}/x", t) for i, t in enumerate(texts)], "doc_id long, path string, text string")
+    got = {r.doc_id: r.own_licence for r in licences.scan(df, licences.default_templates(spark)).collect()}
+    assert [got[i] for i in range(len(texts))] == [*want, None, None, None]
+
+
 def labelled(spark, make, n=400):
     rng = random.Random(9)
     rows = [(i, *make(rng)) for i in range(n)]
