@@ -3,11 +3,11 @@
 Lines of a text that speak of a licence are its headers. Their words are joined to
 the words of the templates, which have weights by how few templates use them; a
 word of no template weighs like one of a single template. The cosine of each header
-to each template is a sum over the join. A text of which no line is over the
-threshold is read further: by the identifier of an SPDX tag, by windows of words
-about each mention of a licence, as long as the passage they are compared with and
-over line ends, and as a whole against full licence texts of about its length. Then
-every directory takes the licence of its licence file, and a file without a header
+to each template is a sum over the join. Every text is also read by the identifier
+of an SPDX tag and as a whole against full licence texts of about its length, which
+go before its lines. A text of which no line is over the threshold, or only one that
+reserves all rights, is read by windows of words about each mention of a licence, as
+long as the passage they are compared with and over line ends. Then every directory takes the licence of its licence file, and a file without a header
 that of its nearest ancestor directory that has one, by joins on the paths of the
 distinct directories.
 
@@ -46,6 +46,8 @@ TEMPLATES = [
 # A window is as long as its passage, so it must be closer than a line.
 WINDOW_THRESHOLD = 0.75
 WHOLE_THRESHOLD = 0.9
+# Stands beside the notices of other licences, which go before it.
+RESERVED = "Proprietary"
 # Words of a mention; a window starts at every fourth part of its length.
 MENTIONS = "licen[cs]e|copyright|reserved|spdx"
 TAG = r"(?i)spdx-license-identifier\s*:\s*\(*([A-Za-z0-9.+-]+)"
@@ -124,20 +126,22 @@ def _named(scores: DataFrame) -> DataFrame:
     return scores.select("key", "line", parts[0].alias("licence"), parts[2].cast("long").alias("length"), "score")
 
 
-def headers(files: DataFrame, templates: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def headers(spoken: DataFrame, templates: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``key`` (MD5 of the text), ``licence`` and ``score`` of the best line, for each distinct text with one over the threshold."""
-    lines = _spoken(files, text_col).select("key", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).filter(F.col("line").rlike(f"(?i){SPEAKS}")).distinct()
+    lines = spoken.select("key", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).filter(F.col("line").rlike(f"(?i){SPEAKS}")).distinct()
     # a line of any length is named by its hash from here on
     terms = lines.select("key", F.xxhash64("line").alias("line"), F.explode(_terms(F.col("line"))).alias("term")).groupBy("key", "line", "term").agg(F.count("*").alias("tf"))
     return _best(_cosines(terms, templates).filter(F.col("score") >= threshold))
 
 
-def passages(files: DataFrame, found: DataFrame, templates: DataFrame, texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """``key``, ``licence`` and ``score`` of the texts that are not ``found``: by SPDX tag, else by their best window or as a whole."""
-    left = _spoken(files, text_col).join(found.select("key"), "key", "left_anti").dropDuplicates(["key"]).select("key", "text", _terms(F.col("text")).alias("terms"))
+def passages(spoken: DataFrame, found: DataFrame, templates: DataFrame, texts: DataFrame) -> DataFrame:
+    """``key``, ``licence`` and ``score`` of each text: by SPDX tag, else as a whole, else of the line ``found`` or the best window."""
+    where = work_dir(spoken.sparkSession)
+    spoken = spoken.select("key", "text", _terms(F.col("text")).alias("terms"))
+    left = spoken.join(found.filter(F.col("licence") != RESERVED).select("key"), "key", "left_anti")
     licences = templates.select("licence").union(texts.select("licence")).distinct()
     tag = F.explode(F.regexp_extract_all("text", F.lit(TAG), 1))
-    tags = left.select("key", tag.alias("tag")).select("key", F.regexp_replace(F.lower("tag"), r"(-only|-or-later|\+|[.-]+)$", "").alias("tag"))
+    tags = spoken.select("key", tag.alias("tag")).select("key", F.regexp_replace(F.lower("tag"), r"(-only|-or-later|\+|[.-]+)$", "").alias("tag"))
     tags = tags.join(F.broadcast(licences.withColumn("tag", F.lower("licence"))), "tag").select("key", "licence", F.lit(1.0).alias("score"))
 
     sized = _sized(templates)
@@ -149,13 +153,19 @@ def passages(files: DataFrame, found: DataFrame, templates: DataFrame, texts: Da
     window = F.slice("terms", (F.col("start") + 1).cast("int"), F.col("n").cast("int"))
     windows = at.join(left.select("key", "terms"), "key").select("key", F.struct("n", "start").alias("line"), F.explode(window).alias("term"))
     near = _named(_cosines(windows.groupBy("key", "line", "term").agg(F.count("*").alias("tf")), sized)).filter((F.col("line.n") == F.col("length")) & (F.col("score") >= WINDOW_THRESHOLD))
+    # each way is a table of its own, which keeps the driver's plans small
+    near = written(near.select("key", "licence", "score"), where, "near")
 
     full = _sized(texts)
     low, high = full.agg(F.min("n") / 2, F.max("n") * 2).first()
-    whole = left.filter(F.size("terms").between(low or 0, high or 0)).select("key", F.size("terms").alias("line"), F.explode("terms").alias("term"))
+    whole = spoken.filter(F.size("terms").between(low or 0, high or 0)).select("key", F.size("terms").alias("line"), F.explode("terms").alias("term"))
     whole = _named(_cosines(whole.groupBy("key", "line", "term").agg(F.count("*").alias("tf")), full)).filter(F.col("line").between(F.col("length") / 2, F.col("length") * 2) & (F.col("score") >= WHOLE_THRESHOLD))
-    untagged = near.select("key", "licence", "score").unionByName(whole.select("key", "licence", "score")).join(tags.select("key"), "key", "left_anti")
-    return _best(tags.unionByName(untagged))
+    whole = written(whole.select("key", "licence", "score"), where, "whole")
+    lines = found.unionByName(near)
+    ranks = [(written(tags, where, "tags"), F.lit(0)), (whole, F.lit(1)), (lines, F.when(F.col("licence") == RESERVED, 3).otherwise(2))]
+    ranked = [x.withColumn("rank", rank) for x, rank in ranks]
+    ranked = ranked[0].unionByName(ranked[1]).unionByName(ranked[2])
+    return _best(ranked.join(ranked.groupBy("key").agg(F.min("rank").alias("rank")), ["key", "rank"]))
 
 
 def _spoken(files: DataFrame, text_col: str) -> DataFrame:
@@ -173,8 +183,7 @@ def _directory(path: Column) -> Column:
 def scan(files: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "path", licence_name: str = "LICENSE", threshold: float = THRESHOLD, further: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """The licence of every file.
 
-    ``further`` holds passages and full texts for what no line decides; by
-    default those of this module.
+    ``further`` holds passages and full texts, by default those of this module.
 
     Returns ``doc_id``, ``path``, ``own_licence`` and ``score`` (of its best
     header or passage, else null), ``inherited`` (of the nearest directory with a licence
@@ -183,9 +192,10 @@ def scan(files: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_co
     path = F.coalesce(F.col(path_col), F.lit(""))
     rows = files.select(F.col(id_col).alias("doc_id"), path.alias("path"), _text_key(F.col(text_col)).alias("key"), _directory(path).alias("directory"))
     where = work_dir(files.sparkSession)
-    found = written(headers(files, templates, text_col, threshold), where, "headers")
-    more = passages(files, found, *(further or (default_passages(files.sparkSession), default_texts(files.sparkSession))), text_col)
-    rows = rows.join(found.unionByName(more), "key", "left")
+    spoken = written(_spoken(files, text_col).dropDuplicates(["key"]), where, "spoken")
+    found = written(headers(spoken, templates, threshold), where, "headers")
+    own = passages(spoken, found, *(further or (default_passages(files.sparkSession), default_texts(files.sparkSession))))
+    rows = rows.join(written(own, where, "own"), "key", "left")
     named = rows.filter(F.col("path").rlike(f"(^|/){licence_name}$") & F.col("licence").isNotNull())
     given = named.groupBy("directory").agg(F.min_by("licence", F.struct("path", "key")).alias("inherited"))
     parts = F.split("directory", "/")
