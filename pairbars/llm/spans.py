@@ -1,13 +1,18 @@
-"""Suffix-array dedup: which bytes lie in a string of ``LENGTH`` bytes that starts elsewhere too.
-
-The refinement of suffix buckets by the buckets at later offsets needs no
-entry for every suffix here: each string of ``LENGTH`` bytes is held by the
-place of its smallest q-gram, its anchor, which depends on the string alone, so
-equal strings have their anchors at equal offsets. There are about two anchors a
-window, not one a byte. Buckets then are refined as follows.
-
-1. Anchors are bucketed by their q-gram; buckets of one drop out.
-2. The offsets of the strings of an anchor fall in cells of ``CELL`` offsets. Of a
+"""Suffix-array dedup by bucket refinement: which bytes lie in a string of ``LENGTH`` bytes that starts elsewhere too.
+
+A bucket holds the places whose strings of some length are equal. The buckets of
+q-grams of eight bytes come first; the bucket of twice the length at a place is
+that of the pair of identifiers at the place and at a later offset, and every level
+reuses the identifiers of the level before: 8, 16, 32, up to 256, then any length
+up to 512 by an overlapping offset. Buckets of one place are dropped on the way, so
+later levels see fewer places:
+
+1. An entry for every suffix would be several times the input. Each string of
+   ``LENGTH`` bytes is held by the place of its smallest q-gram of ``q`` bytes, its
+   anchor, which depends on the string alone, so equal strings have their anchors at
+   equal offsets. There are about two anchors a window. Anchors are dealt to buckets
+   by their q-gram; buckets of one drop out.
+2. The offsets of the strings of an anchor fall in cells of ``cell`` offsets. Of a
    cell, the bytes common to all its strings (needed) and those of all its strings
    together (enough) get bucket identifiers. Where the needed part is in a bucket
    of one, no string of the cell repeats; where the whole is not, all do.
@@ -15,9 +20,11 @@ window, not one a byte. Buckets then are refined as follows.
    refined to a bucket for each single string, along with one cell of each settled
    bucket that may hold the same strings.
 
-Identifiers are 64-bit hashes of the bytes, taken from prefix sums, and hold the
-cell, so an occurrence is never counted twice. The documents are kept in a
-bucketed table, so the three joins with them don't shuffle texts again.
+Identifiers are digests of 128 bits in place of ranks, so that tasks need not agree
+on a numbering; those that decide what is removed are compared in full. They hold
+the cell's number, so an occurrence is never counted twice. The anchors' q-grams
+have 64 bits only: they choose candidates. The documents are kept in a bucketed
+table in the work folder, so the three joins with them don't shuffle texts again.
 
 Edge cases: null and empty texts have no bytes; texts shorter than ``LENGTH`` lose
 nothing; equal rows, also with equal ids, are different places, so they remove
@@ -39,169 +46,217 @@ from pairbars.llm.work import partitions, with_text, work_dir, written
 LENGTH = 400
 Q = 48
 CELL = 64
-SEGMENT = 1 << 20
+SEGMENT = 1 << 14
+#: Bytes of whole texts that a task works through at once.
+AT_ONCE = 1 << 20
 _PLACE = np.uint64((1 << 28) - 1)
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.empty(n, np.uint64)
-    out[0] = 1
-    done = 1
-    while done < n:
-        more = min(done, n - done)
-        out[done : done + more] = out[:more] * np.uint64(pow(base, done, 1 << 64))
-        done += more
+_ODD = np.random.default_rng(20).integers(1, 1 << 63, (2, 4), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+Ids = list[np.ndarray]  # one array of 64 bits for each lane
+
+
+def _mixed(x: np.ndarray, lane: int = 0) -> np.ndarray:
+    """A permutation of the numbers of 64 bits."""
+    x = x ^ (x >> np.uint64(32 + lane))
+    x *= np.uint64(0xFF51AFD7ED558CCD)
+    x ^= x >> np.uint64(29 + lane)
+    x *= np.uint64(0xC4CEB9FE1A85EC53)
+    x ^= x >> np.uint64(32 - lane)
+    return x
+
+
+def _paired(first: Ids, later: Ids) -> Ids:
+    """Identifiers of pairs of buckets."""
+    out = []
+    for lane in range(len(first)):
+        x = first[0] * _ODD[lane, 0]
+        for part, odd in zip([*first[1:], *later], _ODD[lane, 1:], strict=False):
+            x += part * odd
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xFF51AFD7ED558CCD)
+        x ^= x >> np.uint64(29)
+        out.append(x)
     return out
 
 
-_POWERS, _INVERSES = (_powers(b, SEGMENT + 4 * LENGTH) for b in (_BASE, _INVERSE))
+def grams(data: np.ndarray, width: int, lanes: int) -> Ids:
+    """Buckets of the first level: ``width`` bytes (1, 2, 4 or 8) from every place, without collisions."""
+    out = np.empty(max(0, len(data) - width + 1), np.uint64)
+    for k in range(min(width, len(out))):
+        out[k::width] = np.frombuffer(data, f"<u{width}", (len(data) - k) // width, k)
+    return [_mixed(out, lane) for lane in range(lanes)]
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
-    x = x ^ (x >> np.uint64(29))
-    x = x * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(32))
+def refined(ids: Ids, have: int, length: int) -> Ids:
+    """Buckets of ``length`` bytes from those of ``have`` bytes, by the identifiers at later offsets."""
+    while have < length:
+        step = min(have, length - have)
+        ids = _paired([x[:-step] for x in ids], [x[step:] for x in ids])
+        have += step
+    return ids
 
 
-def _prefix(data: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTES[data] * _POWERS[: len(data)], out=out[1:])
-    return out
-
+def buckets(data: np.ndarray, length: int, lanes: int = 2) -> Ids:
+    """The identifiers of the strings of ``length`` bytes from every place."""
+    width = min(8, _level(length))
+    if len(data) < length:
+        return [np.zeros(0, np.uint64) for _ in range(lanes)]
+    return refined(grams(data, width, lanes), width, length)
 
-def _hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return _mixed((prefix[ends] - prefix[starts]) * _INVERSES[starts])
-
-
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the strings of a text, each at most twice ``LENGTH`` long."""
-    if len(data) <= SEGMENT:
-        return _hash(_prefix(data), starts, ends)
-    out = np.zeros(len(starts), np.uint64)
-    for s in range(0, len(data), SEGMENT):
-        own = np.flatnonzero((starts >= s) & (starts < s + SEGMENT))
-        if len(own):
-            out[own] = _hash(_prefix(data[s : s + SEGMENT + 2 * LENGTH]), starts[own] - s, ends[own] - s)
-    return out
 
-
-def anchors(data: np.ndarray, length: int = LENGTH, q: int = Q) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor places, first and last start of the strings that have them, and the hash of the anchor's q-gram."""
-    places, firsts, lasts, grams = [], [], [], []
+def anchors(data: np.ndarray, stops: np.ndarray, length: int = LENGTH, q: int = Q) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor places, first and last start of the strings that have them, and the anchors' buckets, of texts end to end that stop at ``stops``."""
+    places, firsts, lasts, found = [], [], [], []
     width = length - q + 1
     for s in range(0, max(0, len(data) - length + 1), SEGMENT):
-        part = data[s : s + SEGMENT + length - 1]
-        prefix = _prefix(part)
-        n = len(part) - q + 1
-        at = np.arange(n)
-        gram = _hash(prefix, at, at + q)
-        order = (gram & ~_PLACE) | at.astype(np.uint64)
+        (gram,) = buckets(data[s : s + SEGMENT + length - 1], q, 1)
+        n = len(gram)
+        order = (gram & ~_PLACE) | np.arange(n, dtype=np.uint64)
         padded = np.full(-(-n // width) * width, np.iinfo(np.uint64).max, np.uint64)
         padded[:n] = order
         blocks = padded.reshape(-1, width)
         before = np.minimum.accumulate(blocks, axis=1).ravel()
         after = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-        starts = n - width + 1
-        least = np.minimum(after[:starts], before[width - 1 : width - 1 + starts]) & _PLACE
-        cuts = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
-        place = least[cuts].astype(np.int64)
-        places.append(place + s)
-        firsts.append(cuts + s)
-        lasts.append(np.append(cuts[1:], starts) - 1 + s)
-        grams.append(gram[place])
+        starts = np.arange(n - width + 1)
+        inside = stops[np.searchsorted(stops, starts + s, side="right")] >= starts + s + length
+        starts = starts[inside]
+        if not len(starts):
+            continue
+        place = (np.minimum(after[starts], before[starts + width - 1]) & _PLACE).astype(np.int64)
+        cuts = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+        places.append(place[cuts] + s)
+        firsts.append(starts[cuts] + s)
+        lasts.append(starts[np.append(cuts[1:], len(starts)) - 1] + s)
+        found.append(gram[place[cuts]])
     if not places:
         empty = np.zeros(0, np.int64)
         return empty, empty, empty, empty.astype(np.uint64)
-    place, first, last, gram = map(np.concatenate, (places, firsts, lasts, grams))
+    place, first, last, gram = map(np.concatenate, (places, firsts, lasts, found))
     new = np.append(True, place[1:] != place[:-1])  # one anchor may go on in the next segment
     return place[new], first[new], last[np.append(np.flatnonzero(new)[1:] - 1, len(place) - 1)], gram[new]
 
 
+def _level(length: int) -> int:
+    return 1 << (length.bit_length() - 1)
+
+
+def at_places(data: np.ndarray, wanted: list[tuple[np.ndarray, int]]) -> list[Ids]:
+    """The identifiers of strings (starts, length), each from the last level that is not longer than they are.
+
+    The levels are shared; only segments in which a string starts are worked through.
+    """
+    out = [[np.zeros(len(starts), np.uint64) for _ in range(2)] for starts, _ in wanted]
+    own = [np.argsort(starts // SEGMENT, kind="stable") for starts, _ in wanted]
+    cuts = [np.searchsorted(starts[order] // SEGMENT, np.arange(len(data) // SEGMENT + 2)) for (starts, _), order in zip(wanted, own, strict=True)]
+    levels, longest = sorted({_level(length) for _, length in wanted}), max(length for _, length in wanted)
+    for k in range(len(data) // SEGMENT + 1):
+        if not any(c[k] < c[k + 1] for c in cuts):
+            continue
+        have = min(8, levels[0])
+        base = grams(data[k * SEGMENT : (k + 1) * SEGMENT + longest], have, 2)
+        for level in levels:
+            base, have = refined(base, have, level), level
+            for (starts, length), order, c, ids in zip(wanted, own, cuts, out, strict=True):
+                here = order[c[k] : c[k + 1]]
+                if _level(length) == level and len(here):
+                    at = starts[here] - k * SEGMENT
+                    later = at + length - level
+                    ids[0][here], ids[1][here] = _paired([x[at] for x in base], [x[later] for x in base])
+    return out
+
+
 def _map(rows: DataFrame, work: Callable[..., dict[str, np.ndarray]], schema: str, fields: list[str]) -> DataFrame:
-    """Runs ``work(bytes, *lists)`` for each row; it returns columns, to which the row number is added."""
+    """Runs ``work(bytes, stops, *lists)`` for runs of whole texts; it returns columns and the number of the text of each row.
+
+    ``lists`` are the columns of structs: each field flat, with the number of the text of each element before them.
+    """
     lists = [c for c in rows.columns if c not in ("row", "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list[np.ndarray]] = {name: [] for name in ["row", *fields]}
-            gathered = 0
-            structs = []
-            for name in lists:
-                column = batch.column(name)
-                offsets = np.append(0, np.cumsum(np.asarray(column.value_lengths().fill_null(0))))
-                flat = column.flatten()
-                structs.append((offsets, [np.asarray(flat.field(k)) for k in range(flat.type.num_fields)]))
-            for k, (row, text) in enumerate(zip(batch.column("row").to_pylist(), batch.column("text"), strict=True)):
-                data = np.frombuffer(text.as_py().encode("utf-8", "replace"), np.uint8)
-                found = work(data, *[[f[o[k] : o[k + 1]] for f in fs] for o, fs in structs])
-                n = len(found[fields[0]])
-                out["row"].append(np.full(n, row, np.int64))
-                for name in fields:
-                    out[name].append(found[name])
-                gathered += n
-                if gathered >= 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in out.values()], list(out))
-                    out, gathered = {name: [] for name in out}, 0
-            if gathered:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in out.values()], list(out))
+            number = np.asarray(batch.column("row"))
+            text, begin = batch.column("text"), 0
+            while begin < batch.num_rows:
+                data, end, size = [], begin, 0
+                while end < batch.num_rows and size < AT_ONCE:
+                    data.append(text[end].as_py().encode("utf-8", "replace"))
+                    size += len(data[-1])
+                    end += 1
+                flat, stops = np.frombuffer(b"".join(data), np.uint8), np.cumsum([len(d) for d in data])
+                more = []
+                for name in lists:
+                    column = batch.column(name).slice(begin, end - begin)
+                    sizes, values = np.asarray(column.value_lengths().fill_null(0)), column.flatten()
+                    more.append([np.repeat(np.arange(end - begin), sizes), *[np.asarray(values.field(k)) for k in range(values.type.num_fields)]])
+                found = work(flat, stops, *more)
+                out = {"row": number[begin:end][found["text"]]} | {name: found[name] for name in fields}
+                for at in range(0, len(out["row"]), 200_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(v[at : at + 200_000]) for v in out.values()], list(out))
+                begin = end
 
     return rows.mapInArrow(run, "row long, " + schema)
 
 
 def _anchor_rows(length: int, q: int) -> Callable[..., dict[str, np.ndarray]]:
-    def work(data: np.ndarray) -> dict[str, np.ndarray]:
-        place, first, last, gram = anchors(data, length, q)
-        return {"a": place, "lo": (place - last).astype(np.int32), "hi": (place - first).astype(np.int32), "h": gram.view(np.int64)}
+    def work(data: np.ndarray, stops: np.ndarray) -> dict[str, np.ndarray]:
+        place, first, last, gram = anchors(data, stops, length, q)
+        text = np.searchsorted(stops, place, side="right")
+        begin = np.append(0, stops)[text]
+        return {"text": text, "a": (place - begin).astype(np.int32), "lo": (place - last).astype(np.int32), "hi": (place - first).astype(np.int32), "h": gram.view(np.int64)}
 
     return work
 
 
 def _cell_rows(length: int, cell: int) -> Callable[..., dict[str, np.ndarray]]:
-    def work(data: np.ndarray, found: list[np.ndarray]) -> dict[str, np.ndarray]:
-        a, lo, hi = (x.astype(np.int64) for x in found)
+    def work(data: np.ndarray, stops: np.ndarray, found: list[np.ndarray]) -> dict[str, np.ndarray]:
+        text, a, lo, hi = (x.astype(np.int64) for x in found)
         n = hi // cell - lo // cell + 1
-        a, lo, hi = np.repeat(a, n), np.repeat(lo, n), np.repeat(hi, n)
+        text, a, lo, hi = np.repeat(text, n), np.repeat(a, n), np.repeat(lo, n), np.repeat(hi, n)
         c = lo // cell + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
         low, high = c * cell, c * cell + cell - 1
-        salt = _mixed(c.astype(np.uint64) + np.uint64(1))
-        start, end = a - high, a - low + length
-        inside = (start >= 0) & (end <= len(data))
+        begin = np.append(0, stops)[text]
+        first, end = a - high, a - low + length
+        inside = (first >= 0) & (begin + end <= stops[text])
         # in a text with no room for all strings of a cell, the cell can't be settled at once
-        starts = np.concatenate([a - low, np.where(inside, start, 0)])
-        ends = np.concatenate([a - high + length, np.where(inside, end, 0)])
-        both = hashes(data, starts, ends)
-        needed, enough = both[: len(a)] ^ salt, np.where(inside, both[len(a) :] ^ ~salt, np.uint64(0))
-        return {"a": a, "lo": np.maximum(lo, low).astype(np.int32), "hi": np.minimum(hi, high).astype(np.int32), "needed": needed.view(np.int64), "enough": enough.view(np.int64)}
+        needed, whole = at_places(data, [(begin + a - low, length - cell + 1), (begin[inside] + first[inside], length + cell - 1)])
+        salt = [_mixed(c.astype(np.uint64) + np.uint64(1), lane) for lane in range(2)]
+        out = {"text": text, "a": a.astype(np.int32), "lo": np.maximum(lo, low).astype(np.int32), "hi": np.minimum(hi, high).astype(np.int32)}
+        for lane in range(2):
+            filled = np.zeros(len(a), np.uint64)
+            filled[inside] = whole[lane] ^ ~salt[lane][inside]
+            out |= {f"n{lane}": (needed[lane] ^ salt[lane]).view(np.int64), f"e{lane}": filled.view(np.int64)}
+        return out
 
     return work
 
 
 def _single_rows(length: int) -> Callable[..., dict[str, np.ndarray]]:
-    def work(data: np.ndarray, found: list[np.ndarray]) -> dict[str, np.ndarray]:
-        a, lo, hi = (x.astype(np.int64) for x in found)
+    def work(data: np.ndarray, stops: np.ndarray, found: list[np.ndarray]) -> dict[str, np.ndarray]:
+        text, a, lo, hi = (x.astype(np.int64) for x in found)
         n = hi - lo + 1
         start = np.repeat(a - hi, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return {"start": start, "h": hashes(data, start, start + length).view(np.int64)}
+        text = np.repeat(text, n)
+        ((x, y),) = at_places(data, [(np.append(0, stops)[text] + start, length)])
+        return {"text": text, "start": start.astype(np.int32), "h0": x.view(np.int64), "h1": y.view(np.int64)}
 
     return work
 
 
-def _repeated(rows: DataFrame, *columns: str) -> DataFrame:
-    """The values of the columns that occur more than once; zero is no value."""
-    values = rows.select(F.explode(F.array(*columns)).alias("h")) if len(columns) > 1 else rows.select(F.col(columns[0]).alias("h"))
-    return values.filter("h <> 0").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-
-
 def _lists(rows: DataFrame, *columns: str) -> DataFrame:
     """The rows of each document as one list, as long as the document at most."""
     return rows.groupBy("row").agg(F.collect_list(F.struct(*columns)).alias("found"))
 
 
+def _bucketed(docs: DataFrame, where: str, n: int) -> DataFrame:
+    """``row``, ``doc_id``, ``text`` as files in the work folder, bucketed by row; no table of that name stays in the catalogue."""
+    spark, name = docs.sparkSession, f"repeated_spans_{uuid.uuid4().hex}"
+    numbered = docs.withColumn("row", F.monotonically_increasing_id())
+    numbered.repartition(n, "row").write.bucketBy(n, "row").format("parquet").option("compression", "zstd").option("path", f"{where}/texts").saveAsTable(name)
+    texts = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay: the table only named them
+    return texts
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, q: int = Q, cell: int = CELL) -> DataFrame:
     """Removes every byte of a repeated string of ``length`` bytes.
 
@@ -211,30 +266,36 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if not 0 < q < length or not 0 < cell < length:
         raise ValueError("q and cell must be smaller than length")
-    spark, where, n = docs.sparkSession, work_dir(docs.sparkSession), partitions(docs.sparkSession)
-    name = f"repeated_spans_{uuid.uuid4().hex}"
-    numbered = with_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
-    numbered.repartition(n, "row").write.bucketBy(n, "row").format("parquet").saveAsTable(name)
-    texts = spark.table(name)
-    held = written(_map(texts.select("row", "text"), _anchor_rows(length, q), "a long, lo int, hi int, h long", ["a", "lo", "hi", "h"]), where, "anchors")
-    # written, so that a join with it is between two shuffles, of which Spark can split a hot key
-    near = _lists(held.join(written(_repeated(held, "h"), where, "grams"), "h"), "a", "lo", "hi")
-    cells = _map(texts.select("row", "text").join(near, "row"), _cell_rows(length, cell), "a long, lo int, hi int, needed long, enough long", ["a", "lo", "hi", "needed", "enough"])
+    where = work_dir(docs.sparkSession)
+    texts = _bucketed(with_text(docs, id_col, text_col), where, partitions(docs.sparkSession))
+    plain = texts.select("row", "text")
+    # what one side of a join sums up is written first: the join then is between two shuffles, of which Spark can split a hot key
+    held = written(_map(plain, _anchor_rows(length, q), "a int, lo int, hi int, h long", ["a", "lo", "hi", "h"]), where, "anchors")
+    several = written(held.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), where, "grams")
+    near = _lists(held.join(several, "h"), "a", "lo", "hi")
+    fields = ["a", "lo", "hi", "n0", "n1", "e0", "e1"]
+    cells = _map(plain.join(near, "row"), _cell_rows(length, cell), "a int, lo int, hi int, n0 long, n1 long, e0 long, e1 long", fields)
     cells = written(cells, where, "cells")
-    again = written(_repeated(cells, "needed", "enough"), where, "again")
-    left = cells.join(again.withColumnRenamed("h", "needed"), "needed").join(again.select(F.col("h").alias("enough"), F.lit(True).alias("sure")), "enough", "left")
-    left = written(left.select("row", "a", "lo", "hi", "needed", "enough", F.coalesce("sure", F.lit(False)).alias("sure")), where, "left")
+
+    settled = F.col("n") > 1
+    wholes = cells.groupBy("n0", "n1", "e0", "e1").agg(F.count("*").alias("n"))
+    wholes = written(wholes.select("n0", "n1", "e0", "e1", "n", (settled & ((F.col("e0") != 0) | (F.col("e1") != 0))).alias("sure")), where, "wholes")
+    parts = wholes.groupBy("n0", "n1").agg(F.sum("n").alias("total"), F.bool_or(~F.col("sure")).alias("open"))
+    parts = written(parts.filter("total > 1").select("n0", "n1", "open"), where, "parts")
+    marks = written(wholes.join(parts, ["n0", "n1"]).select("n0", "n1", "e0", "e1", "sure", "open"), where, "marks")
+    left = cells.join(marks, ["n0", "n1", "e0", "e1"]).select("row", "a", "lo", "hi", "e0", "e1", "sure", "open")
+    left = written(left, where, "left")
+
     # a string of an open cell may repeat in a settled one: of the settled cells that hold the same strings one takes part
-    settled = left.filter("sure").join(left.filter("not sure").select("needed").distinct(), "needed")
-    settled = settled.groupBy("enough").agg(F.min(F.struct("row", "a", "lo", "hi")).alias("x")).select("x.*")
-    open_cells = left.filter("not sure").select("row", "a", "lo", "hi").unionByName(settled)
-    singles = _map(texts.select("row", "text").join(_lists(open_cells, "a", "lo", "hi"), "row"), _single_rows(length), "start long, h long", ["start", "h"])
+    one = left.filter("sure and open").groupBy("e0", "e1").agg(F.min(F.struct("row", "a", "lo", "hi")).alias("x")).select("x.*")
+    open_cells = left.filter("not sure").select("row", "a", "lo", "hi").unionByName(one)
+    singles = _map(plain.join(_lists(open_cells, "a", "lo", "hi"), "row"), _single_rows(length), "start int, h0 long, h1 long", ["start", "h0", "h1"])
     singles = written(singles, where, "singles")
-    runs = singles.join(written(_repeated(singles, "h"), where, "strings"), "h").select("row", "start", (F.col("start") + length).alias("end"))
+    strings = written(singles.groupBy("h0", "h1").agg(F.count("*").alias("n")).filter("n > 1").select("h0", "h1"), where, "strings")
+    runs = singles.join(strings, ["h0", "h1"]).select("row", "start", (F.col("start") + length).alias("end"))
     sure = left.filter("sure").select("row", (F.col("a") - F.col("hi")).alias("start"), (F.col("a") - F.col("lo") + length).alias("end"))
     covered = runs.unionByName(sure).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("found"))
-    rows = spark.table(name).join(covered, "row", "left").select("doc_id", "text", "found")
-    return _removed(rows)
+    return _removed(texts.join(covered, "row", "left").select("doc_id", "text", "found"))
 
 
 def _removed(rows: DataFrame) -> DataFrame:

@@ -176,17 +176,32 @@ def test_repeated_spans(docs, texts, empty, size, q, cell):
     assert spans.repeated_spans(empty).count() == 0
 
 
+def test_repeated_spans_at_the_defaults(spark):
+    rng = random.Random(8)
+    shared = [passage(rng, n) for n in (70, 75, 80, 120, 400)]
+    rows = [" ".join([passage(rng, rng.randrange(120)), rng.choice(shared), passage(rng, rng.randrange(120)), rng.choice(shared)]) for _ in range(60)]
+    rows += [rows[0], rows[1][:500], rows[2] + "ä" * 900, "x" * 401, "y" * 400, "z" * 399, "é" * 300]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    got = by_id(spans.repeated_spans(df))
+    for i, want in enumerate(_repeats(rows, spans.LENGTH)):
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, bytes(got[i].kept)) == want
+
+
 def test_repeated_spans_over_segments(monkeypatch):
     rng = np.random.default_rng(1)
     data = rng.integers(97, 105, 5000, dtype=np.uint8)
-    whole = spans.anchors(data, 40, 8)
+    stops = np.array([1200, 1210, 3333, 5000])
+    monkeypatch.setattr(spans, "SEGMENT", 1 << 20)
+    whole, starts = spans.anchors(data, stops, 40, 8), np.arange(0, 4900, 7)
+    ids = spans.at_places(data, [(starts, 60), (starts, 32), (starts + 1, 7)])
     monkeypatch.setattr(spans, "SEGMENT", 300)
-    for a, b in zip(whole, spans.anchors(data, 40, 8), strict=True):
+    for a, b in zip(whole, spans.anchors(data, stops, 40, 8), strict=True):
         assert np.array_equal(a, b)
-    starts = np.arange(0, 4900, 7)
-    cut = spans.hashes(data, starts, starts + 60)
-    monkeypatch.setattr(spans, "SEGMENT", 1 << 20)
-    assert np.array_equal(cut, spans.hashes(data, starts, starts + 60))
+    for one, cut in zip(ids, spans.at_places(data, [(starts, 60), (starts, 32), (starts + 1, 7)]), strict=True):
+        assert all(np.array_equal(a, b) for a, b in zip(one, cut, strict=True))
+    strings = [data[s : s + 60].tobytes() for s in starts]
+    pairs = list(zip(*ids[0], strict=True))
+    assert len(set(strings)) == len(set(pairs)) == len(set(zip(strings, pairs, strict=True)))
 
 
 def test_rules(docs, texts, empty):
