@@ -12,7 +12,7 @@ bytes of each word. Special tokens in a text are found before anything else.
 
 Edge cases: null and empty texts give no ids and an empty decoded text; repeated
 rows are encoded as often as they occur; a word of any length is one word.
-Characters younger than Python's Unicode tables count as neither letter nor number.
+Characters younger than Python's Unicode tables are listed below as the library has them.
 """
 
 from __future__ import annotations
@@ -38,7 +38,21 @@ LONG_WORD = 64
 # Fixed values of the file format: what counts as white space.
 SPACES = "\t-\r \x85\xa0  -     　"
 
+# Letters and numbers of Unicode 16 and small forms of Unicode 17, which the library knows and Python's tables (15.1) don't.
+LATER_LETTERS = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+]
+LATER_NUMBERS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
+LATER_SMALL = {
+    0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B,
+    **{c: c + 0x20 for c in range(0x10D50, 0x10D66)},
+    **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)},
+}
+
 WIDE = re.compile("[\U00010000-\U0010ffff]")
+_LATER = re.compile("[" + "".join(map(chr, LATER_SMALL)) + "]")
 
 
 def _classes(last: int) -> tuple[str, str]:
@@ -52,6 +66,8 @@ def _classes(last: int) -> tuple[str, str]:
                 runs[-1][1] = c
             else:
                 runs.append([c, c])
+    found["L"] += [list(r) for r in LATER_LETTERS if r[0] <= last]
+    found["N"] += [list(r) for r in LATER_NUMBERS if r[0] <= last]
     letters, numbers = ("".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in found[k]) for k in "LN")
     return letters, numbers
 
@@ -160,6 +176,8 @@ class Bpe:
         text = unicodedata.normalize("NFC", text)
         # one letter at a time, so no final sigma
         text = text.replace("Σ", "σ").lower()
+        if not text.isascii() and _LATER.search(text):
+            text = text.translate(LATER_SMALL)
         return word_pattern(WIDE.search(text) is not None).findall(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
