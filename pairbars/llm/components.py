@@ -3,7 +3,9 @@
 Each round hangs the larger neighbours of every node on its smallest one
 (large star), then the smaller ones (small star). Rounds are joins and
 pre-aggregated minima, each written to the work folder, so a lost executor costs
-one round at most and no group is ever gathered in one task.
+one round at most. The minima are written before the links are joined with them:
+both sides of the join then are shuffles, and Spark can split a node on which
+millions of links hang over several tasks.
 """
 
 from __future__ import annotations
@@ -27,9 +29,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     for k in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = written(least, where, f"least-{k}")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = written(large, where, f"large-{k}")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), where, f"lower-{k}")
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         edges = written(small, where, f"small-{k}")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

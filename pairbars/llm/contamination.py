@@ -12,7 +12,8 @@ beyond ``BROADCAST_ROWS`` they are joined by a shuffle.
 
 Edge cases: null and empty texts have no words, so no hits, and an item without
 words is never hit; a null item_id can hit but is not listed; repeated items and
-documents count as often as they occur, equal texts are searched once.
+documents count as often as they occur. Of equal texts with a shared fingerprint one
+is extended.
 """
 
 from __future__ import annotations
@@ -128,8 +129,9 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     found = _union(parts).groupBy("key").agg(F.collect_set(F.struct("kind", "fp")).alias("fps"))
     found = written(found, where, "found")
 
-    # what is found grows with the documents, so it is never broadcast
-    hit = texts.select("key", "text").join(found.hint("merge"), "key").select("key", "fps", words_of(F.col("text")).alias("words"))
+    # one text of each key, chosen before the shuffle; what is found grows with the documents, so it is never broadcast
+    once = texts.select("key", "text").dropDuplicates(["key"])
+    hit = once.join(found.hint("merge"), "key").select("key", "fps", words_of(F.col("text")).alias("words"))
     hit = hit.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
     parts = []
     for kind in kinds:

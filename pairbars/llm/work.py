@@ -16,11 +16,14 @@ CHUNK_CHARS = 1 << 20
 def work_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which all executors share.
 
-    A folder of this machine is used only where that setting is absent, as in
-    tests on one machine.
+    Where that setting is absent, a local session, as in tests, gets a folder of
+    this machine; on a cluster that is an error, since each executor would write
+    to its own disk.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-llm-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/work-{uuid.uuid4().hex}"
