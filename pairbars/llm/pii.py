@@ -1,15 +1,17 @@
 """PII: base rules, and a character-level bidirectional LSTM with CRF transitions.
 
 The base rules find e-mail addresses, IP addresses, card numbers and telephone
-numbers. Their spans in a bounded sample of documents, partly rewritten to other
-usual forms, are the labelled spans from which the network is trained in numpy.
-The network reads overlapping windows. What windows say of a place is averaged,
-more for places in a window's middle, and one Viterbi path over the whole stretch
-of windows decides, so a span may cross windows. A base span always stays; a span
-of the network is added where it meets no base span.
-
-Every kind has a digit or an at sign, so windows that are neither such a place's
-nor next to one's are not read: no span can lie there.
+numbers. Their spans in a bounded sample of documents, half of them rewritten to forms
+that the rules miss (``name at host dot com``, ``10[.]0[.]0[.]1``, card numbers with
+dots, telephone numbers without a country), are the labelled spans from which the
+network is trained in numpy. The network reads overlapping windows. What windows say
+of a place is averaged, more for places in a window's middle, and one Viterbi path
+over the whole stretch of windows decides, so a span may cross windows, and a stretch
+may be as long as its text (about 100 bytes of memory a character). A base span
+always stays; a span of the network is added where it meets no base span.
+
+Every labelled form holds a digit, an at sign or a spelt-out dot or at. Windows that
+are neither such a place's nor next to one's are not read.
 
 Edge cases: null and empty texts have no spans; repeated rows give equal rows;
 without any labelled span the network is left out; offsets are code points.
@@ -27,18 +29,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairbars.llm.work import chunks, with_text
+from pairbars.llm.work import chunks, with_text, work_dir, written
 
 KINDS = ["email", "ip", "card", "phone"]
 WINDOW, STRIDE = 64, 32
-SAMPLE_DOCS, SAMPLE_WINDOWS = 8_000, 2_400
-CONFIDENCE = 0.8
-#: Windows of a stretch at most, for bounded memory; a longer one is decoded in pieces that meet in half a window.
-LONGEST = 1024
+#: Documents that labelled spans are taken from, spans of a kind in one document, and windows to learn from, at most.
+SAMPLE_DOCS, SAMPLE_SPANS, SAMPLE_WINDOWS = 8_000, 6, 3_600
+CONFIDENCE = 0.5
+#: Characters of the shortest labelled form.
+SHORTEST = 7
 CHARS = 129  # ASCII, and one for all others
 TAGS = 1 + 2 * len(KINDS)  # outside; first and further characters of each kind
 
-_ANCHOR = re.compile(r"[0-9@]")
+_ANCHOR = re.compile(r"[0-9@]|\b[Dd][Oo][Tt]\b|[\[({] ?[Aa][Tt] ?[\])}]")
+_DIGIT_OR_AT = re.compile(r"[0-9@]")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
@@ -57,7 +61,7 @@ def _luhn(digits: str) -> bool:
 def base_spans(text: str) -> list[Span]:
     """The spans of the base rules, by kind, then start. Linear in the text."""
     found: list[Span] = []
-    if not _ANCHOR.search(text):
+    if not _DIGIT_OR_AT.search(text):
         return found
     end, at = 0, text.find("@")
     while at >= 0:
@@ -212,41 +216,50 @@ class Network:
 
 
 def other_form(kind: int, text: str, rng: np.random.Generator) -> str:
-    """A labelled span in another usual form of its kind."""
+    """A labelled span in another usual form of its kind, which the base rules miss."""
     digits = _NOT_DIGITS.sub("", text)
-    choice = int(rng.integers(3))
+    pick = lambda forms: forms[int(rng.integers(len(forms)))]
     if kind == 0:
-        return text.replace("@", [" @ ", "@ ", " @"][choice])
+        name, host = text.split("@", 1)
+        at, dot = pick([(" at ", " dot "), (" AT ", " DOT "), ("[at]", "[dot]"), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" (at) ", " (dot) "), (" @ ", "."), (" @ ", " . "), ("[at]", "."), (" (at) ", ".")])
+        return name + at + host.replace(".", dot)
+    if kind == 1:
+        return pick([" . ", "[.]", "(.)", " dot ", "[dot]"]).join(text.split("."))
     if kind == 2:
-        return [" ", "-", "."][choice].join(digits[i : i + 4] for i in range(0, len(digits), 4))
-    if kind == 3 and len(digits) >= 10:
-        a, b, c = digits[-10:-7], digits[-7:-4], digits[-4:]
-        return [f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}"][choice]
-    return text
+        return pick([".", "/", "_", "  ", " - "]).join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    if len(digits) < 10:
+        return pick(["00", "(00)", "tel "]) + digits
+    a, b, c, country = digits[-10:-7], digits[-7:-4], digits[-4:], digits[:-10]
+    return pick([f"({a}) {b}-{c}", f"({a}) {b} {c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"00{country} {a} {b} {c}", f"{a} {b} {c}"])
 
 
-def training_windows(text: str, rng: np.random.Generator) -> list[tuple[str, list[int]]]:
-    """Windows at random places about each base span, some rewritten, and about other places with a digit or at sign."""
+def training_windows(text: str, rng: np.random.Generator, spans_of_a_kind: int = SAMPLE_SPANS) -> list[tuple[int, str, list[int]]]:
+    """Windows at random places about base spans, as they are and rewritten, and about other places that are read; with the kind, or -1."""
     spans, out = base_spans(text), []
     marked = tags(len(text), spans)
-    for kind, a, b in spans:
-        if marked[a] != 1 + 2 * kind or b - a >= WINDOW:
+    few = [s for kind in range(len(KINDS)) for s in _some([x for x in spans if x[0] == kind], spans_of_a_kind, rng)]
+    for kind, a, b in few:
+        if marked[a] != 1 + 2 * kind:
             continue
         left, right = text[max(0, a - WINDOW) : a], text[b : b + WINDOW]
         left_tags, right_tags = marked[max(0, a - WINDOW) : a], marked[b : b + WINDOW]
-        span = other_form(kind, text[a:b], rng) if rng.random() < 0.3 else text[a:b]
-        whole = left + span + right
-        whole_tags = np.concatenate([left_tags, tags(len(span), [(kind, 0, len(span))]), right_tags])
-        start = int(np.clip(len(left) - rng.integers(0, WINDOW), 0, max(0, len(whole) - WINDOW)))
-        out.append((whole[start : start + WINDOW], whole_tags[start : start + WINDOW].tolist()))
+        for span in (text[a:b], other_form(kind, text[a:b], rng)):
+            whole = left + span + right
+            whole_tags = np.concatenate([left_tags, tags(len(span), [(kind, 0, len(span))]), right_tags])
+            start = int(np.clip(len(left) + len(span) // 2 - rng.integers(0, WINDOW), 0, max(0, len(whole) - WINDOW)))
+            out.append((kind, whole[start : start + WINDOW], whole_tags[start : start + WINDOW].tolist()))
     others = [m.start() for m in _ANCHOR.finditer(text) if not marked[m.start()]]
-    for at in rng.choice(others, min(len(others), 2), replace=False) if others else []:
+    for at in _some(others, 2, rng):
         start = int(np.clip(at - rng.integers(0, WINDOW), 0, max(0, len(text) - WINDOW)))
-        out.append((text[start : start + WINDOW], marked[start : start + WINDOW].tolist()))
-    return [(w, t) for w, t in out if w]
+        out.append((-1, text[start : start + WINDOW], marked[start : start + WINDOW].tolist()))
+    return [x for x in out if x[1]]
+
+
+def _some(items: list, n: int, rng: np.random.Generator) -> list:
+    return items if len(items) <= n else [items[i] for i in sorted(rng.choice(len(items), n, replace=False))]
 
 
-def fit(windows: list[tuple[str, list[int]]], hidden: int = 24, epochs: int = 14, batch: int = 48, rate: float = 0.01, seed: int = 11) -> Network | None:
+def fit(windows: list[tuple[str, list[int]]], hidden: int = 24, epochs: int = 8, batch: int = 96, rate: float = 0.02, seed: int = 11) -> Network | None:
     """Adam over shuffled batches; windows come in a fixed order, so the result is the same on every run."""
     if not any(any(t) for _, t in windows):
         return None
@@ -277,11 +290,11 @@ def _stretches(text: str) -> list[tuple[int, int]]:
     last = max(0, -(-(len(text) - WINDOW) // STRIDE))
     out: list[list[int]] = []
     for m in _ANCHOR.finditer(text):
-        a, b = max(0, m.start() // STRIDE - 2), min(last, m.start() // STRIDE + 1)
-        if out and a <= out[-1][1] + 1 and b - out[-1][0] < LONGEST:
+        a, b = max(0, m.start() // STRIDE - 2), min(last, (m.end() - 1) // STRIDE + 1)
+        if out and a <= out[-1][1] + 1:
             out[-1][1] = max(b, out[-1][1])
-        elif not out or b > out[-1][1]:
-            out.append([max(a, out[-1][1] + 1) if out else a, b])
+        else:
+            out.append([a, b])
     return [(a, b) for a, b in out]
 
 
@@ -303,22 +316,31 @@ def network_spans(texts: list[str], net: Network, windows_at_once: int = 2048) -
     return found
 
 
+def _emitted(text: str, a: int, b: int) -> np.ndarray:
+    """The characters of a stretch of windows."""
+    ids = char_ids(text[a * STRIDE : b * STRIDE + WINDOW])
+    return np.append(ids, np.full((b - a) * STRIDE + WINDOW - len(ids), ord(" "), np.int64))
+
+
 def _read(texts: list[str], group: list[tuple[int, int, int]], net: Network, found: list[list[Span]]) -> None:
-    each = []
-    for i, a, b in group:
-        ids = char_ids(texts[i][a * STRIDE : b * STRIDE + WINDOW])
-        each.append(np.append(ids, np.full((b - a) * STRIDE + WINDOW - len(ids), ord(" "), np.int64)))
-    rows = np.concatenate([np.lib.stride_tricks.sliding_window_view(x, WINDOW)[::STRIDE] for x in each])
-    emitted = np.concatenate([net.emissions(rows[s : s + 4096]) for s in range(0, len(rows), 4096)]) * _WEIGHT[:, None]
+    each = [_emitted(texts[i], a, b) for i, a, b in group]
+    total = [np.zeros((len(x), TAGS), np.float32) for x in each]
+    rows = [np.lib.stride_tricks.sliding_window_view(x, WINDOW)[::STRIDE] for x in each]
+    owner = np.repeat(np.arange(len(group)), [len(r) for r in rows])
+    place = np.concatenate([np.arange(len(r)) * STRIDE for r in rows])
+    starts = np.cumsum([0] + [len(r) for r in rows])
+    for s in range(0, len(owner), 4096):
+        k = owner[s : s + 4096]
+        some = [rows[j][max(0, s - starts[j]) : s + 4096 - starts[j]] for j in range(k[0], k[-1] + 1)]
+        for j, at, e in zip(k, place[s : s + 4096], net.emissions(np.concatenate(some)) * _WEIGHT[:, None], strict=True):
+            total[j][at : at + WINDOW] += e
     by_length: dict[int, list[tuple[int, int, np.ndarray]]] = {}
-    at = 0
-    for (i, a, b), x in zip(group, each, strict=True):
-        total, weight = np.zeros((len(x), TAGS), np.float32), np.zeros(len(x), np.float32)
-        for w in range(b - a + 1):
-            total[w * STRIDE : w * STRIDE + WINDOW] += emitted[at + w]
-            weight[w * STRIDE : w * STRIDE + WINDOW] += _WEIGHT
-        at += b - a + 1
-        by_length.setdefault(len(x), []).append((i, a * STRIDE, total / weight[:, None]))
+    for (i, a, _), x in zip(group, total, strict=True):
+        weight = np.zeros(len(x), np.float32)
+        for half in range(0, WINDOW, STRIDE):  # what the windows that start at even and odd strides weigh
+            first = np.arange(half, len(x) - WINDOW + 1, WINDOW)
+            weight[(first[:, None] + np.arange(WINDOW)).ravel()] += np.tile(_WEIGHT, len(first))
+        by_length.setdefault(len(x), []).append((i, a * STRIDE, x / weight[:, None]))
     for same in by_length.values():
         e = np.stack([x for _, _, x in same])
         sure = np.exp(e - e.max(2, keepdims=True))
@@ -346,7 +368,7 @@ def all_spans(texts: list[str], net: Network | None) -> list[list[tuple[int, int
             for _, a, b, _ in spans:
                 taken[a:b] = True
             for kind, a, b in more:
-                if b - a >= 7 and _ANCHOR.search(text, a, b) and not taken[a:b].any():
+                if b - a >= SHORTEST and not taken[a:b].any():
                     spans.append((kind, a, b, False))
                     taken[a:b] = True
         out.append(sorted(spans))
@@ -354,19 +376,26 @@ def all_spans(texts: list[str], net: Network | None) -> list[list[tuple[int, int
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, sample_windows: int = SAMPLE_WINDOWS) -> Network | None:
-    """Learns from windows of at most ``sample_docs`` documents, chosen by a hash of the id; only windows reach the driver."""
+    """Learns from windows of at most ``sample_docs`` documents, chosen by a hash of the id.
+
+    Each kind, and windows without a span, have an equal share of ``sample_windows`` at
+    most, chosen by a hash of the window; only these reach the driver.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in chunks(batch):
-                rows = [(i, w, t) for i, x in zip(part.column(0).to_pylist(), texts, strict=True) for w, t in training_windows(x, np.random.default_rng(len(x)))]
-                columns = list(zip(*rows, strict=True)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.list_(pa.int64()))], ["h", "w", "t"])
+                rows = [(i, k, w, t) for i, x in zip(part.column(0).to_pylist(), texts, strict=True) for k, w, t in training_windows(x, np.random.default_rng(len(x)))]
+                columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
+                kinds = [pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["h", "k", "w", "t"])
 
     keyed = with_text(docs, id_col, text_col).withColumn("h", F.xxhash64("doc_id"))
     ids = keyed.select("h").distinct().orderBy("h").limit(sample_docs)
-    rows = keyed.join(F.broadcast(ids), "h").filter(F.col("text").rlike("[0-9@]")).select("h", "text").mapInArrow(run, "h long, w string, t array<long>")
-    chosen = rows.orderBy("h", "w", "t").limit(sample_windows).collect()
+    rows = keyed.join(F.broadcast(ids), "h").filter(F.col("text").rlike("[0-9@]")).select("h", "text").mapInArrow(run, "h long, k int, w string, t array<long>")
+    rows = written(rows.withColumn("order", F.xxhash64("h", "w")), work_dir(docs.sparkSession), "windows")
+    share = -(-sample_windows // (1 + len(KINDS)))
+    chosen = [r for k in range(-1, len(KINDS)) for r in rows.filter(F.col("k") == k).orderBy("order", "w", "t").limit(share).collect()]
     return fit([(r.w, r.t) for r in chosen])
 
 
