@@ -18,7 +18,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, fo
     The choice is by a hash of the id, so it is the same on every run and
     independent of the label. The chosen ids are few (``max_rows``), so they are
     broadcast to the documents. Null labels and ids are left out; of repeated
-    labels of an id the smallest counts; repeated documents all count.
+    labels of an id the smallest counts; of repeated documents see ``one_of_each``.
     """
     ids = (
         labels.select(F.col("doc_id"), F.col(label).cast("int").alias("y"))
@@ -29,3 +29,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, fo
         .limit(max_rows)
     )
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y")
+
+
+def one_of_each(rows: DataFrame, *columns: str) -> DataFrame:
+    """One row for each ``doc_id``, that with the smallest ``columns``: no more rows than ids, and the same on every run."""
+    return rows.groupBy("doc_id").agg(F.min(F.struct(*columns)).alias("x")).select("doc_id", "x.*")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairbars.llm.labelled import held_out, training_rows
+from pairbars.llm.labelled import held_out, one_of_each, training_rows
 from pairbars.llm.work import chunks, with_text
 
 FOLDS, FOLD = 5, 0
@@ -191,7 +191,8 @@ def feature_rows(rows: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS) -> Gam:
     """Learns from at most ``max_rows`` labelled rows outside the held-out fold; only their features reach the driver."""
-    rows = sorted((r.doc_id, r.mark, r.y, r.x) for r in feature_rows(training_rows(docs, labels, label, FOLDS, FOLD, max_rows)).limit(2 * max_rows).collect())
+    rows = one_of_each(feature_rows(training_rows(docs, labels, label, FOLDS, FOLD, max_rows)), "mark", "y", "x")
+    rows = sorted((r.doc_id, r.mark, r.y, r.x) for r in rows.collect())
     return fit(np.array([r[3] for r in rows]).reshape(len(rows), len(FEATURES)), np.array([r[2] for r in rows], float))
 
 

@@ -1,19 +1,21 @@
 """Toxicity: a factorization machine over hashed terms.
 
 A text is the set of its hashed words and of their hashed beginnings, so that
-inflected forms share a term. The machine adds a weight for each term and
-the inner product of the factor vectors of each pair of terms, in time linear in
-the terms: half the difference of the squared sum and the sum of squares. So it
-learns that two harmless words together are not harmless, which weights that only
-add up cannot.
+inflected forms share a term; a beginning that several different words of the text
+share also counts as a term for two, three and four of them or more. The machine
+adds a weight for each term and the inner product of the factor vectors of each pair
+of terms, in time linear in the terms: half the difference of the squared sum and
+the sum of squares. So it learns that two harmless words together are not harmless,
+which weights that only add up cannot.
 
-Of the terms seen in at least ``MIN_DOCS`` training texts, the ``MAX_TERMS`` most
-associated with it (chi-square) keep parameters; the rest could only be learnt by
-heart.
+Every term of the training texts keeps parameters in a table of ``BUCKETS`` hashes,
+whichever class it speaks for. How fast a term learns follows the evidence for it:
+the number of texts with it, and its association (chi-square) with either class.
 
 Edge cases: null and empty texts have no terms and get the score of the bias;
 with no labelled rows, or one class only, every score is that of the prior;
-repeated words of a text count once, and so do terms that share a hash.
+repeated words of a text count once, and so do terms that share a hash; a text of
+any length is one set of terms.
 """
 
 from __future__ import annotations
@@ -29,15 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairbars.llm.labelled import held_out, training_rows
+from pairbars.llm.labelled import held_out, one_of_each, training_rows
 from pairbars.llm.work import chunks, with_text
 
 FOLDS, FOLD = 4, 2
 #: Rows that the machine learns from at most.
 MAX_ROWS = 12_000
-MIN_DOCS = 5
-MAX_TERMS = 2_000
 BEGINNING = 4
+SHARED = 4
 BUCKETS = 1 << 20
 THRESHOLD = 0.3
 REMEMBERED = 300_000
@@ -58,8 +59,14 @@ def terms(texts: list[str]) -> list[np.ndarray]:
     words = [set(_EDGES.sub(b" ", t.lower().encode("utf-8", "replace")).split()) for t in texts]
     for w in set().union(*words) - _known.keys():
         _known[w] = _hashed(w)
-    get = _known.__getitem__
-    return [np.unique(np.fromiter(chain.from_iterable(map(get, w)), np.int64, 2 * len(w))) for w in words]
+    get, out = _known.__getitem__, []
+    for found in words:
+        both = np.fromiter(chain.from_iterable(map(get, found)), np.int64, 2 * len(found)).reshape(-1, 2)
+        starts, counts = np.unique(both[:, 1], return_counts=True)
+        # a term for two words of a beginning, another for three, and so on
+        shared = [(starts[counts >= n] * 2654435761 + n * 40503) % BUCKETS for n in range(2, SHARED + 1)]
+        out.append(np.unique(np.concatenate([both[:, 0], starts, *shared])))
+    return out
 
 
 @dataclass
@@ -89,49 +96,46 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.margin(terms(texts)), -30, 30)))
 
 
-def fit(found: list[np.ndarray], y: np.ndarray, k: int = 4, rounds: int = 120, rate: float = 0.1, decay: float = 2e-4, factor_decay: float = 2e-4, seed: int = 7) -> Machine:
+def evidence(docs: np.ndarray, ones: np.ndarray, n: int, positive: float) -> np.ndarray:
+    """From 0 to 1: how sure it is that a term in ``docs`` of ``n`` rows, ``ones`` of them positive, speaks for a class."""
+    rate = positive / n
+    chi = (ones - docs * rate) ** 2 / (docs * rate * (1 - rate))
+    return (docs / (docs + 10) * chi / (chi + 30)) ** 2
+
+
+def fit(found: list[np.ndarray], y: np.ndarray, k: int = 4, rounds: int = 60, rate: float = 0.2, decay: float = 2e-4, seed: int = 7) -> Machine:
     """Log loss by Adam over all rows at once; rows come in a fixed order, so the result is the same on every run."""
     n = len(y)
     prior = (y.sum() + 1) / (n + 2)
-    base = float(np.log(prior / (1 - prior)))
+    bias = float(np.log(prior / (1 - prior)))
     flat = np.concatenate(found) if n else np.zeros(0, np.int64)
+    if not len(flat) or y.min() == y.max():
+        return Machine(np.zeros(0, np.int64), bias, np.zeros(1, np.float32), np.zeros((1, k), np.float32))
     row = np.repeat(np.arange(n), [len(x) for x in found])
-    docs, ones = np.bincount(flat, minlength=BUCKETS), np.bincount(flat, y[row], BUCKETS)
-    share = ones.astype(float) / max(1, y.sum()), (docs - ones) / max(1, n - y.sum())
-    gain = np.where((docs >= MIN_DOCS) & (share[0] > share[1]), (share[0] - share[1]) ** 2 / np.maximum(docs, 1), 0)
-    kept = np.sort(np.argsort(-gain, kind="stable")[:MAX_TERMS])
-    kept = kept[gain[kept] > 0]
-    if n == 0 or y.min() == y.max() or not len(kept):
-        return Machine(np.zeros(0, np.int64), base, np.zeros(1), np.zeros((1, k)))
-    at = np.minimum(np.searchsorted(kept, flat), len(kept) - 1)
-    here = kept[at] == flat
-    row, at = row[here], at[here]
-    full, starts = np.unique(row, return_index=True)  # rows with a kept term
-    place = np.searchsorted(full, row)
-    by_term = np.argsort(at, kind="stable")
-    term_starts = np.searchsorted(at[by_term], np.arange(len(kept)))
+    kept, at, docs = np.unique(flat, return_inverse=True, return_counts=True)
     m = len(kept)
-    w, v = np.zeros(m), np.random.default_rng(seed).normal(0, 0.01, (m, k))
-    state = {name: (np.zeros_like(p), np.zeros_like(p)) for name, p in (("w", w), ("v", v))}
-    y_full, bias = y[full], base
-    row_terms, place_terms = at, place[by_term]
+    pace = (rate * evidence(docs, np.bincount(at, y[row], m), n, float(y.sum()))).astype(np.float32)
+    full, starts = np.unique(row, return_index=True)  # rows with a term
+    place = np.searchsorted(full, row)[by_term := np.argsort(at, kind="stable")]
+    term_starts = np.searchsorted(at[by_term], np.arange(m))
+    w, v = np.zeros((m, 1), np.float32), np.random.default_rng(seed).normal(0, 0.01, (m, k)).astype(np.float32)
+    state = [(np.zeros_like(p), np.zeros_like(p)) for p in (w, v)]
+    y_full = y[full]
     for t in range(1, rounds + 1):
-        vt = v[row_terms]
+        vt = v[at]
         sums = np.add.reduceat(vt, starts)
-        margin = bias + np.add.reduceat(w[row_terms], starts) + 0.5 * (sums**2 - np.add.reduceat(vt * vt, starts)).sum(1)
-        g = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y_full) / n
-        gt = g[place_terms]
-        gw = np.add.reduceat(gt, term_starts)
+        margin = bias + np.add.reduceat(w[at, 0], starts) + 0.5 * (sums**2 - np.add.reduceat(vt * vt, starts)).sum(1)
+        g = ((1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y_full) / n).astype(np.float32)
+        gw = np.add.reduceat(g[place], term_starts)[:, None]
         # d margin / d v of a term in a row: the sum of the row's factors without its own
-        gv = np.add.reduceat(gt[:, None] * sums[place_terms], term_starts) - gw[:, None] * v
-        bias -= rate * float(g.sum()) * 10
-        for name, p, grad, lam in (("w", w, gw, decay), ("v", v, gv, factor_decay)):
-            grad = grad + lam * p / 10
-            a, b = state[name]
+        gv = np.add.reduceat((g[:, None] * sums)[place], term_starts) - gw * v
+        bias -= 10 * rate * float(g.sum())
+        for p, grad, (a, b) in ((w, gw, state[0]), (v, gv, state[1])):
+            grad = grad + decay / 10 * p
             a += 0.1 * (grad - a)
             b += 0.01 * (grad * grad - b)
-            p -= rate * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.99**t)) + 1e-6)
-    return Machine(kept, bias, np.append(w, 0), np.vstack([v, np.zeros(k)]))
+            p -= pace[:, None] * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.99**t)) + 1e-6)
+    return Machine(kept, bias, np.append(w[:, 0], np.float32(0)), np.vstack([v, np.zeros((1, k), np.float32)]))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS) -> Machine:
@@ -145,8 +149,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
 
     chosen = training_rows(docs, labels, label, FOLDS, FOLD, max_rows)
     kind = chosen.schema["doc_id"].dataType.simpleString()
-    rows = chosen.select("doc_id", "text", "y").mapInArrow(run, f"doc_id {kind}, y int, terms binary").limit(2 * max_rows).collect()
-    rows = sorted((r.doc_id, bytes(r.terms), r.y) for r in rows)
+    rows = chosen.select("doc_id", "text", "y").mapInArrow(run, f"doc_id {kind}, y int, terms binary")
+    rows = sorted((r.doc_id, bytes(r.terms), r.y) for r in one_of_each(rows, "terms", "y").collect())
     return fit([np.frombuffer(r[1], "<i4").astype(np.int64) for r in rows], np.array([r[2] for r in rows], float))
 
 
