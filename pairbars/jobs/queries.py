@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,6 +63,19 @@ for _tf, _start in (("H4", "time_bucket(INTERVAL 4 HOUR, ts)"), ("W1", "date_tru
     query(f"s5_resample_{_tf.lower()}", sql("eticks", f"SELECT {_SOME} FROM ({bars('eticks', _start, 'ts, event_id')})"))(lambda s, d, tf=_tf: src.resample(fx.intraday_ticks(s, d), tf, ["ts", "event_id"]))
 query("s5_coarser", sql("bars", f"""SELECT {_SOME} FROM (SELECT symbol, date_trunc('month', bar_ts)::TIMESTAMP AS bar_ts, first(open ORDER BY bar_ts) AS open, max(high) AS high, min(low) AS low, last(close ORDER BY bar_ts) AS close,
   sum(tick_volume)::BIGINT AS tick_volume, max(spread) AS spread, sum(real_volume)::BIGINT AS real_volume FROM bars GROUP BY symbol, date_trunc('month', bar_ts))"""))(lambda s, d: src.coarser(fx.daily(s, d), "MN1"))
+
+
+@query("s6_write_dataset", sql("pb0", f"SELECT format, pair_id, bar_ts, {rs('a_close', 'b_close')} FROM pb0, (VALUES ('csv'), ('parquet')) t(format)"))
+def _s6(s: SparkSession, d: str) -> DataFrame:
+    """Written to a new folder below the shared one, and read again."""
+    root = s.conf.get("spark.checkpoint.dir", None) or s.conf.get("spark.sql.warehouse.dir")
+    where, rows = f"{root.rstrip('/')}/dataset-{uuid.uuid4().hex}", fx.daily_pairs(s, d).select("pair_id", "bar_ts", "a_close", "b_close")
+    src.write_dataset(rows, where)
+    read = {"parquet": s.read.schema(rows.schema).parquet(f"{where}/parquet"), "csv": s.read.schema(rows.schema).option("header", True).csv(f"{where}/csv")}
+    each = [df.select(F.lit(name).alias("format"), *rows.columns) for name, df in read.items()]
+    return each[0].unionByName(each[1])
+
+
 query("s7_run_metadata", sql("pb", """SELECT pair_id, '2026-01-01T00:00:00Z' AS run_at, 50000::BIGINT AS bars_requested, count(*) AS bars_actual, '{"beta_window":"100","timeframe":"D1"}' AS parameters FROM pb GROUP BY pair_id"""))(
     lambda s, d: src.run_metadata(fx.daily_pairs(s, d), {"timeframe": "D1", "beta_window": "100"}, "2026-01-01T00:00:00Z", 50_000)
 )
@@ -69,27 +83,36 @@ query("s8_require_min_bars", sql("bars", "SELECT symbol, bar_ts FROM bars WHERE
 
 # cleaning
 
+
+def _listed(df: DataFrame, times: str) -> DataFrame:
+    """Times as text, which both engines compare alike."""
+    return df.withColumn(times, F.array_join(F.transform(times, lambda t: F.date_format(t, "yyyy-MM-dd HH:mm:ss")), ","))
+
+
 _F = f"symbol, bar_ts, {rs('open', 'high', 'low', 'close')}, tick_volume, spread, real_volume, seq"
 query("c1_drop_null_bars", sql("c1", f"SELECT {_F} FROM c1"))(lambda s, d: cleaning.drop_null_bars(fx.faulty(s, d)))
 query("c2_drop_zero_price", sql("c2", f"SELECT {_F} FROM c2"))(lambda s, d: cleaning.drop_zero_price(cleaning.drop_null_bars(fx.faulty(s, d))))
 query("c3_drop_invalid_ohlc", sql("c3", f"SELECT {_F} FROM c3"))(lambda s, d: cleaning.drop_invalid_ohlc(cleaning.drop_zero_price(cleaning.drop_null_bars(fx.faulty(s, d)))))
 query("c4_drop_duplicate_bars", sql("faulty", f"SELECT {_F} FROM (SELECT *, row_number() OVER (PARTITION BY symbol, bar_ts ORDER BY seq) AS k FROM faulty) WHERE k = 1"))(lambda s, d: cleaning.drop_duplicate_bars(fx.faulty(s, d)))
-query("c5_infer_frequency", sql("bars", "SELECT symbol, CASE WHEN n >= 3 AND a = b THEN a END AS step_seconds FROM (SELECT symbol, count(*) AS n, min(dt) AS a, max(dt) AS b FROM (SELECT symbol, row_number() OVER w AS k, epoch(bar_ts)::BIGINT - lag(epoch(bar_ts)::BIGINT) OVER w AS dt FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY bar_ts)) WHERE k <= 5 GROUP BY symbol)"))(
-    lambda s, d: cleaning.infer_frequency(fx.daily(s, d), first=5)
+part("dts", "bars", "SELECT symbol, bar_ts, row_number() OVER w AS k, epoch(bar_ts)::BIGINT - lag(epoch(bar_ts)::BIGINT) OVER w AS dt FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY bar_ts)")
+query("c5_infer_frequency", sql("dts", """SELECT symbol, CASE WHEN n < 3 THEN NULL WHEN a = b THEN a WHEN weekly THEN 86400 END AS step_seconds, n >= 3 AND a < b AND weekly AS weekdays_only
+FROM (SELECT symbol, count(*) AS n, min(dt) AS a, max(dt) AS b, bool_and(isodow(bar_ts) < 6 AND (dt IS NULL OR dt = CASE WHEN isodow(bar_ts) = 1 THEN 259200 ELSE 86400 END)) AS weekly FROM dts WHERE k <= 100 GROUP BY symbol)"""))(
+    lambda s, d: cleaning.infer_frequency(fx.daily(s, d))
 )
 query("c6_missing_bars", sql("gaps", "SELECT symbol, bar_ts::TIMESTAMP AS bar_ts FROM gaps"))(lambda s, d: cleaning.missing_bars(cleaning.clean_bars(fx.faulty(s, d)), 86_400))
 query(
     "c7_quality_report",
     sql(
         "c4 gaps",
-        """SELECT symbol, total_bars, null_values, zero_prices, invalid_ohlc, duplicates, coalesce(missing_total, 0) AS missing_total, first_missing::TIMESTAMP AS first_missing, coalesce(least(missing_total, 10), 0) AS missing_listed
+        """SELECT symbol, total_bars, null_values, zero_prices, invalid_ohlc, duplicates, coalesce(missing_total, 0) AS missing_total, first_missing::TIMESTAMP AS first_missing, coalesce(least(missing_total, 10), 0) AS missing_listed, coalesce(gaps, '') AS gaps
 FROM (SELECT symbol, count(*) AS total_bars, sum((open IS NULL)::INT + (high IS NULL)::INT + (low IS NULL)::INT + (close IS NULL)::INT)::BIGINT AS null_values FROM faulty GROUP BY symbol)
 JOIN (SELECT symbol, sum((open = 0 OR high = 0 OR low = 0 OR close = 0)::INT)::BIGINT AS zero_prices FROM c1 GROUP BY symbol) USING (symbol)
 JOIN (SELECT symbol, sum((NOT (open BETWEEN low AND high AND close BETWEEN low AND high AND low <= high))::INT)::BIGINT AS invalid_ohlc FROM c2 GROUP BY symbol) USING (symbol)
 JOIN (SELECT symbol, count(*) - count(DISTINCT bar_ts) AS duplicates FROM c3 GROUP BY symbol) USING (symbol)
-LEFT JOIN (SELECT symbol, count(*) AS missing_total, min(bar_ts) AS first_missing FROM gaps GROUP BY symbol) USING (symbol)""",
+LEFT JOIN (SELECT symbol, max(n) AS missing_total, min(bar_ts) AS first_missing, string_agg(strftime(bar_ts, '%Y-%m-%d %H:%M:%S'), ',' ORDER BY bar_ts) FILTER (k <= 10) AS gaps
+           FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar_ts) AS k, count(*) OVER (PARTITION BY symbol) AS n FROM gaps) GROUP BY symbol) USING (symbol)""",
     ),
-)(lambda s, d: cleaning.quality_report(fx.faulty(s, d), step_seconds=86_400))
+)(lambda s, d: _listed(cleaning.quality_report(fx.faulty(s, d), step_seconds=86_400), "gaps"))
 query("c8_clean_bars", sql("c4", f"SELECT {_SOME} FROM c4"))(lambda s, d: cleaning.clean_bars(fx.faulty(s, d)))
 
 # joins
@@ -103,11 +126,13 @@ query(
     "j3_sync_report",
     sql(
         "ia ib ipb0",
-        """SELECT pair_id, a_bars, b_bars, matched, a_bars - matched AS a_unmatched, b_bars - matched AS b_unmatched, coalesce(missing, 0)::BIGINT AS missing, first_missing FROM (SELECT pair_id, count(*) AS a_bars FROM ia GROUP BY 1) JOIN (SELECT pair_id, count(*) AS b_bars FROM ib GROUP BY 1) USING (pair_id)
+        """SELECT pair_id, a_bars, b_bars, matched, a_bars - matched AS a_unmatched, b_bars - matched AS b_unmatched, coalesce(missing, 0)::BIGINT AS missing, first_missing, coalesce(missing_periods, '') AS missing_periods FROM (SELECT pair_id, count(*) AS a_bars FROM ia GROUP BY 1) JOIN (SELECT pair_id, count(*) AS b_bars FROM ib GROUP BY 1) USING (pair_id)
 JOIN (SELECT pair_id, count(*) AS matched FROM ipb0 GROUP BY 1) USING (pair_id)
-LEFT JOIN (SELECT pair_id, sum(epoch(nxt - bar_ts) / 1800 - 1) AS missing, min(bar_ts) + INTERVAL 30 MINUTE AS first_missing FROM (SELECT pair_id, bar_ts, lead(bar_ts) OVER (PARTITION BY pair_id ORDER BY bar_ts) AS nxt FROM ipb0) WHERE nxt > bar_ts + INTERVAL 30 MINUTE GROUP BY 1) USING (pair_id)""",
+LEFT JOIN (SELECT pair_id, sum(epoch(nxt - bar_ts) / 1800 - 1) AS missing, min(bar_ts) + INTERVAL 30 MINUTE AS first_missing FROM (SELECT pair_id, bar_ts, lead(bar_ts) OVER (PARTITION BY pair_id ORDER BY bar_ts) AS nxt FROM ipb0) WHERE nxt > bar_ts + INTERVAL 30 MINUTE GROUP BY 1) USING (pair_id)
+LEFT JOIN (SELECT pair_id, string_agg(strftime(t, '%Y-%m-%d %H:%M:%S'), ',' ORDER BY t) AS missing_periods FROM (SELECT pair_id, t, row_number() OVER (PARTITION BY pair_id ORDER BY t) AS k FROM (SELECT pair_id, unnest(generate_series(bar_ts + INTERVAL 30 MINUTE, nxt - INTERVAL 30 MINUTE, INTERVAL 30 MINUTE)) AS t
+           FROM (SELECT pair_id, bar_ts, lead(bar_ts) OVER (PARTITION BY pair_id ORDER BY bar_ts) AS nxt FROM ipb0) WHERE nxt > bar_ts + INTERVAL 30 MINUTE)) WHERE k <= 10 GROUP BY 1) USING (pair_id)""",
     ),
-)(lambda s, d: sync.sync_report(fx.intraday(s, d), sync.all_pairs(fx.intraday(s, d)), 1800))
+)(lambda s, d: _listed(sync.sync_report(fx.intraday(s, d), sync.all_pairs(fx.intraday(s, d)), 1800), "missing_periods"))
 
 # features, on each symbol's own bars
 
@@ -122,10 +147,7 @@ part("em", "bn", "SELECT symbol, bar_ts, k, close AS e9, close AS e21, close AS
 
 @query("f3_ema", sql("em", f"SELECT symbol, bar_ts, {', '.join(r(f'e{n}', f'ema_{n}') for n in (9, 21, 50, 200))} FROM em", recursive=True))
 def _f3(s: SparkSession, d: str) -> DataFrame:
-    rows = fx.daily(s, d)
-    for span in (9, 21, 50, 200):
-        rows = features.ema(rows, span)
-    return rows.select(*_KEY, *[f"ema_{n}" for n in (9, 21, 50, 200)])
+    return features.emas(fx.daily(s, d), (9, 21, 50, 200)).select(*_KEY, *[f"ema_{n}" for n in (9, 21, 50, 200)])
 
 
 _S14 = win(14, "symbol")
@@ -140,7 +162,14 @@ part("dx", "di", "SELECT *, 100 * abs(plus_di - minus_di) / nullif(plus_di + min
 query("f6_adx", sql("dx", f"SELECT symbol, bar_ts, {rs('plus_di', 'minus_di')}, {r(full('avg', 'dx', 14, _S14), 'adx_14')} FROM dx"))(lambda s, d: features.adx(fx.daily(s, d)).select(*_KEY, "plus_di", "minus_di", "adx_14"))
 _MOM = (1, 2, 3, 6, 12)
 query("f7_momentum", sql("bars", f"SELECT symbol, bar_ts, {', '.join(r(f'close / lag(close, {p}) OVER w - 1', f'momentum_{p}') for p in _MOM)} FROM bars {_W}"))(lambda s, d: features.momentum(fx.daily(s, d)).select(*_KEY, *[f"momentum_{p}" for p in _MOM]))
-query("f8_add_features", sql("ret atr em", f"SELECT symbol, bar_ts, {rs('log_return', 'atr_14')}, {r('e21', 'ema_21')} FROM ret JOIN atr USING (symbol, bar_ts) JOIN em USING (symbol, bar_ts)", recursive=True))(lambda s, d: features.add_features(fx.daily(s, d)).select(*_KEY, "log_return", "atr_14", "ema_21"))
+_FEATURES = ["log_return", "pct_return", "rsi_14", "atr_14", "plus_di", "minus_di", "adx_14", *[f"momentum_{p}" for p in _MOM], *[f"ema_{n}" for n in (9, 21, 50, 200)]]
+part("ind", "dx", f"SELECT symbol, bar_ts, plus_di, minus_di, {full('avg', 'dx', 14, _S14)} AS adx_14 FROM dx")
+part("mom", "bars", f"SELECT symbol, bar_ts, close / lag(close) OVER w - 1 AS pct_return, {', '.join(f'close / lag(close, {p}) OVER w - 1 AS momentum_{p}' for p in _MOM)} FROM bars {_W}")
+part("rs14", "ud", "SELECT symbol, bar_ts, CASE WHEN dn = 0 AND u > 0 THEN 100 ELSE 100 - 100 / (1 + u / nullif(dn, 0)) END AS rsi_14 FROM ud")
+part("ema4", "em", "SELECT symbol, bar_ts, " + ", ".join(f"e{n} AS ema_{n}" for n in (9, 21, 50, 200)) + " FROM em")
+query("f8_add_features", sql("ret atr ind mom rs14 ema4", f"SELECT symbol, bar_ts, {rs(*_FEATURES)} FROM ret JOIN (SELECT symbol, bar_ts, atr_14 FROM atr) USING (symbol, bar_ts) JOIN ind USING (symbol, bar_ts) JOIN mom USING (symbol, bar_ts) JOIN rs14 USING (symbol, bar_ts) JOIN ema4 USING (symbol, bar_ts)", recursive=True))(
+    lambda s, d: features.add_features(fx.daily(s, d)).select(*_KEY, *_FEATURES)
+)
 query("f9_rolling_volatility", sql("ret", f"SELECT symbol, bar_ts, {r(full('stddev_samp', 'log_return', 100, win(100, 'symbol')), 'volatility')} FROM ret"))(lambda s, d: features.rolling_volatility(features.log_return(fx.daily(s, d))).select(*_KEY, "volatility"))
 query("f10_volatility_regime", sql("reg", "SELECT pair_id, bar_ts, volatility_regime FROM reg"))(lambda s, d: fx.intraday_regimes(s, d).select("pair_id", "bar_ts", "volatility_regime"))
 query("f11_atr_pct", sql("atr", f"SELECT symbol, bar_ts, {r('atr_14 / close * 100', 'atr_pct')} FROM atr"))(lambda s, d: features.atr_pct(features.atr(fx.daily(s, d))).select(*_KEY, "atr_pct"))
@@ -177,7 +206,7 @@ for _id, _g in (("k4_correlation_by_session", "session"), ("k5_correlation_by_re
 part("st", "pb", "SELECT pair_id, a_log_return AS a, b_log_return AS b, row_number() OVER (PARTITION BY pair_id ORDER BY bar_ts) - 1 AS p, count(*) OVER (PARTITION BY pair_id) AS n FROM pb WHERE a_log_return IS NOT NULL AND b_log_return IS NOT NULL")
 part("stw", "st", f"SELECT pair_id, w, {corr('a', 'b')} AS c FROM (SELECT DISTINCT pair_id AS q, unnest(range(0, n - 100, 50)) AS w FROM st) JOIN st ON pair_id = q AND p BETWEEN w AND w + 99 GROUP BY 1, 2")
 query("k6_correlation_stability", sql("stw", f"SELECT pair_id, {r('avg(c)', 'mean')}, {r('stddev_pop(c)', 'std')}, {r('min(c)', 'min')}, {r('max(c)', 'max')}, count(*) AS n_windows FROM stw GROUP BY 1"))(lambda s, d: correlation.correlation_stability(fx.daily_pairs(s, d)))
-query("k7_autocorrelation", sql("pb", " UNION ALL ".join(f"SELECT pair_id, {k} AS lag, {r(corr('x', 'y'), 'autocorrelation')} FROM (SELECT pair_id, a_log_return AS x, lag(a_log_return, {k}) OVER (PARTITION BY pair_id ORDER BY bar_ts) AS y FROM pb) GROUP BY 1" for k in range(6))))(lambda s, d: correlation.autocorrelation(fx.daily_pairs(s, d), max_lag=5))
+query("k7_autocorrelation", sql("pb", " UNION ALL ".join(f"SELECT pair_id, {k} AS lag, {r(corr('x', 'y'), 'autocorrelation')} FROM (SELECT pair_id, a_log_return AS x, lag(a_log_return, {k}) OVER (PARTITION BY pair_id ORDER BY bar_ts) AS y FROM pb) GROUP BY 1" for k in range(21))))(lambda s, d: correlation.autocorrelation(fx.daily_pairs(s, d)))
 
 # lead and lag
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,8 +73,28 @@ query("p4_spread_by_regime", sql("reg", _spread("volatility_regime", "reg")))(la
 query("p5_spread_cost", sql("ipb", "SELECT pair_id, " + ", ".join(x for s in "ab" for x in (r(f"avg({s}_spread)", f"{s}_mean"), r(f"median({s}_spread)", f"{s}_median"), r(f"avg({s}_spread / {s}_close * 100)", f"{s}_cost_pct"))) + " FROM ipb GROUP BY 1"))(lambda s, d: spread.spread_cost(fx.intraday_pairs(s, d)))
 query("p6_transaction_cost", sql("ipb", f"SELECT pair_id, bar_ts, {r('(a_spread + b_spread) / 2.0 + 0.7', 'cost')} FROM ipb"))(lambda s, d: fx.intraday_pairs(s, d).select("pair_id", "bar_ts", spread.transaction_cost(F.col("a_spread"), F.col("b_spread"), 0.5, 0.2).alias("cost")))
 
-# statistical tests: no SQL for the first two, whose lag search needs a solver; tests compare them with numpy
+# statistical tests: no SQL for the first two, whose lag search needs a solver; tests compare them with numpy. With the lag fixed both have SQL
+
+
+def _lagged(name: str, source: str, x: str) -> None:
+    """Changes y, levels u before them and changes v before those, where all three are there."""
+    part(f"{name}_d", source, f"SELECT pair_id, bar_ts, {x} AS x, lag({x}) OVER w AS u, {x} - lag({x}) OVER w AS y FROM {source} WHERE {x} IS NOT NULL WINDOW w AS (PARTITION BY pair_id ORDER BY bar_ts)")
+    part(f"{name}_v", f"{name}_d", f"SELECT * FROM (SELECT pair_id, u, y, lag(y) OVER (PARTITION BY pair_id ORDER BY bar_ts) AS v FROM {name}_d) WHERE v IS NOT NULL")
+
+
+def _statistic(name: str, center: bool) -> str:
+    """The ratio of the coefficient of u to its deviation, from sums of products; with a constant they are centred."""
+    cells = [(a, b, f"sum({a} * {b})" + (f" - sum({a}) * sum({b}) / count(*)" if center else "")) for a, b in ("uu", "uv", "vv", "uy", "vy", "yy")]
+    return f"""SELECT pair_id, n, b / sqrt((yy - b * uy - c * vy) / (n - {2 + center}) * vv / (uu * vv - uv * uv)) AS statistic FROM (SELECT *, (vv * uy - uv * vy) / (uu * vv - uv * uv) AS b, (uu * vy - uv * uy) / (uu * vv - uv * uv) AS c
+      FROM (SELECT pair_id, count(*) AS n, {", ".join(f"{e} AS {a}{b}" for a, b, e in cells)} FROM {name}_v GROUP BY 1))"""
 
+
+part("ratm", "rat", "SELECT pair_id, bar_ts, ratio - avg(ratio) OVER (PARTITION BY pair_id) AS ratio FROM rat")
+_lagged("adf", "ratm", "ratio")
+part("egl", "pb", "SELECT pair_id, bar_ts, a_close - regr_slope(a_close, b_close) OVER w * b_close - regr_intercept(a_close, b_close) OVER w AS e FROM pb WINDOW w AS (PARTITION BY pair_id)")
+_lagged("eg", "egl", "e")
+query("x1_adf_one_lag", sql("adf_v", f"SELECT pair_id, {r('statistic', 'statistic')}, 1::BIGINT AS lag, n AS n_obs, {r('-2.86154 - 2.8903 / n - 4.234 / (n * n) - 40.04 / (n * n * n)', 'critical_5')} FROM ({_statistic('adf', True)})"))(lambda s, d: stattests.adf_test(fx.daily_scored(s, d), "ratio", lag=1).select("pair_id", "statistic", "lag", "n_obs", "critical_5"))
+query("x2_engle_granger_one_lag", sql("eg_v", f"SELECT pair_id, {r('statistic', 'statistic')} FROM ({_statistic('eg', False)})"))(lambda s, d: stattests.engle_granger(fx.daily_pairs(s, d), lag=1).select("pair_id", "statistic"))
 query("x1_adf_test")(lambda s, d: stattests.adf_test(fx.daily_scored(s, d), "ratio"))
 query("x2_engle_granger")(lambda s, d: stattests.engle_granger(fx.daily_pairs(s, d)))
 query("x3_half_life", sql("rat", f"SELECT pair_id, {r('CASE WHEN n < 20 THEN 0 WHEN s < 0 THEN -ln(2) / s ELSE 1e999 END', 'half_life')}, {r('CASE WHEN n >= 20 AND s < 0 THEN -s ELSE 0 END', 'speed')} FROM (SELECT pair_id, count(*) AS n, regr_slope(x - b, b) AS s FROM (SELECT pair_id, ratio AS x, lag(ratio) OVER (PARTITION BY pair_id ORDER BY bar_ts) AS b FROM rat) GROUP BY 1)"))(lambda s, d: stattests.half_life(fx.daily_scored(s, d), "ratio"))
@@ -194,22 +216,38 @@ query(
 )(lambda s, d: summary.research_summary({"residual_zscore": ratio.residual_zscore_summary(fx.daily_scored(s, d)), "beta": ratio.beta_summary(fx.daily_scored(s, d))}))
 
 
-@query("y2_conclusions")
-def _y2(s: SparkSession, d: str) -> DataFrame:
+def _concluded(s: SparkSession, d: str, cointegrated: Callable[[DataFrame], DataFrame]) -> DataFrame:
     rows = fx.daily_scored(s, d)
     stats = correlation.correlation_statistics(correlation.rolling_correlation(rows, (100,)), (100,)).select("pair_id", F.col("mean").alias("mean_corr"), "pct_over_05")
     best = leadlag.best_lag(leadlag.lead_lag(rows)).groupBy("pair_id").agg(F.max(F.when(F.col("direction") == "a_leads_b", F.col("correlation"))).alias("corr_ab"), F.max(F.when(F.col("direction") == "b_leads_a", F.col("correlation"))).alias("corr_ba"))
     z = ratio.residual_zscore_summary(rows).select("pair_id", F.col("std").alias("z_std"))
     n = events.divergence_by_threshold(rows).filter("instrument = 'a'").groupBy("pair_id").agg(F.sum("count").alias("n_events"))
-    coint = stattests.engle_granger(rows).select("pair_id", "cointegrated")
     half = stattests.half_life(rows, "ratio").select("pair_id", "half_life")
     facts = stats
-    for x in (best, z, n, coint, half):
+    for x in (best, z, n, cointegrated(rows), half):
         facts = facts.join(x, "pair_id", "left")
     both = [backtest.backtest_metrics(f(s, d), rows).select("pair_id", F.lit(name).alias("strategy"), "net_return", "profit_factor") for name, f in (("lead_lag", _b1), ("mean_reversion", _b2))]
     return summary.conclusions(facts, both[0].unionByName(both[1]))
 
 
+query("y2_conclusions")(lambda s, d: _concluded(s, d, lambda rows: stattests.engle_granger(rows).select("pair_id", "cointegrated")))
+# the same rules with the fact of cointegration given, here by the name of the pair, which SQL can say too
+part("y_corr", "rc", "SELECT pair_id, avg(corr_100) AS mean_corr, avg((corr_100 > 0.5)::INT) * 100 AS pct_over_05 FROM rc GROUP BY 1")
+part("y_best", "ll", "SELECT pair_id, max(c) FILTER (direction = 'a_leads_b') AS corr_ab, max(c) FILTER (direction = 'b_leads_a') AS corr_ba FROM (SELECT pair_id, direction, coalesce(correlation, 0) AS c, row_number() OVER (PARTITION BY pair_id, direction ORDER BY abs(correlation) DESC NULLS LAST, lag) AS k FROM ll) WHERE k = 1 GROUP BY 1")
+part("y_z", "scored", "SELECT pair_id, stddev_samp(residual_zscore) AS z_std FROM scored GROUP BY 1")
+part("y_n", "e3_k pb", f"SELECT pair_id, sum(\"count\") AS n_events FROM ({_forward('e3_k', 'threshold')}) WHERE instrument = 'a' GROUP BY 1")
+part("y_h", "rat", "SELECT pair_id, CASE WHEN n < 20 THEN 0 WHEN s < 0 THEN -ln(2) / s ELSE 1e999 END AS half_life FROM (SELECT pair_id, count(*) AS n, regr_slope(x - b, b) AS s FROM (SELECT pair_id, ratio AS x, lag(ratio) OVER (PARTITION BY pair_id ORDER BY bar_ts) AS b FROM rat) GROUP BY 1)")
+part("y_f", "y_corr y_best y_z y_n y_h", "SELECT *, pair_id LIKE 'A%' AS cointegrated FROM y_corr LEFT JOIN y_best USING (pair_id) LEFT JOIN y_z USING (pair_id) LEFT JOIN y_n USING (pair_id) LEFT JOIN y_h USING (pair_id)")
+part("y_p", "b1m b2m", "SELECT pair_id, 'profitable_' || strategy AS rule FROM (SELECT pair_id, 'lead_lag' AS strategy, net_return, profit_factor FROM b1m UNION ALL SELECT pair_id, 'mean_reversion', net_return, profit_factor FROM b2m) WHERE net_return > 0 AND profit_factor > 1.2")
+_RULES = {
+    "correlated": "mean_corr > 0.5", "correlation_stable": "pct_over_05 > 50", "a_leads_b": "corr_ab > 0.1", "b_leads_a": "corr_ba > 0.1", "stronger_a_to_b": "corr_ab > corr_ba", "stronger_b_to_a": "NOT corr_ab > corr_ba",
+    "residual_spread": "z_std > 0.5", "enough_events": "n_events > 20", "cointegrated": "cointegrated", "mean_reverting": "half_life < 100",
+}
+query("y2_conclusions_given", sql("y_f y_p", " UNION ALL ".join(f"SELECT pair_id, '{n}' AS rule FROM y_f WHERE {c}" for n, c in _RULES.items()) + " UNION ALL SELECT pair_id, rule FROM y_p UNION ALL SELECT pair_id, unnest(['no_profitable_strategy', 'costs_outweigh_edge']) FROM y_f WHERE pair_id NOT IN (SELECT pair_id FROM y_p)", recursive=True))(
+    lambda s, d: _concluded(s, d, lambda rows: rows.select("pair_id", F.col("pair_id").startswith("A").alias("cointegrated")).distinct())
+)
+
+
 query("y3_normalized_prices", sql("pb", "SELECT pair_id, bar_ts, " + ", ".join(r(f"{s}_close / first_value({s}_close) OVER w * 100", f"{s}_index") for s in "ab") + " FROM pb WINDOW w AS (PARTITION BY pair_id ORDER BY bar_ts)"))(lambda s, d: summary.normalized_prices(fx.daily_pairs(s, d)))
 query("y4_return_histogram", sql("pb", f"SELECT pair_id, bin, count(*) AS n, {r('min(lo)', 'lo')}, {r('min(hi)', 'hi')} FROM (SELECT pair_id, lo, hi, coalesce(least(floor((a_log_return - lo) * 50 / nullif(hi - lo, 0)), 49), 0)::INTEGER AS bin FROM pb JOIN (SELECT pair_id, min(a_log_return) AS lo, max(a_log_return) AS hi FROM pb GROUP BY 1) USING (pair_id) WHERE a_log_return IS NOT NULL) GROUP BY 1, 2"))(lambda s, d: summary.return_histogram(fx.daily_pairs(s, d), "a_log_return", 50))
 query("y5_return_pairs", sql("pb", f"SELECT pair_id, bar_ts, {rs('a_log_return', 'b_log_return')}, {r('b_log_return - a_log_return', 'difference')} FROM pb WHERE a_log_return IS NOT NULL AND b_log_return IS NOT NULL"))(lambda s, d: summary.return_pairs(fx.daily_pairs(s, d)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairbars.functions.rolling import by, safe_div
@@ -16,7 +16,7 @@ PAIR = ("pair_id",)
 YEAR = math.sqrt(252 * 24 * 6)
 
 
-def lead_lag_trades(df: DataFrame, leader: str = "a", follower: str = "b", lag: int | str = 1, threshold: float = 0.0005, hold: int = 6, commission: float = 0.0, slippage: float = 0.0, use_spread: bool = True, max_lag: int = 12, keys: Sequence[str] = PAIR) -> DataFrame:
+def lead_lag_trades(df: DataFrame, leader: str = "a", follower: str = "b", lag: int | str = 1, threshold: float | Column = 0.0005, hold: int = 6, commission: float = 0.0, slippage: float = 0.0, use_spread: bool = True, max_lag: int = 12, keys: Sequence[str] = PAIR) -> DataFrame:
     """Follows large moves of the leader after ``lag`` bars (a number, or a column of at most ``max_lag``); trades may overlap."""
     w = by(keys)
     ret = F.col(f"{leader}_log_return")
@@ -25,8 +25,9 @@ def lead_lag_trades(df: DataFrame, leader: str = "a", follower: str = "b", lag:
     else:
         move = F.lag(ret, lag).over(w)
     close, spread = f"{follower}_close", f"{follower}_spread"
-    rows = df.select(*keys, "pos", F.col("bar_ts").alias("entry_ts"), F.lead("bar_ts", hold).over(w).alias("exit_ts"), move.alias("_move"), F.col(close).alias("entry_price"), F.lead(close, hold).over(w).alias("exit_price"), F.col(spread).alias("_s"), F.lead(spread, hold).over(w).alias("_t"))
-    rows = rows.filter((F.abs("_move") > threshold) & F.col("exit_ts").isNotNull())
+    level = F.lit(threshold)
+    rows = df.select(*keys, "pos", level.alias("_level"), F.col("bar_ts").alias("entry_ts"), F.lead("bar_ts", hold).over(w).alias("exit_ts"), move.alias("_move"), F.col(close).alias("entry_price"), F.lead(close, hold).over(w).alias("exit_price"), F.col(spread).alias("_s"), F.lead(spread, hold).over(w).alias("_t"))
+    rows = rows.filter((F.abs("_move") > F.col("_level")) & F.col("exit_ts").isNotNull())
     return _priced(rows.withColumn("side", F.when(F.col("_move") > 0, "LONG").otherwise("SHORT")).withColumn("holding_bars", F.lit(hold)), keys, commission, slippage, use_spread)
 
 
@@ -37,7 +38,7 @@ def _priced(rows: DataFrame, keys: Sequence[str], commission: float, slippage: f
     return rows.select(*keys, "pos", "side", "entry_ts", "exit_ts", "entry_price", "exit_price", gross.alias("gross_pnl"), (gross - cost).alias("net_pnl"), F.col("holding_bars").cast("long").alias("holding_bars"))
 
 
-def mean_reversion_trades(df: DataFrame, entry: float = 2.0, exit: float = 0.5, max_hold: int = 24, z: str = "residual_zscore", commission: float = 0.0, slippage: float = 0.0, use_spread: bool = True, keys: Sequence[str] = PAIR) -> DataFrame:
+def mean_reversion_trades(df: DataFrame, entry: float | Column = 2.0, exit: float | Column = 0.5, max_hold: int = 24, z: str = "residual_zscore", commission: float = 0.0, slippage: float = 0.0, use_spread: bool = True, keys: Sequence[str] = PAIR) -> DataFrame:
     """Trades side b against a large score, one position at a time; one still open at the end is dropped.
 
     Each candidate entry finds its exit in a bounded window; then the candidates

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from pairbars.functions.rolling import by
 
@@ -72,26 +73,26 @@ def rolling_apply(df: DataFrame, keys: Sequence[str], n: int, wanted: Mapping[st
 
     ``wanted``: new column to (function, columns...); functions are
     ``percent_rank``, ``share_at_most`` and ``spearman``. A window with a null
-    gives null. Series run in chunks with a halo of n - 1 rows, each in blocks.
+    gives null. Series run in chunks with a halo of n - 1 rows, each in blocks; the
+    other columns go along, so nothing is joined back.
     """
     keys = list(keys)
     functions = {"percent_rank": _percent_rank, "share_at_most": _share_at_most, "spearman": _spearman}
-    needed = sorted({c for _, *cs in wanted.values() for c in cs})
-    narrow = chunk_with_halo(df.select(*keys, "bar_ts", *[F.col(c).cast("double").alias(c) for c in needed]), keys, n - 1, rows)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys, "bar_ts").schema) + "".join(f", `{c}` double" for c in wanted)
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("_pos")
-        out = part[[*keys, "bar_ts"]].copy()
+    kept = [c for c in df.columns if c not in wanted]
+    spread = chunk_with_halo(df.select(kept), keys, n - 1, rows)
+    schema = StructType([*spread.select(kept).schema.fields, *[StructField(c, DoubleType()) for c in wanted]])
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by("_pos")
+        own, size = part["_own"], part.num_rows
+        out = part.select(kept)
         for name, (function, *columns) in wanted.items():
-            value = np.full(len(part), np.nan)
-            series = [part[c].to_numpy(float) for c in columns]
-            for s in range(n - 1, len(part), block):
-                e = min(s + block, len(part))
+            value = np.full(size, np.nan)
+            series = [part[c].cast(pa.float64()).to_numpy(zero_copy_only=False) for c in columns]
+            for s in range(n - 1, size, block):
+                e = min(s + block, size)
                 value[s:e] = functions[function](*[x[s - n + 1 : e] for x in series], n)
-            out[name] = value
-        return out[part["_own"].to_numpy(bool)]
+            out = out.append_column(name, pa.array(value, from_pandas=True))
+        return out.filter(own)
 
-    found = narrow.groupBy(*keys, "_chunk").applyInPandas(run, schema)
-    found = found.select(*keys, "bar_ts", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in wanted])
-    return df.join(found, [*keys, "bar_ts"])
+    return spread.groupBy(*keys, "_chunk").applyInArrow(run, schema)

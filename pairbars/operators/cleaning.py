@@ -11,6 +11,7 @@ from pairbars.functions.rolling import by
 from pairbars.sources.bars import PRICES, first_per
 
 SYMBOL = ("symbol",)
+DAY = 86_400
 
 
 def _values(df: DataFrame, keys: Sequence[str], arrival: str) -> list[str]:
@@ -54,11 +55,17 @@ def clean_bars(bars: DataFrame, keys: Sequence[str] = SYMBOL, arrival: str = "se
 
 
 def infer_frequency(bars: DataFrame, keys: Sequence[str] = SYMBOL, first: int = 100) -> DataFrame:
-    """``step_seconds`` of each key, if its first bars are regular; else null."""
+    """``step_seconds`` of each key, if its first bars are regular, else null; ``weekdays_only`` for a bar on each business day.
+
+    Business days are a step of one day that leaves out Saturdays and Sundays, with one weekend at least among the first bars.
+    """
     w = by(keys)
     rows = bars.withColumn("_n", F.row_number().over(w)).withColumn("_dt", _seconds(F.col("bar_ts")) - _seconds(F.lag("bar_ts").over(w)))
-    head = rows.filter(F.col("_n") <= first).groupBy(*keys).agg(F.count("*").alias("n"), F.min("_dt").alias("a"), F.max("_dt").alias("b"))
-    return head.select(*keys, F.when((F.col("n") >= 3) & (F.col("a") == F.col("b")), F.col("a")).alias("step_seconds"))
+    weekday = F.weekday("bar_ts")
+    weekly = (weekday < 5) & F.coalesce(F.col("_dt") == F.when(weekday == 0, 3 * DAY).otherwise(DAY), F.lit(True))
+    head = rows.filter(F.col("_n") <= first).groupBy(*keys).agg(F.count("*").alias("n"), F.min("_dt").alias("a"), F.max("_dt").alias("b"), F.bool_and(weekly).alias("weekly"))
+    enough, same = F.col("n") >= 3, F.col("a") == F.col("b")
+    return head.select(*keys, F.when(enough & same, F.col("a")).when(enough & F.col("weekly"), F.lit(DAY).cast("long")).alias("step_seconds"), (enough & ~same & F.col("weekly")).alias("weekdays_only"))
 
 
 def _seconds(ts: Column) -> Column:
@@ -66,28 +73,40 @@ def _seconds(ts: Column) -> Column:
 
 
 def missing_bars(bars: DataFrame, step_seconds: int | None = None, keys: Sequence[str] = SYMBOL) -> DataFrame:
-    """Times between first and last bar, a step apart, that have no bar. Only gaps are spread out."""
-    steps = bars.select(*keys).distinct().withColumn("step_seconds", F.lit(step_seconds).cast("long")) if step_seconds else infer_frequency(bars, keys)
-    rows = bars.withColumn("_next", F.lead("bar_ts").over(by(keys))).filter(F.col("_next").isNotNull()).join(F.broadcast(steps.filter("step_seconds is not null")), list(keys))
+    """Times between first and last bar, a step apart, that have no bar, without weekends for bars on business days. Only gaps are spread out."""
+    steps = bars.select(*keys).distinct().select(*keys, F.lit(step_seconds).cast("long").alias("step_seconds"), F.lit(False).alias("weekdays_only")) if step_seconds else infer_frequency(bars, keys)
+    rows = bars.withColumn("_next", F.lead("bar_ts").over(by(keys))).filter(F.col("_next").isNotNull()).join(steps.filter("step_seconds is not null"), list(keys))
     a, b, step = _seconds(F.col("bar_ts")), _seconds(F.col("_next")), F.col("step_seconds")
-    gaps = rows.filter(b - a > step).select(*keys, F.explode(F.sequence(a + step, b - 1, step)).alias("_t"))
-    return gaps.select(*keys, F.timestamp_seconds("_t").cast("timestamp_ntz").alias("bar_ts"))
+    gaps = rows.filter(b - a > step).select(*keys, "weekdays_only", F.explode(F.sequence(a + step, b - 1, step)).alias("_t"))
+    gaps = gaps.select(*keys, "weekdays_only", F.timestamp_seconds("_t").cast("timestamp_ntz").alias("bar_ts"))
+    return gaps.filter(~F.col("weekdays_only") | (F.weekday("bar_ts") < 5)).drop("weekdays_only")
+
+
+def gap_list(gaps: DataFrame, keys: Sequence[str], listed: int, total: str, times: str) -> DataFrame:
+    """How many times are missing for each key, the first, and the first few as a list, without gathering the rest."""
+    few = F.when(F.col("_n") <= listed, F.col("bar_ts"))
+    return gaps.withColumn("_n", F.row_number().over(by(keys))).groupBy(*keys).agg(F.count("*").alias(total), F.min("bar_ts").alias("first_missing"), F.sort_array(F.collect_list(few)).alias(times))
 
 
 def quality_report(bars: DataFrame, keys: Sequence[str] = SYMBOL, arrival: str = "seq", step_seconds: int | None = None, listed: int = 10) -> DataFrame:
-    """Counts of what each step found, and the gaps of the cleaned bars, first ten listed."""
+    """Counts of what each step of ``clean_bars`` finds, and the gaps of the cleaned bars, the first ten in ``gaps``.
+
+    One aggregate by time counts what is wrong, both with and without the prices that
+    only go beside a zero; whether the key has a zero then decides which counts.
+    """
     keys = list(keys)
-    total = bars.groupBy(*keys).agg(F.count("*").alias("total_bars"), F.sum(_null_cells(bars, keys, arrival)).alias("null_values"))
-    kept = drop_null_bars(bars)
-    zeros = kept.groupBy(*keys).agg(F.sum((sum(((F.col(c) == 0).cast("int") for c in PRICES), F.lit(0)) > 0).cast("long")).alias("zero_prices"))
-    kept = drop_zero_price(kept, keys)
-    invalid = kept.groupBy(*keys).agg(F.sum((~_valid()).cast("long")).alias("invalid_ohlc"))
-    kept = drop_invalid_ohlc(kept)
-    copies = kept.groupBy(*keys).agg((F.count("*") - F.count_distinct("bar_ts")).alias("duplicates"))
-    gaps = missing_bars(drop_duplicate_bars(kept, keys, arrival), step_seconds, keys)
-    # the first ten of each key, without gathering all its gaps
-    gaps = gaps.withColumn("_n", F.row_number().over(by(keys))).groupBy(*keys).agg(F.count("*").alias("missing_total"), F.min("bar_ts").alias("first_missing"), F.sum((F.col("_n") <= listed).cast("long")).alias("missing_listed"))
-    out = total
-    for part in (zeros, invalid, copies, gaps):
-        out = out.join(part, keys, "left")
-    return out.na.fill(0, ["zero_prices", "invalid_ohlc", "duplicates", "missing_total", "missing_listed"])
+    whole = sum((F.isnull(c).cast("int") for c in bars.columns), F.lit(0)) == 0
+    zero = whole & (sum(((F.col(c) == 0).cast("int") for c in PRICES), F.lit(0)) > 0)
+    positive = whole & (F.least(*PRICES) > 0)
+    count = lambda c, name: F.sum(F.coalesce(c, F.lit(False)).cast("long")).alias(name)
+    times = bars.groupBy(*keys, "bar_ts").agg(
+        F.count("*").alias("rows"), F.sum(_null_cells(bars, keys, arrival)).alias("nulls"), count(zero, "zeros"),
+        count(whole & ~_valid(), "bad"), count(positive & ~_valid(), "bad_positive"), count(whole & _valid(), "kept"), count(positive & _valid(), "kept_positive"),
+    )
+    has_zero = F.max("zeros").over(Window.partitionBy(*keys)) > 0
+    times = times.withColumn("_zero", has_zero).withColumn("_bad", F.when(F.col("_zero"), F.col("bad_positive")).otherwise(F.col("bad"))).withColumn("_kept", F.when(F.col("_zero"), F.col("kept_positive")).otherwise(F.col("kept")))
+    counts = times.groupBy(*keys).agg(F.sum("rows").alias("total_bars"), F.sum("nulls").alias("null_values"), F.sum("zeros").alias("zero_prices"), F.sum("_bad").alias("invalid_ohlc"), F.sum(F.greatest(F.col("_kept") - 1, F.lit(0))).alias("duplicates"))
+    gaps = gap_list(missing_bars(times.filter("_kept > 0").select(*keys, "bar_ts"), step_seconds, keys), keys, listed, "missing_total", "gaps")
+    out = counts.join(gaps, keys, "left").na.fill(0, ["missing_total"])
+    none = F.array().cast("array<timestamp_ntz>")
+    return out.select(*keys, "total_bars", "null_values", "zero_prices", "invalid_ohlc", "duplicates", "missing_total", "first_missing", F.least(F.col("missing_total"), F.lit(listed)).alias("missing_listed"), F.coalesce("gaps", none).alias("gaps"))

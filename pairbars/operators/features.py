@@ -24,33 +24,45 @@ def pct_return(df: DataFrame, keys: Sequence[str] = SYMBOL, close: str = "close"
     return df.withColumn(out, safe_div(F.col(close), F.lag(close).over(by(keys))) - 1)
 
 
-def ema(df: DataFrame, span: int, keys: Sequence[str] = SYMBOL, close: str = "close", out: str | None = None, chunk: int = EMA_CHUNK) -> DataFrame:
-    """Exponential mean, seeded with the first value; exact over chunks of the series.
+def emas(df: DataFrame, spans: Sequence[int], keys: Sequence[str] = SYMBOL, close: str = "close", chunk: int = EMA_CHUNK) -> DataFrame:
+    """Exponential means ``ema_<span>``, seeded with the first value; exact over chunks of the series.
 
     Within a chunk of rows the recursion is a prefix sum of weighted values. Only
-    the last value of each chunk goes through the carry from chunk to chunk.
+    the last values of each chunk go through the carry from chunk to chunk. All spans
+    share one numbering, one aggregate, one carry and one join.
     """
-    keys, out, alpha = list(keys), out or f"ema_{span}", 2 / (span + 1)
-    decay = 1 - alpha
+    keys, spans = list(keys), list(dict.fromkeys(spans))
     rows = df.withColumn("_pos", F.row_number().over(by(keys)) - 1).withColumn("_chunk", F.floor(F.col("_pos") / chunk)).withColumn("_k", (F.col("_pos") % chunk).cast("double"))
-    weight = F.when(F.col("_pos") == 0, 1.0).otherwise(alpha)
     w = by([*keys, "_chunk"], "_k").rowsBetween(-chunk, 0)
-    power = F.pow(F.lit(decay), F.col("_k"))
-    rows = rows.withColumn("_local", power * F.sum(weight * F.col(close) / power).over(w))
-    last = rows.groupBy(*keys, "_chunk").agg(F.max_by("_local", "_k").alias("_last"), F.count("*").alias("_n"))
-    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", _chunk long, _carry double"
+
+    def local(span: int) -> Column:
+        alpha = 2 / (span + 1)
+        power = F.pow(F.lit(1 - alpha), F.col("_k"))
+        return power * F.sum(F.when(F.col("_pos") == 0, 1.0).otherwise(alpha) * F.col(close) / power).over(w)
+
+    rows = rows.select("*", *[local(span).alias(f"_local_{span}") for span in spans])
+    last = rows.groupBy(*keys, "_chunk").agg(F.count("*").alias("_n"), *[F.max_by(f"_local_{span}", "_k").alias(f"_last_{span}") for span in spans])
+    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", _chunk long" + "".join(f", _carry_{span} double" for span in spans)
 
     def carried(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("_chunk")
-        carry, out = 0.0, []
-        for value, n in zip(rows["_last"], rows["_n"], strict=True):
-            out.append(carry)
-            carry = value + decay**n * carry
-        return rows[[*keys, "_chunk"]].assign(_carry=np.array(out, float))
+        out = rows[[*keys, "_chunk"]].copy()
+        for span in spans:
+            carry, found, decay = 0.0, [], 1 - 2 / (span + 1)
+            for value, n in zip(rows[f"_last_{span}"], rows["_n"], strict=True):
+                found.append(carry)
+                carry = value + decay**n * carry
+            out[f"_carry_{span}"] = np.array(found, float)
+        return out
 
-    carry = last.groupBy(*keys).applyInPandas(carried, schema)
-    rows = rows.join(carry, [*keys, "_chunk"])
-    return rows.withColumn(out, F.col("_local") + F.pow(F.lit(decay), F.col("_k") + 1) * F.col("_carry")).drop("_pos", "_chunk", "_k", "_local", "_carry")
+    rows = rows.join(last.groupBy(*keys).applyInPandas(carried, schema), [*keys, "_chunk"])
+    found = [(F.col(f"_local_{span}") + F.pow(F.lit(1 - 2 / (span + 1)), F.col("_k") + 1) * F.col(f"_carry_{span}")).alias(f"ema_{span}") for span in spans]
+    return rows.select(*df.columns, *found)
+
+
+def ema(df: DataFrame, span: int, keys: Sequence[str] = SYMBOL, close: str = "close", out: str | None = None, chunk: int = EMA_CHUNK) -> DataFrame:
+    """One exponential mean, see ``emas``."""
+    return emas(df, [span], keys, close, chunk).withColumnRenamed(f"ema_{span}", out or f"ema_{span}")
 
 
 def rsi(df: DataFrame, n: int = 14, keys: Sequence[str] = SYMBOL, close: str = "close") -> DataFrame:
@@ -94,9 +106,7 @@ def add_features(df: DataFrame, keys: Sequence[str] = SYMBOL, spans: Sequence[in
     if "close" not in df.columns:
         return df
     df = momentum(adx(atr(rsi(pct_return(log_return(df, keys), keys), keys=keys), keys=keys), keys=keys), keys=keys)
-    for span in spans:
-        df = ema(df, span, keys)
-    return df
+    return emas(df, spans, keys)
 
 
 def rolling_volatility(df: DataFrame, n: int = 100, keys: Sequence[str] = SYMBOL, ret: str = "log_return") -> DataFrame:

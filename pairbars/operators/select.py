@@ -6,15 +6,26 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+#: Islands of candidates that one group holds.
+ISLANDS = 64
 
 
 def greedy_select(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:
     """Takes rows in order and keeps one when its start is after the end of the last kept; a null end has none.
 
-    Sequential within a key by nature, so each key's candidates, which are few
-    against its bars, are one group.
+    Sequential by nature, but a row that starts after all ends before it is kept
+    whatever came before: there a new island begins. Islands are found with a running
+    maximum, and groups of them are walked through independently, so a long series of
+    candidates is never one group.
     """
+    w = Window.partitionBy(*keys).orderBy(*order)
+    ends = F.coalesce(F.col(end).cast("double"), F.lit(float("inf")))
+    latest = F.max(ends).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = df.withColumn("_new", (F.col(start) > F.coalesce(latest, F.lit(float("-inf")))).cast("long"))
+    rows = rows.withColumn("_group", F.floor(F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)) / ISLANDS)).drop("_new")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(list(order), kind="stable")
@@ -24,6 +35,6 @@ def greedy_select(df: DataFrame, keys: Sequence[str], order: Sequence[str], star
             if starts[i] > last:
                 keep[i] = True
                 last = np.inf if np.isnan(ends[i]) else ends[i]
-        return rows[keep]
+        return rows[keep].drop(columns="_group")
 
-    return df.groupBy(*keys).applyInPandas(run, df.schema)
+    return rows.groupBy(*keys, "_group").applyInPandas(run, df.schema)

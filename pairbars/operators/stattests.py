@@ -54,13 +54,12 @@ def _fit(gram: np.ndarray, columns: list[int]) -> tuple[np.ndarray, float, np.nd
     return b, float(gram[0, 0] - gram[columns, 0] @ b), inverse
 
 
-def _test(gram: np.ndarray, head: np.ndarray, n: int, constant: bool) -> tuple[float, int, int]:
+def _test(gram: np.ndarray, head: np.ndarray, limit: int, n: int, constant: bool, search: bool) -> tuple[float, int, int]:
     """Statistic, chosen lag and rows used. Columns: target, level, 1, then lagged differences; the last column is the row's number."""
-    limit = max_lag(n, constant)
     fixed = [1, 2] if constant else [1]
     rows = n - 1 - limit
-    best, lag = math.inf, 0
-    for k in range(limit + 1):
+    best, lag = math.inf, 0 if search else limit
+    for k in range(limit + 1 if search else 0):
         _, ssr, _ = _fit(gram, [*fixed, *range(3, 3 + k)])
         aic = rows * math.log(max(ssr, 1e-300) / rows) + 2 * (len(fixed) + k)
         if aic < best - 1e-12:
@@ -74,8 +73,8 @@ def _test(gram: np.ndarray, head: np.ndarray, n: int, constant: bool) -> tuple[f
     return float(b[0] / math.sqrt(max(ssr, 0) / (rows - len(columns)) * inverse[0, 0])), lag, rows
 
 
-def dickey_fuller(df: DataFrame, x: str, keys: Sequence[str] = PAIR, constant: bool = True, variables: int = 1, least: int = 20, significance: float = 0.05) -> DataFrame:
-    """Augmented test with the lag of the smallest AIC.
+def dickey_fuller(df: DataFrame, x: str, keys: Sequence[str] = PAIR, constant: bool = True, variables: int = 1, least: int = 20, significance: float = 0.05, lag: int | None = None) -> DataFrame:
+    """Augmented test with the lag of the smallest AIC, or with a given ``lag``.
 
     Returns ``statistic``, ``p_value``, ``lag``, ``n_obs``, critical values and
     ``stationary``; keys with fewer than ``least`` values give 0, 1 and false.
@@ -84,7 +83,9 @@ def dickey_fuller(df: DataFrame, x: str, keys: Sequence[str] = PAIR, constant: b
     rows = df.filter(F.col(x).isNotNull()).select(*keys, "bar_ts", F.col(x).cast("double").alias("x"))
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("x").alias("center"))
     longest = sizes.agg(F.max("n")).first()[0] or 0
-    width = max_lag(longest, constant)
+    search = lag is None
+    limit = (lambda n: max_lag(n, constant)) if search else (lambda n: min(lag, max(0, n - 4)))
+    width = limit(longest)
     w = by(keys)
     rows = rows.join(sizes.filter(F.col("n") >= least), keys)
     rows = rows.withColumn("x", F.col("x") - (F.col("center") if constant else 0.0)).withColumn("dx", F.col("x") - F.lag("x").over(w)).withColumn("row", F.row_number().over(w) - 1)
@@ -98,7 +99,7 @@ def dickey_fuller(df: DataFrame, x: str, keys: Sequence[str] = PAIR, constant: b
             for _, part in batch.groupby(keys, sort=False, dropna=False):
                 n = int(part["n"].iloc[0])
                 z = np.array([list(v) for v in part["z"]], float)
-                own = z[:, -1] >= max_lag(n, constant) + 1
+                own = z[:, -1] >= limit(n) + 1
                 common = np.nan_to_num(z[own][:, :-1])
                 first = part.iloc[0]
                 out.append([*[first[k] for k in keys], n, True, (common.T @ common).ravel()])
@@ -109,10 +110,10 @@ def dickey_fuller(df: DataFrame, x: str, keys: Sequence[str] = PAIR, constant: b
         n, size = int(rows["n"].iloc[0]), 3 + width
         gram = np.sum([np.array(v, float) for v in rows.loc[rows["common"], "z"]], axis=0).reshape(size, size)
         head = np.array([list(v) for v in rows.loc[~rows["common"], "z"]], float).reshape(-1, size + 1)
-        statistic, lag, used = _test(gram, head, n, constant)
+        statistic, chosen, used = _test(gram, head, limit(n), n, constant, search)
         p, levels = p_value(statistic, variables), critical(used if variables == 1 else n - 1, variables)
         out = rows[keys].iloc[:1].copy()
-        return out.assign(statistic=statistic, p_value=p, lag=lag, n_obs=used, critical_1=levels["1%"], critical_5=levels["5%"], critical_10=levels["10%"], stationary=p < significance)
+        return out.assign(statistic=statistic, p_value=p, lag=chosen, n_obs=used, critical_1=levels["1%"], critical_5=levels["5%"], critical_10=levels["10%"], stationary=p < significance)
 
     grams = rows.mapInPandas(partial, f"{kinds}, n long, common boolean, z array<double>")
     found = grams.groupBy(*keys).applyInPandas(solved, f"{kinds}, statistic double, p_value double, lag long, n_obs long, critical_1 double, critical_5 double, critical_10 double, stationary boolean")
@@ -120,18 +121,18 @@ def dickey_fuller(df: DataFrame, x: str, keys: Sequence[str] = PAIR, constant: b
     return out.na.fill({"statistic": 0.0, "p_value": 1.0, "lag": 0, "n_obs": 0, "stationary": False})
 
 
-def adf_test(df: DataFrame, x: str, keys: Sequence[str] = PAIR, significance: float = 0.05) -> DataFrame:
-    return dickey_fuller(df, x, keys, significance=significance)
+def adf_test(df: DataFrame, x: str, keys: Sequence[str] = PAIR, significance: float = 0.05, lag: int | None = None) -> DataFrame:
+    return dickey_fuller(df, x, keys, significance=significance, lag=lag)
 
 
-def engle_granger(df: DataFrame, x: str = "a_close", y: str = "b_close", keys: Sequence[str] = PAIR, significance: float = 0.05) -> DataFrame:
+def engle_granger(df: DataFrame, x: str = "a_close", y: str = "b_close", keys: Sequence[str] = PAIR, significance: float = 0.05, lag: int | None = None) -> DataFrame:
     """Regresses x on y with a constant, then tests the residual without one; collinear sides give minus infinity. ``hedge_ratio`` is 0 always."""
     keys = list(keys)
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     line = rows.groupBy(*keys).agg(F.regr_slope(x, y).alias("_slope"), F.regr_intercept(x, y).alias("_at"), F.regr_r2(x, y).alias("_r2"))
     left = rows.join(line, keys).withColumn("_e", F.col(x) - F.col("_slope") * F.col(y) - F.col("_at"))
     exact = F.col("_r2") >= 1 - 1e-10
-    found = dickey_fuller(left.withColumn("_e", F.when(~exact, F.col("_e"))), "_e", keys, False, 2, significance=significance).join(line.select(*keys, "_r2"), keys)
+    found = dickey_fuller(left.withColumn("_e", F.when(~exact, F.col("_e"))), "_e", keys, False, 2, significance=significance, lag=lag).join(line.select(*keys, "_r2"), keys)
     collinear = F.coalesce(exact, F.lit(False))
     return found.select(*keys, F.when(collinear, float("-inf")).otherwise(F.col("statistic")).alias("statistic"), F.when(collinear, 0.0).otherwise(F.col("p_value")).alias("p_value"), "critical_1", "critical_5", "critical_10", F.lit(0.0).alias("hedge_ratio"), (collinear | F.col("stationary")).alias("cointegrated"))
 

@@ -6,18 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairbars.functions.rolling import with_pos
-from pairbars.operators.cleaning import missing_bars
+from pairbars.operators.cleaning import gap_list, missing_bars
 
 
 def all_pairs(bars: DataFrame) -> DataFrame:
-    """Every two symbols once, in order of name; a short list."""
+    """Every two symbols once, in order of name; as many rows as there are pairs to study."""
     a, b = (bars.select(F.col("symbol").alias(f"{s}_symbol")).distinct() for s in "ab")
-    return a.join(F.broadcast(b), F.col("a_symbol") < F.col("b_symbol")).select(F.concat_ws("/", "a_symbol", "b_symbol").alias("pair_id"), "a_symbol", "b_symbol")
+    return a.join(b, F.col("a_symbol") < F.col("b_symbol")).select(F.concat_ws("/", "a_symbol", "b_symbol").alias("pair_id"), "a_symbol", "b_symbol")
 
 
 def _side(bars: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
-    """The bars of one side of every pair, columns prefixed. The list of pairs is short, so it is broadcast."""
-    rows = bars.join(F.broadcast(pairs.select("pair_id", F.col(f"{side}_symbol").alias("symbol"))), "symbol").drop("symbol")
+    """The bars of one side of every pair, columns prefixed. Spark broadcasts the list of pairs where it is small enough."""
+    rows = bars.join(pairs.select("pair_id", F.col(f"{side}_symbol").alias("symbol")), "symbol").drop("symbol")
     return rows.select("pair_id", "bar_ts", *[F.col(c).alias(f"{side}_{c}") for c in rows.columns if c not in ("pair_id", "bar_ts")])
 
 
@@ -33,12 +33,13 @@ def unmatched(bars: DataFrame, pairs: DataFrame) -> DataFrame:
     return a.join(b, on, "left_anti").withColumn("side", F.lit("a")).unionByName(b.join(a, on, "left_anti").withColumn("side", F.lit("b")))
 
 
-def sync_report(bars: DataFrame, pairs: DataFrame, step_seconds: int | None = None) -> DataFrame:
-    """Bars of each side, matched, unmatched, and gaps of the joined series, in one full join."""
+def sync_report(bars: DataFrame, pairs: DataFrame, step_seconds: int | None = None, listed: int = 10) -> DataFrame:
+    """Bars of each side, matched, unmatched, and gaps of the joined series, the first ten in ``missing_periods``, in one full join."""
     a = _side(bars, pairs, "a").select("pair_id", "bar_ts", F.lit(1).alias("a"))
     b = _side(bars, pairs, "b").select("pair_id", "bar_ts", F.lit(1).alias("b"))
     rows = a.join(b, ["pair_id", "bar_ts"], "full_outer")
     counts = rows.groupBy("pair_id").agg(F.count("a").alias("a_bars"), F.count("b").alias("b_bars"), F.count(F.col("a") + F.col("b")).alias("matched"))
-    gaps = missing_bars(rows.filter("a + b is not null").select("pair_id", "bar_ts"), step_seconds, ["pair_id"]).groupBy("pair_id").agg(F.count("*").alias("missing"), F.min("bar_ts").alias("first_missing"))
+    gaps = gap_list(missing_bars(rows.filter("a + b is not null").select("pair_id", "bar_ts"), step_seconds, ["pair_id"]), ["pair_id"], listed, "missing", "missing_periods")
     counts = counts.select("*", (F.col("a_bars") - F.col("matched")).alias("a_unmatched"), (F.col("b_bars") - F.col("matched")).alias("b_unmatched"))
-    return counts.join(gaps, "pair_id", "left").na.fill(0, ["missing"])
+    out = counts.join(gaps, "pair_id", "left").na.fill(0, ["missing"])
+    return out.withColumn("missing_periods", F.coalesce("missing_periods", F.array().cast("array<timestamp_ntz>")))

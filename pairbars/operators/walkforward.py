@@ -14,6 +14,8 @@ from pairbars.operators.backtest import backtest_metrics
 PAIR = ("pair_id",)
 SPLITS = ("train", "val", "test")
 Strategy = Callable[..., DataFrame]
+#: Parameters that strategies compare with values of a row, so that they may be columns.
+BY_ROW = ("entry", "exit", "threshold")
 
 
 def walkforward_windows(df: DataFrame, train: float = 0.6, val: float = 0.2, step: float = 0.1, min_train: int = 1000, keys: Sequence[str] = PAIR) -> DataFrame:
@@ -52,29 +54,42 @@ def _combos(grid: Mapping[str, Sequence[float]]) -> list[dict[str, float]]:
     return [dict(zip(grid, values, strict=True)) for values in product(*grid.values())]
 
 
-def parameter_search(slices: DataFrame, strategy: Strategy, grid: Mapping[str, Sequence[float]], keys: Sequence[str] = PAIR, **params: object) -> DataFrame:
+def _simulated(bars: DataFrame, strategy: Strategy, grid: Mapping[str, Sequence[float]], inside: Sequence[str], params: Mapping[str, object], by_row: Sequence[str], chosen: DataFrame | None = None) -> DataFrame:
+    """Metrics of each combination on the bars, or only of the chosen one of each key.
+
+    Parameters in ``by_row`` become columns of rows repeated for each of their values,
+    under one plan; each value of the others, which set the frames of windows, is a plan.
+    """
+    numbered = list(enumerate(_combos(grid)))
+    framed = {tuple((k, v) for k, v in combo.items() if k not in by_row) for _, combo in numbered}
+    keys, out = [*inside, "combo"], None
+    for fixed in sorted(framed):
+        own = [(i, combo) for i, combo in numbered if all(combo[k] == v for k, v in fixed)]
+        names = [k for k in grid if k in by_row]
+        cells = F.array(*[F.struct(F.lit(i).alias("combo"), *[F.lit(float(combo[k])).alias(f"_{k}") for k in names]) for i, combo in own])
+        rows = bars.select("*", F.inline(cells))
+        if chosen is not None:
+            rows = rows.join(chosen, chosen.columns, "left_semi")
+        m = backtest_metrics(strategy(rows, keys=keys, **{**params, **dict(fixed), **{k: F.col(f"_{k}") for k in names}}), rows, keys)
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+def parameter_search(slices: DataFrame, strategy: Strategy, grid: Mapping[str, Sequence[float]], keys: Sequence[str] = PAIR, by_row: Sequence[str] = BY_ROW, **params: object) -> DataFrame:
     """The combination with the best validation score, the first on ties: ``combo``, ``score``."""
-    inside = [*keys, "window", "split"]
-    bars, scored = slices.filter("split = 'val'"), None
-    for k, combo in enumerate(_combos(grid)):
-        m = backtest_metrics(strategy(bars, keys=inside, **(params | combo)), bars, inside)
-        rows = m.select(*keys, "window", F.lit(k).alias("combo"), (F.col("net_return") / F.greatest(F.abs("max_drawdown"), F.lit(1e-6))).alias("score"))
-        scored = rows if scored is None else scored.unionByName(rows)
+    m = _simulated(slices.filter("split = 'val'"), strategy, grid, [*keys, "window", "split"], params, by_row)
+    scored = m.select(*keys, "window", "combo", (F.col("net_return") / F.greatest(F.abs("max_drawdown"), F.lit(1e-6))).alias("score"))
     best = Window.partitionBy(*keys, "window").orderBy(F.desc("score"), "combo")
     return scored.withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_n")
 
 
-def run_walkforward(slices: DataFrame, strategy: Strategy, grid: Mapping[str, Sequence[float]] | None = None, keys: Sequence[str] = PAIR, **params: object) -> DataFrame:
+def run_walkforward(slices: DataFrame, strategy: Strategy, grid: Mapping[str, Sequence[float]] | None = None, keys: Sequence[str] = PAIR, by_row: Sequence[str] = BY_ROW, **params: object) -> DataFrame:
     """Metrics of each (window, split), with the parameters chosen on validation if there is a grid."""
     inside = [*keys, "window", "split"]
     if not grid:
         return backtest_metrics(strategy(slices, keys=inside, **params), slices, inside)
-    best, out = parameter_search(slices, strategy, grid, keys, **params), None
-    for k, combo in enumerate(_combos(grid)):
-        own = slices.join(F.broadcast(best.filter(F.col("combo") == k).select(*keys, "window")), [*keys, "window"], "left_semi")
-        m = backtest_metrics(strategy(own, keys=inside, **(params | combo)), own, inside).withColumn("combo", F.lit(k))
-        out = m if out is None else out.unionByName(m)
-    return out
+    best = parameter_search(slices, strategy, grid, keys, by_row, **params)
+    return _simulated(slices, strategy, grid, inside, params, by_row, best.select(*keys, "window", "combo"))
 
 
 def walkforward_summary(metrics: DataFrame, keys: Sequence[str] = PAIR) -> DataFrame:

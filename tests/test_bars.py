@@ -3,6 +3,7 @@
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from pairbars.operators import cleaning, sync
 from pairbars.sources import bars as src
@@ -58,6 +59,35 @@ def test_gaps_are_the_calendar_without_the_bars(spark):
     assert cleaning.infer_frequency(make(spark, GOOD[:2])).first()["step_seconds"] is None
 
 
+def test_bars_on_business_days_have_no_gap_at_weekends(spark):
+    days = [d for d in range(0, 60) if (T0 + timedelta(days=d)).weekday() < 5]
+    bars = lambda left: make(spark, [(1440 * d, 10.0, 11.0, 9.0, 10.5) for d in left])
+    r = cleaning.infer_frequency(bars(days)).first()
+    assert (r.step_seconds, r.weekdays_only) == (86_400, True)
+    assert cleaning.missing_bars(bars(days)).count() == 0
+    r = cleaning.infer_frequency(bars(range(20))).first()
+    assert (r.step_seconds, r.weekdays_only) == (86_400, False)
+    assert cleaning.infer_frequency(bars([d for d in days if d != days[7]])).first().step_seconds is None
+    holes = [days[-2], days[-6]]
+    late = cleaning.missing_bars(bars([d for d in days if d not in holes]).filter("true"), keys=["symbol"])
+    assert late.count() == 0  # a hole among the first bars: no step, so no gaps
+    long = [d for d in range(0, 400) if (T0 + timedelta(days=d)).weekday() < 5]
+    hole = long[150]
+    found = cleaning.missing_bars(bars([d for d in long if d != hole])).collect()
+    assert [r.bar_ts for r in found] == [T0 + timedelta(days=hole)]
+
+
+def test_gap_lists(spark):
+    bars = make(spark, [(m, 10.0, 11.0, 9.0, 10.5) for m in (0, 10, 200)])
+    r = cleaning.quality_report(bars, step_seconds=600).first()
+    assert (r.missing_total, r.missing_listed) == (18, 10)
+    assert r.gaps == [T0 + timedelta(minutes=m) for m in range(20, 120, 10)]
+    whole = cleaning.quality_report(make(spark, GOOD), step_seconds=600).first()
+    assert whole.gaps == [] and whole.missing_total == 0
+    two = bars.unionByName(bars.withColumn("symbol", F.lit("B"))).drop("seq")
+    assert sync.sync_report(two, sync.all_pairs(two), 600).first().missing_periods == r.gaps
+
+
 @pytest.mark.parametrize(("shift", "matched"), [(0, 5), (20, 3)])
 def test_join_on_time(spark, shift, matched):
     rows = [(m, 10.0, 11.0, 9.0, 10.5) for m in range(0, 50, 10)]

@@ -3,16 +3,17 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
 
 DIR = "/root/testdata/sf0.001"
-NAMES = ["s1_read_bars", "s4_resolve_symbols", "s5_resample_w1", "c7_quality_report", "c8_clean_bars", "j3_sync_report", "f3_ema", "f6_adx", "f10_volatility_regime", "r3_regime_table", "k2_rolling_spearman", "k6_correlation_stability", "l2_best_lag", "t3_ratio_percentile", "t7_residual_zscore", "e1_detect_divergences", "e7_ratio_reversion", "p3_spread_by_hour", "x3_half_life", "b2_mean_reversion_trades", "b4_backtest_metrics", "y4_return_histogram"]
+NAMES = ["s1_read_bars", "s4_resolve_symbols", "s5_resample_w1", "s6_write_dataset", "c5_infer_frequency", "c7_quality_report", "c8_clean_bars", "j3_sync_report", "f3_ema", "f6_adx", "f10_volatility_regime", "r3_regime_table", "k2_rolling_spearman", "k6_correlation_stability", "l2_best_lag", "t3_ratio_percentile", "t7_residual_zscore", "e1_detect_divergences", "e7_ratio_reversion", "x1_adf_one_lag", "x2_engle_granger_one_lag", "wf4_parameter_search", "f8_add_features", "p3_spread_by_hour", "x3_half_life", "b2_mean_reversion_trades", "b4_backtest_metrics", "y4_return_histogram"]
 
 
 def same(frame, cols):
-    text = lambda v: "null" if v is None or v != v else f"{float(v):.6f}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    text = lambda v: "null" if v is None or v is pd.NA or v != v else f"{float(v):.6f}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
     return sorted(tuple(text(v) for v in row) for row in frame[cols].itertuples(index=False))
 
 

@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pairbars.operators import backtest, correlation, events, features, leadlag, stattests, walkforward
@@ -203,3 +204,44 @@ def test_walkforward_sizes(spark, n):
         start += step
     got = walkforward.walkforward_windows(series(spark, "pair_id", pos=np.arange(n))).orderBy("window").collect()
     assert [(r.train_from, r.train_to, r.val_to, r.test_to) for r in got] == want
+
+
+def test_walkforward_grid_is_each_combination_by_itself(spark, walk):
+    rng = np.random.default_rng(11)
+    n, z = len(walk), rng.normal(size=len(walk)) * 1.5
+    df = series(spark, "pair_id", a_close=walk, b_close=walk[::-1].copy(), a_spread=np.ones(n), b_spread=np.ones(n), residual_zscore=z)
+    df = df.withColumn("pos", F.row_number().over(Window.partitionBy("pair_id").orderBy("bar_ts")) - 1)
+    slices = walkforward.walkforward_slices(df, walkforward.walkforward_windows(df, min_train=150), least={"train": 50, "val": 20, "test": 10})
+    grid = {"entry": (1.0, 2.0), "max_hold": (5, 9)}
+    combos = walkforward._combos(grid)
+    inside = ["pair_id", "window", "split"]
+    alone = [{(r.window, r.split): r for r in backtest.backtest_metrics(backtest.mean_reversion_trades(slices, keys=inside, **c), slices, inside).collect()} for c in combos]
+    score = lambda r: r.net_return / max(abs(r.max_drawdown), 1e-6)
+    best = {r.window: (r.combo, r.score) for r in walkforward.parameter_search(slices, backtest.mean_reversion_trades, grid).collect()}
+    for window, (combo, value) in best.items():
+        scores = [score(m[window, "val"]) for m in alone]
+        assert combo == int(np.argmax(scores)) and value == pytest.approx(max(scores))
+    got = walkforward.run_walkforward(slices, backtest.mean_reversion_trades, grid).collect()
+    assert len(got) == 3 * len(best) > 0
+    for r in got:
+        assert r.combo == best[r.window][0] and r.net_return == pytest.approx(alone[r.combo][r.window, r.split].net_return)
+
+
+def test_fixed_lag_against_plain_least_squares(spark, walk):
+    d = np.diff(walk)
+    y, z = d[2:], np.column_stack([walk[2:-1], np.ones(len(d) - 2), d[1:-1], d[:-2]])
+    b = np.linalg.lstsq(z, y, rcond=None)[0]
+    e = y - z @ b
+    want = b[0] / math.sqrt(e @ e / (len(y) - z.shape[1]) * np.linalg.inv(z.T @ z)[0, 0])
+    r = stattests.adf_test(series(spark, "pair_id", x=walk), "x", lag=2).first()
+    assert (r.statistic, r.lag, r.n_obs) == (pytest.approx(want, rel=1e-6), 2, len(y))
+
+
+def test_cointegration_statistic_against_plain_least_squares(spark, walk):
+    rng = np.random.default_rng(5)
+    x, y = walk + rng.normal(size=len(walk)), 0.5 * walk + rng.normal(size=len(walk)) * 0.2
+    slope, at = np.polyfit(y, x, 1)
+    want, lag = _adf(x - slope * y - at, constant=False)
+    r = stattests.engle_granger(series(spark, "pair_id", a_close=x, b_close=y)).first()
+    assert r.statistic == pytest.approx(want, rel=1e-5)
+    assert r.p_value == pytest.approx(stattests.p_value(want, 2), rel=1e-4)
