@@ -104,38 +104,52 @@ def evidence(docs: np.ndarray, ones: np.ndarray, n: int, positive: float) -> np.
 
 
 def fit(found: list[np.ndarray], y: np.ndarray, k: int = 4, rounds: int = 60, rate: float = 0.2, decay: float = 2e-4, seed: int = 7) -> Machine:
-    """Log loss by Adam over all rows at once; rows come in a fixed order, so the result is the same on every run."""
+    """Log loss by Adam over all rows at once; rows come in a fixed order, so the result is the same on every run.
+
+    Memory: some five numbers of four bytes for each term of each row.
+    """
     n = len(y)
     prior = (y.sum() + 1) / (n + 2)
     bias = float(np.log(prior / (1 - prior)))
-    flat = np.concatenate(found) if n else np.zeros(0, np.int64)
-    if not len(flat) or y.min() == y.max():
+    counts = np.array([len(x) for x in found], np.int64)
+    if not counts.sum() or y.min() == y.max():
         return Machine(np.zeros(0, np.int64), bias, np.zeros(1, np.float32), np.zeros((1, k), np.float32))
-    row = np.repeat(np.arange(n), [len(x) for x in found])
-    kept, at, docs = np.unique(flat, return_inverse=True, return_counts=True)
-    m = len(kept)
-    pace = (rate * evidence(docs, np.bincount(at, y[row], m), n, float(y.sum()))).astype(np.float32)
-    full, starts = np.unique(row, return_index=True)  # rows with a term
-    place = np.searchsorted(full, row)[by_term := np.argsort(at, kind="stable")]
-    term_starts = np.searchsorted(at[by_term], np.arange(m))
-    w, v = np.zeros((m, 1), np.float32), np.random.default_rng(seed).normal(0, 0.01, (m, k)).astype(np.float32)
-    state = [(np.zeros_like(p), np.zeros_like(p)) for p in (w, v)]
-    y_full = y[full]
+    flat = np.concatenate(found).astype(np.int32)
+    docs = np.bincount(flat, minlength=BUCKETS)
+    kept = np.flatnonzero(docs)
+    at = (np.cumsum(docs > 0) - 1).astype(np.int32)[flat]
+    del flat
+    m, full = len(kept), np.flatnonzero(counts)  # rows with a term
+    starts = np.cumsum(counts[full]) - counts[full]
+    by_term = np.argsort(at, kind="stable")
+    place = np.repeat(np.arange(len(full), dtype=np.int32), counts[full])[by_term]
+    del by_term
+    docs, y_full = docs[kept], y[full]
+    term_starts = np.cumsum(docs) - docs
+    ones = np.add.reduceat(y_full.astype(np.float32)[place], term_starts)
+    pace = (rate * evidence(docs, ones, n, float(y.sum()))).astype(np.float32)
+    # the weights, then one row for each factor
+    p = np.vstack([np.zeros((1, m)), np.random.default_rng(seed).normal(0, 0.01, (k, m))]).astype(np.float32)
+    a, b, grad = np.zeros_like(p), np.zeros_like(p), np.empty_like(p)
     for t in range(1, rounds + 1):
-        vt = v[at]
-        sums = np.add.reduceat(vt, starts)
-        margin = bias + np.add.reduceat(w[at, 0], starts) + 0.5 * (sums**2 - np.add.reduceat(vt * vt, starts)).sum(1)
+        margin = bias + np.add.reduceat(p[0][at], starts)
+        sums = []
+        for factor in p[1:]:
+            v = factor[at]
+            sums.append(np.add.reduceat(v, starts))
+            v *= v
+            margin += 0.5 * (sums[-1] ** 2 - np.add.reduceat(v, starts))
         g = ((1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y_full) / n).astype(np.float32)
-        gw = np.add.reduceat(g[place], term_starts)[:, None]
-        # d margin / d v of a term in a row: the sum of the row's factors without its own
-        gv = np.add.reduceat((g[:, None] * sums)[place], term_starts) - gw * v
+        grad[0] = np.add.reduceat(g[place], term_starts)
+        for j, total in enumerate(sums, 1):
+            # d margin / d factor of a term in a row: the sum of the row's factors without its own
+            grad[j] = np.add.reduceat((g * total)[place], term_starts) - grad[0] * p[j]
         bias -= 10 * rate * float(g.sum())
-        for p, grad, (a, b) in ((w, gw, state[0]), (v, gv, state[1])):
-            grad = grad + decay / 10 * p
-            a += 0.1 * (grad - a)
-            b += 0.01 * (grad * grad - b)
-            p -= pace[:, None] * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.99**t)) + 1e-6)
-    return Machine(kept, bias, np.append(w[:, 0], np.float32(0)), np.vstack([v, np.zeros((1, k), np.float32)]))
+        grad += decay / 10 * p
+        a += 0.1 * (grad - a)
+        b += 0.01 * (grad * grad - b)
+        p -= pace * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.99**t)) + 1e-6)
+    return Machine(kept, bias, np.append(p[0], np.float32(0)), np.vstack([p[1:].T, np.zeros((1, k), np.float32)]))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS) -> Machine:
@@ -151,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
     kind = chosen.schema["doc_id"].dataType.simpleString()
     rows = chosen.select("doc_id", "text", "y").mapInArrow(run, f"doc_id {kind}, y int, terms binary")
     rows = sorted((r.doc_id, bytes(r.terms), r.y) for r in one_of_each(rows, "terms", "y").collect())
-    return fit([np.frombuffer(r[1], "<i4").astype(np.int64) for r in rows], np.array([r[2] for r in rows], float))
+    return fit([np.frombuffer(r[1], "<i4") for r in rows], np.array([r[2] for r in rows], float))
 
 
 def score(docs: DataFrame, model: Machine, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
