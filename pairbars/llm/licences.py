@@ -101,7 +101,7 @@ def weights(templates: DataFrame) -> DataFrame:
 
 def _cosines(terms: DataFrame, templates: DataFrame) -> DataFrame:
     """``key``, ``line``, ``licence`` and ``score`` of terms (key, line, term, tf), for each line and template with a term in common."""
-    known = weights(templates)
+    known = written(weights(templates), work_dir(terms.sparkSession), "weights")
     small = F.broadcast if known.count() <= BROADCAST_ROWS else (lambda df: df)
     rare = templates.agg((F.log((1 + F.countDistinct("licence")) / 2) + 1).alias("x")).first()["x"]
     joined = terms.join(small(known), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(rare)))
@@ -195,13 +195,14 @@ def scan(files: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_co
     spoken = written(_spoken(files, text_col).dropDuplicates(["key"]), where, "spoken")
     found = written(headers(spoken, templates, threshold), where, "headers")
     own = passages(spoken, found, *(further or (default_passages(files.sparkSession), default_texts(files.sparkSession))))
-    rows = rows.join(written(own, where, "own"), "key", "left")
+    # what is summed up by key or directory is written before files are joined with it, so that Spark can split a large directory
+    rows = written(rows.join(written(own, where, "own"), "key", "left"), where, "files")
     named = rows.filter(F.col("path").rlike(f"(^|/){licence_name}$") & F.col("licence").isNotNull())
-    given = named.groupBy("directory").agg(F.min_by("licence", F.struct("path", "key")).alias("inherited"))
+    given = written(named.groupBy("directory").agg(F.min_by("licence", F.struct("path", "key")).alias("inherited")), where, "given")
     parts = F.split("directory", "/")
     above = rows.select("directory").distinct().select("directory", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, F.lit(1), k), "/").alias("ancestor")))).alias("x"))
     above = above.select("directory", "x.*").join(given.withColumnRenamed("directory", "ancestor"), "ancestor")
-    nearest = above.groupBy("directory").agg(F.max_by("inherited", "depth").alias("inherited"))
+    nearest = written(above.groupBy("directory").agg(F.max_by("inherited", "depth").alias("inherited")), where, "nearest")
     return rows.join(nearest, "directory", "left").select("doc_id", "path", F.col("licence").alias("own_licence"), "score", "inherited", F.coalesce("licence", "inherited").alias("licence"))
 
 

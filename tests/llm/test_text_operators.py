@@ -347,6 +347,15 @@ def test_licences(spark, empty):
     assert licences.scan(licences.document_paths(empty), licences.default_templates(spark)).count() == 0
 
 
+def test_licences_of_repeated_and_tied_rows(spark):
+    mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    files = [(1, "a/LICENSE", apache, "x"), (1, "a/LICENSE", mit, "x"), (2, "a/f", None, "x"), (2, "a/f", None, "x"), (3, "a/f", "", "y"), (4, "LICENSE", mit, None), (5, "b/c/d", "x" * 200_000, None), (6, "a", "All rights reserved.", None), (7, None, None, None)]
+    df = spark.createDataFrame(files, "doc_id long, path string, text string, licence string")
+    got = sorted((r.doc_id, r.own_licence, r.inherited, r.licence) for r in licences.scan(df, licences.default_templates(spark)).collect() if r.doc_id != 1)
+    first = min([(hashlib.md5(t.encode()).hexdigest(), n) for t, n in ((mit, "MIT"), (apache, "Apache-2.0"))])[1]
+    assert got == [(2, None, first, first), (2, None, first, first), (3, None, first, first), (4, "MIT", "MIT", "MIT"), (5, None, "MIT", "MIT"), (6, "Proprietary", "MIT", "Proprietary"), (7, None, "MIT", "MIT")]
+
+
 def test_licences_beyond_single_lines(spark):
     mpl = "# This Source Code Form is subject to the terms of the Mozilla\n# Public License, v. 2.0. If a copy of the MPL was not distributed\n# with this file, You can obtain one at http://mozilla.org/MPL/2.0/.\nimport os\n"
     gpl = "/* This file is free: you can redistribute it\n * under the terms of the GNU General Public\n * License version 3. */"
