@@ -177,7 +177,7 @@ def _text_key(text: Column) -> Column:
 
 
 def _directory(path: Column) -> Column:
-    return F.regexp_replace(F.when(path.contains("/"), path).otherwise(F.concat(F.lit("/"), path)), "/[^/]*$", "")
+    return F.regexp_replace(F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path)), "/[^/]*$", "")
 
 
 def scan(files: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "path", licence_name: str = "LICENSE", threshold: float = THRESHOLD, further: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
