@@ -155,10 +155,12 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     return counts.join(spans, "key", "left").select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"))
 
 
-def uncontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = 20) -> DataFrame:
-    """``docs`` without the contaminated rows. Rows that share an id and of which one is contaminated all go; a row without an id stays."""
-    found = contamination(docs, items, id_col, text_col, share).filter("contaminated").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found.hint("merge"), docs[id_col] == found["_gone"], "left_anti")
+def uncontaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", share: int = 20) -> DataFrame:
+    """``docs`` without the rows whose text is contaminated, whatever their id; null texts stay."""
+    mark = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    found = contamination(docs.select(mark.alias("_mark"), text_col), items, "_mark", text_col, share).filter("contaminated").select(F.col("doc_id").alias("_gone")).distinct()
+    found = written(found, work_dir(docs.sparkSession), "contaminated")
+    return docs.join(found.hint("merge"), mark == found["_gone"], "left_anti")
 
 
 def _of_kind(kind: int) -> Column:

@@ -11,7 +11,8 @@ spanning forest come out, never all pairs.
 
 Edge cases: a null or empty text, or one without words, has fingerprint zero and
 is linked like any other; a null id takes part but is never a component's id
-unless all its ids are null; repeated rows fall together.
+unless all its ids are null; repeated rows fall together; a text of any length has
+one fingerprint; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -159,6 +160,17 @@ def close_links(nodes: DataFrame, distance: int = 3, blocks: int = 5, bucket: in
     return links.unionByName(_links(again, distance))
 
 
+def _components(fps: DataFrame, where: str, distance: int, blocks: int, bucket: int) -> DataFrame:
+    """``fp`` and ``component_id``: the smallest id of the fingerprints that can be reached. Tables are written before they are joined, so that Spark can split a hot one."""
+    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), where, "nodes")
+    roots = components(close_links(nodes.select("fp"), distance, blocks, bucket))
+    linked = written(nodes.join(written(_with_roots(roots), where, "roots"), "fp"), where, "linked")
+    least = written(linked.groupBy("root").agg(F.min("first_id").alias("least_id")), where, "least")
+    groups = written(linked.join(least, "root").select("fp", "least_id"), where, "groups")
+    ids = nodes.join(groups, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
+    return written(ids, where, "ids")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 3, blocks: int = 5, bucket: int = 4096) -> DataFrame:
     """The near-duplicate group of every document.
 
@@ -168,13 +180,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     where = work_dir(docs.sparkSession)
     fps = written(fingerprints(docs, id_col, text_col, words), where, "fingerprints")
-    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), where, "nodes")
-    roots = components(close_links(nodes.select("fp"), distance, blocks, bucket))
-    linked = nodes.join(_with_roots(roots), "fp")
-    least = linked.groupBy("root").agg(F.min("first_id").alias("least_id"))
-    groups = linked.join(least, "root").select("fp", "least_id")
-    ids = nodes.join(groups, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
-    out = fps.join(written(ids, where, "ids"), "fp")
+    out = fps.join(_components(fps, where, distance, blocks, bucket), "fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -183,15 +189,20 @@ def _with_roots(roots: DataFrame) -> DataFrame:
     return roots.select(F.col("node").alias("fp"), "root").unionByName(roots.select(F.col("root").alias("fp"), "root").distinct())
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
-    """``docs`` with one document of each group: that with the smallest id.
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 3, blocks: int = 5, bucket: int = 4096) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: that with the smallest id, of equal ids that with the smallest text digest.
 
-    Rows that share an id count as one document; a row without an id stays.
+    A row without an id stays only where no row of its group has one. Rows equal in id and text count as one.
     """
-    found = near_duplicates(docs, id_col, text_col, **options)
-    first = found.filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("_first")).agg(F.count("*").alias("_rows"))
+    where = work_dir(docs.sparkSession)
+    mark = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    place = F.struct(F.isnull(id_col).alias("none"), F.col(id_col).alias("id"), mark.alias("mark"))
+    fps = written(fingerprints(docs.select(place.alias("place"), text_col), "place", text_col, words), where, "fingerprints")
+    chosen = fps.join(_components(fps, where, distance, blocks, bucket), "fp").filter(F.col("doc_id") == F.col("component_id"))
+    chosen = chosen.groupBy(F.col("doc_id.id").alias("_id"), F.col("doc_id.mark").alias("_mark")).agg(F.count("*").alias("_rows"))
+    chosen = written(chosen, where, "chosen")
     # the ids grow with the documents, so they are never broadcast
-    kept = docs.join(first.hint("merge"), docs[id_col] == first["_first"])
+    kept = docs.join(chosen.hint("merge"), docs[id_col].eqNullSafe(chosen["_id"]) & (mark == chosen["_mark"]))
     once = kept.filter("_rows = 1").select(docs.columns)
-    repeated = kept.filter("_rows > 1").select(docs.columns).dropDuplicates([id_col])
-    return once.unionByName(repeated).unionByName(docs.filter(F.col(id_col).isNull()))
+    repeated = kept.filter("_rows > 1").dropDuplicates(["_id", "_mark"]).select(docs.columns)
+    return once.unionByName(repeated)
