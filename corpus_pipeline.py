@@ -1,9 +1,10 @@
 """A training-corpus pipeline of operators, each stage written as Parquet and read again.
 
 The stages take ``documents`` (doc_id, text, lang, source, n_chars) and all but
-the last return the columns of ``documents``, other columns are dropped at the
-start. Each works on all rows that its predecessor kept; null texts count as
-empty.
+the last return those columns; other columns are dropped. Each works on all rows
+that its predecessor kept. Null texts count as empty; rows without an id are
+judged by their text like any other; repeated rows are one near-duplicate group;
+empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -28,17 +29,18 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, that with the smallest id."""
-    return simhash.one_of_each(docs)
+    return simhash.one_of_each(docs.select(COLUMNS))
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go of which at least one word in twenty lies in a window of a benchmark item."""
-    return contamination.uncontaminated(docs, table(spark, sf_dir, "benchmark"))
+    return contamination.uncontaminated(docs.select(COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind; ``n_chars`` follows the new text."""
-    return pii.redact(docs, pii.train(docs)).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+    docs = docs.select(COLUMNS)
+    return pii.redact(docs, pii.train(docs)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
