@@ -193,9 +193,9 @@ _BOTH = "count(*) FILTER (a_log_return IS NOT NULL AND b_log_return IS NOT NULL)
 part("rc", "pb", "SELECT *, " + ", ".join(f"CASE WHEN {_BOTH} OVER {win(w)} = {w} THEN {corr('a_log_return', 'b_log_return', win(w))} END AS corr_{w}" for w in _WS) + " FROM pb")
 _PK = ["pair_id", "bar_ts"]
 query("k1_rolling_correlation", sql("rc", f"SELECT pair_id, bar_ts, {rs(*[f'corr_{w}' for w in _WS])} FROM rc"))(lambda s, d: correlation.rolling_correlation(fx.daily_pairs(s, d)).select(*_PK, *[f"corr_{w}" for w in _WS]))
-part("sw", "pb", "SELECT x.pair_id, x.pos, y.a_log_return AS a, y.b_log_return AS b FROM pb x JOIN pb y ON y.pair_id = x.pair_id AND y.pos BETWEEN x.pos - 19 AND x.pos WHERE x.pos >= 20")
+part("sw", "pb", "SELECT x.pair_id, x.pos, y.a_log_return AS a, y.b_log_return AS b FROM pb x JOIN pb y ON y.pair_id = x.pair_id AND y.pos BETWEEN x.pos - 49 AND x.pos WHERE x.pos >= 50")
 part("sr", "sw", "SELECT pair_id, pos, rank() OVER (PARTITION BY pair_id, pos ORDER BY a) + (count(*) OVER (PARTITION BY pair_id, pos, a) - 1) / 2.0::DOUBLE AS ra, rank() OVER (PARTITION BY pair_id, pos ORDER BY b) + (count(*) OVER (PARTITION BY pair_id, pos, b) - 1) / 2.0::DOUBLE AS rb FROM sw")
-query("k2_rolling_spearman", sql("sr", f"SELECT pair_id, bar_ts, {r('c', 'spearman_20')} FROM pb LEFT JOIN (SELECT pair_id, pos, {corr('ra', 'rb')} AS c FROM sr GROUP BY 1, 2) USING (pair_id, pos)"))(lambda s, d: correlation.rolling_spearman(fx.daily_pairs(s, d), 20).select(*_PK, "spearman_20"))
+query("k2_rolling_spearman", sql("sr", f"SELECT pair_id, bar_ts, {r('c', 'spearman_50')} FROM pb LEFT JOIN (SELECT pair_id, pos, {corr('ra', 'rb')} AS c FROM sr GROUP BY 1, 2) USING (pair_id, pos)"))(lambda s, d: correlation.rolling_spearman(fx.daily_pairs(s, d)).select(*_PK, "spearman_50"))
 part("lc", "rc", "SELECT pair_id, unnest([20, 50, 100, 200]) AS \"window\", unnest([corr_20, corr_50, corr_100, corr_200]) AS c FROM rc")
 query(
     "k3_correlation_statistics",
@@ -232,10 +232,20 @@ query("l4_conditional_lead_lag", sql("lon", f"SELECT pair_id, direction, lag, {r
 
 # ratio, beta, residual
 
+
+def _percentiles(s: SparkSession, d: str) -> DataFrame:
+    rows = ratio.ratio(fx.daily_pairs(s, d))
+    for w in _WS:
+        rows = ratio.ratio_percentile(rows, w)
+    return rows
+
+
 query("t1_ratio", sql("scored", f"SELECT pair_id, bar_ts, {rs('ratio')} FROM scored"))(lambda s, d: ratio.ratio(fx.daily_pairs(s, d)).select(*_PK, "ratio"))
 _RF = [f"ratio_{n}_{w}" for w in _WS for n in ("mean", "std")]
 query("t2_ratio_mean_std", sql("rat", f"SELECT pair_id, bar_ts, {rs(*_RF)} FROM rat"))(lambda s, d: fx.daily_scored(s, d).select(*_PK, *_RF))
-query("t3_ratio_percentile", sql("rat", f"SELECT x.pair_id, x.bar_ts, {r('CASE WHEN count(*) = 50 THEN avg((y.ratio <= x.ratio)::INT) * 100 END', 'ratio_percentile_50')} FROM rat x JOIN rat y ON y.pair_id = x.pair_id AND y.pos BETWEEN x.pos - 49 AND x.pos GROUP BY 1, 2"))(lambda s, d: ratio.ratio_percentile(ratio.ratio(fx.daily_pairs(s, d)), 50).select(*_PK, "ratio_percentile_50"))
+query("t3_ratio_percentile", sql("rat", "SELECT x.pair_id, x.bar_ts, " + ", ".join(r(f"CASE WHEN count(*) FILTER (y.pos > x.pos - {w}) = {w} THEN avg((y.ratio <= x.ratio)::INT) FILTER (y.pos > x.pos - {w}) * 100 END", f"ratio_percentile_{w}") for w in _WS) + " FROM rat x JOIN rat y ON y.pair_id = x.pair_id AND y.pos BETWEEN x.pos - 199 AND x.pos GROUP BY 1, 2"))(
+    lambda s, d: _percentiles(s, d).select(*_PK, *[f"ratio_percentile_{w}" for w in _WS])
+)
 query("t4_ratio_zscore", sql("rat", f"SELECT pair_id, bar_ts, {rs('ratio_zscore_100')} FROM rat"))(lambda s, d: fx.daily_scored(s, d).select(*_PK, "ratio_zscore_100"))
 query("t5_rolling_beta", sql("beta", f"SELECT pair_id, bar_ts, {rs('cov', 'var_a', 'beta')} FROM beta"))(lambda s, d: ratio.rolling_beta(fx.daily_pairs(s, d)).select(*_PK, "cov", "var_a", "beta"))
 query("t6_residual", sql("res", f"SELECT pair_id, bar_ts, {rs('expected_b_return', 'residual')} FROM res"))(lambda s, d: fx.daily_scored(s, d).select(*_PK, "expected_b_return", "residual"))

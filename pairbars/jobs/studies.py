@@ -95,7 +95,17 @@ part("egl", "pb", "SELECT pair_id, bar_ts, a_close - regr_slope(a_close, b_close
 _lagged("eg", "egl", "e")
 query("x1_adf_one_lag", sql("adf_v", f"SELECT pair_id, {r('statistic', 'statistic')}, 1::BIGINT AS lag, n AS n_obs, {r('-2.86154 - 2.8903 / n - 4.234 / (n * n) - 40.04 / (n * n * n)', 'critical_5')} FROM ({_statistic('adf', True)})"))(lambda s, d: stattests.adf_test(fx.daily_scored(s, d), "ratio", lag=1).select("pair_id", "statistic", "lag", "n_obs", "critical_5"))
 query("x2_engle_granger_one_lag", sql("eg_v", f"SELECT pair_id, {r('statistic', 'statistic')} FROM ({_statistic('eg', False)})"))(lambda s, d: stattests.engle_granger(fx.daily_pairs(s, d), lag=1).select("pair_id", "statistic"))
-query("x1_adf_test")(lambda s, d: stattests.adf_test(fx.daily_scored(s, d), "ratio"))
+
+
+def _x1(s: SparkSession, d: str) -> DataFrame:
+    rows, out = fx.daily_scored(s, d), None
+    for x in ("a_close", "b_close", "ratio", "residual"):
+        part_of = stattests.adf_test(rows, x).withColumn("series", F.lit(x))
+        out = part_of if out is None else out.unionByName(part_of)
+    return out
+
+
+query("x1_adf_test")(_x1)
 query("x2_engle_granger")(lambda s, d: stattests.engle_granger(fx.daily_pairs(s, d)))
 query("x3_half_life", sql("rat", f"SELECT pair_id, {r('CASE WHEN n < 20 THEN 0 WHEN s < 0 THEN -ln(2) / s ELSE 1e999 END', 'half_life')}, {r('CASE WHEN n >= 20 AND s < 0 THEN -s ELSE 0 END', 'speed')} FROM (SELECT pair_id, count(*) AS n, regr_slope(x - b, b) AS s FROM (SELECT pair_id, ratio AS x, lag(ratio) OVER (PARTITION BY pair_id ORDER BY bar_ts) AS b FROM rat) GROUP BY 1)"))(lambda s, d: stattests.half_life(fx.daily_scored(s, d), "ratio"))
 
@@ -209,11 +219,19 @@ query("wf5_walkforward_summary", sql("w1m", f"""SELECT pair_id, count(*) AS n_wi
 
 # summaries
 
+part("y_h", "rat", "SELECT pair_id, CASE WHEN n < 20 THEN 0 WHEN s < 0 THEN -ln(2) / s ELSE 1e999 END AS half_life FROM (SELECT pair_id, count(*) AS n, regr_slope(x - b, b) AS s FROM (SELECT pair_id, ratio AS x, lag(ratio) OVER (PARTITION BY pair_id ORDER BY bar_ts) AS b FROM rat) GROUP BY 1)")
 part("y_t10", "scored", "SELECT pair_id, avg(residual_zscore) AS mean, stddev_samp(residual_zscore) AS std, min(residual_zscore) AS \"min\", max(residual_zscore) AS \"max\" FROM scored GROUP BY 1")
 query(
     "y1_research_summary",
-    sql("y_t10 beta", "SELECT pair_id, 'residual_zscore' AS section, '' AS item, metric, round(value, 6) + 0.0 AS value FROM (UNPIVOT y_t10 ON mean, std, \"min\", \"max\" INTO NAME metric VALUE value) UNION ALL SELECT pair_id, 'beta', '', metric, round(value, 6) + 0.0 FROM (UNPIVOT (SELECT pair_id, avg(beta) AS mean, median(beta) AS median, min(beta) AS \"min\", max(beta) AS \"max\", stddev_samp(beta) AS std FROM beta GROUP BY 1) ON mean, median, \"min\", \"max\", std INTO NAME metric VALUE value)"),
-)(lambda s, d: summary.research_summary({"residual_zscore": ratio.residual_zscore_summary(fx.daily_scored(s, d)), "beta": ratio.beta_summary(fx.daily_scored(s, d))}))
+    sql("y_t10 beta y_h lastr", "SELECT pair_id, 'residual_zscore' AS section, '' AS item, metric, round(value, 6) + 0.0 AS value FROM (UNPIVOT y_t10 ON mean, std, \"min\", \"max\" INTO NAME metric VALUE value) UNION ALL SELECT pair_id, 'beta', '', metric, round(value, 6) + 0.0 FROM (UNPIVOT (SELECT pair_id, avg(beta) AS mean, median(beta) AS median, min(beta) AS \"min\", max(beta) AS \"max\", stddev_samp(beta) AS std FROM beta GROUP BY 1) ON mean, median, \"min\", \"max\", std INTO NAME metric VALUE value)"
+        " UNION ALL SELECT pair_id, 'ratio', '', metric, round(value, 6) + 0.0 FROM (UNPIVOT (SELECT pair_id, any_value(l) AS last, any_value(lz) AS last_zscore, avg(ratio) AS mean, stddev_samp(ratio) AS std, avg((ratio <= l)::INT) * 100 AS percentile FROM rat JOIN lastr USING (pair_id) GROUP BY 1) ON last, last_zscore, mean, std, percentile INTO NAME metric VALUE value)"
+        " UNION ALL SELECT pair_id, 'half_life', '', 'half_life', round(half_life, 6) + 0.0 FROM y_h"),
+)(lambda s, d: _y1(fx.daily_scored(s, d)))
+
+
+def _y1(rows: DataFrame) -> DataFrame:
+    sections = {"residual_zscore": ratio.residual_zscore_summary(rows), "beta": ratio.beta_summary(rows), "ratio": ratio.ratio_summary(rows), "half_life": stattests.half_life(rows, "ratio").select("pair_id", "half_life")}
+    return summary.research_summary(sections)
 
 
 def _concluded(s: SparkSession, d: str, cointegrated: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -236,7 +254,6 @@ part("y_corr", "rc", "SELECT pair_id, avg(corr_100) AS mean_corr, avg((corr_100
 part("y_best", "ll", "SELECT pair_id, max(c) FILTER (direction = 'a_leads_b') AS corr_ab, max(c) FILTER (direction = 'b_leads_a') AS corr_ba FROM (SELECT pair_id, direction, coalesce(correlation, 0) AS c, row_number() OVER (PARTITION BY pair_id, direction ORDER BY abs(correlation) DESC NULLS LAST, lag) AS k FROM ll) WHERE k = 1 GROUP BY 1")
 part("y_z", "scored", "SELECT pair_id, stddev_samp(residual_zscore) AS z_std FROM scored GROUP BY 1")
 part("y_n", "e3_k pb", f"SELECT pair_id, sum(\"count\") AS n_events FROM ({_forward('e3_k', 'threshold')}) WHERE instrument = 'a' GROUP BY 1")
-part("y_h", "rat", "SELECT pair_id, CASE WHEN n < 20 THEN 0 WHEN s < 0 THEN -ln(2) / s ELSE 1e999 END AS half_life FROM (SELECT pair_id, count(*) AS n, regr_slope(x - b, b) AS s FROM (SELECT pair_id, ratio AS x, lag(ratio) OVER (PARTITION BY pair_id ORDER BY bar_ts) AS b FROM rat) GROUP BY 1)")
 part("y_f", "y_corr y_best y_z y_n y_h", "SELECT *, pair_id LIKE 'A%' AS cointegrated FROM y_corr LEFT JOIN y_best USING (pair_id) LEFT JOIN y_z USING (pair_id) LEFT JOIN y_n USING (pair_id) LEFT JOIN y_h USING (pair_id)")
 part("y_p", "b1m b2m", "SELECT pair_id, 'profitable_' || strategy AS rule FROM (SELECT pair_id, 'lead_lag' AS strategy, net_return, profit_factor FROM b1m UNION ALL SELECT pair_id, 'mean_reversion', net_return, profit_factor FROM b2m) WHERE net_return > 0 AND profit_factor > 1.2")
 _RULES = {

@@ -1,5 +1,6 @@
 """Queries against their SQL on the smallest tables; a sample of each group, since the driver compares all."""
 
+import numbers
 import os
 
 import duckdb
@@ -13,7 +14,7 @@ NAMES = ["s1_read_bars", "s4_resolve_symbols", "s5_resample_w1", "s6_write_datas
 
 
 def same(frame, cols):
-    text = lambda v: "null" if v is None or v is pd.NA or v != v else f"{float(v):.6f}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    text = lambda v: "null" if v is None or v is pd.NA or v != v else f"{float(v):.6f}" if isinstance(v, numbers.Real) and not isinstance(v, bool) else str(v)
     return sorted(tuple(text(v) for v in row) for row in frame[cols].itertuples(index=False))
 
 
