@@ -328,4 +328,5 @@ def _removed(rows: DataFrame) -> DataFrame:
 
 
 def digests(found: DataFrame) -> DataFrame:
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """The numbers of each row, the SHA-256 of the bytes left, and whether any were removed."""
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("has_repeats"))
