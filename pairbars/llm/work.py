@@ -36,6 +36,13 @@ def written(df: DataFrame, where: str, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables of the work folder that later ones have been made from."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for path in map(hadoop.Path, paths):
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -11,7 +11,7 @@ import public_tokenizers
 import xxhash
 from tokenizers import Tokenizer
 
-from pairbars.llm import bpe, components, contamination, lengths, licences, pii, quality, rules, simhash, spans, toxicity
+from pairbars.llm import bpe, components, contamination, lengths, licences, passages, pii, quality, refine, rules, simhash, spans, toxicity, work
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ids string, fp string"
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -259,19 +259,54 @@ def test_repeated_spans_over_segments(monkeypatch):
     rng = np.random.default_rng(1)
     data = rng.integers(97, 105, 5000, dtype=np.uint8)
     stops = np.array([1200, 1210, 3333, 5000])
-    monkeypatch.setattr(spans, "SEGMENT", 1 << 20)
-    whole, starts = spans.anchors(data, stops, 40, 8), np.arange(0, 4900, 7)
-    ids = spans.at_places(data, [(starts, 60), (starts, 32), (starts + 1, 7)])
-    monkeypatch.setattr(spans, "SEGMENT", 300)
-    for a, b in zip(whole, spans.anchors(data, stops, 40, 8), strict=True):
+    monkeypatch.setattr(refine, "SEGMENT", 1 << 20)
+    whole, starts = refine.anchors(data, stops, 40, 8), np.arange(0, 4900, 7)
+    ids = refine.at_places(data, [(starts, 60), (starts, 32), (starts + 1, 7)])
+    monkeypatch.setattr(refine, "SEGMENT", 300)
+    for a, b in zip(whole, refine.anchors(data, stops, 40, 8), strict=True):
         assert np.array_equal(a, b)
-    for one, cut in zip(ids, spans.at_places(data, [(starts, 60), (starts, 32), (starts + 1, 7)]), strict=True):
+    for one, cut in zip(ids, refine.at_places(data, [(starts, 60), (starts, 32), (starts + 1, 7)]), strict=True):
         assert all(np.array_equal(a, b) for a, b in zip(one, cut, strict=True))
     strings = [data[s : s + 60].tobytes() for s in starts]
     pairs = list(zip(*ids[0], strict=True))
     assert len(set(strings)) == len(set(pairs)) == len(set(zip(strings, pairs, strict=True)))
 
 
+def _shares(texts, size):
+    """Documents that hold a run of words that another one holds."""
+    seen = defaultdict(set)
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    for i, w in enumerate(words):
+        for k in range(len(w) - size + 1):
+            seen[tuple(w[k : k + size])].add(i)
+    return {i for found in seen.values() if len(found) > 1 for i in found}
+
+
+def test_shared_passages(spark, texts):
+    rng = random.Random(14)
+    own = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    shared = [own(50), own(51), own(52), own(90), " ".join("ab" for _ in range(60))]
+    rows = [*texts, *[own(rng.randrange(40)) + "  \n" + rng.choice(shared) + "\t" + own(rng.randrange(40)) for _ in range(60)]]
+    rows += [own(60) + " " + shared[3] + " " + own(3) + " " + shared[3], "x" * 400 + " " + own(60), own(70), own(25) + "\n" + own(25) + "\n" + shared[2][:-1], None, "", " ".join("c" for _ in range(300))]
+    rows += [rows[-8], own(60) + " é" * 60]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id for r in spans.repeated_spans(df).filter("shares_passage").collect()}
+    assert got == _shares(rows, passages.LENGTH)
+    for size, q in ((10, 3), (6, 6)):
+        plain = refine.bucketed(work.with_text(df), work.work_dir(spark), 4)
+        found = passages.sharing(plain.select("row", "text"), size, q).join(plain.select("row", "doc_id"), "row")
+        assert {r.doc_id for r in found.collect()} == _shares(rows, size)
+
+
+def test_words_of_texts_end_to_end():
+    texts = ["one two", "", "two", "  three\n", "x" * 200, "x" * 201, "Two"]
+    data = [t.encode() for t in texts]
+    flat, stops = np.frombuffer(b"".join(data), np.uint8), np.cumsum([len(d) for d in data])
+    (x, y), ends = passages.word_ids(flat, stops)
+    assert ends.tolist() == [2, 2, 3, 4, 5, 6, 7] and len(x) == 7
+    assert x[1] == x[2] and y[1] == y[2] and len(set(x.tolist())) == 6
+
+
 def test_rules(docs, texts, empty):
     got = by_id(rules.judge(docs))
     for i, t in enumerate(texts):
