@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pairbars.llm import bpe, contamination, lengths, licences, pii, quality, rules, simhash, spans, toxicity
+from pairbars.llm import audit, bpe, contamination, lengths, licences, mixture, pii, quality, resample, rules, simhash, spans, toxicity
 from pairbars.llm.work import table, work_dir, written
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -68,6 +68,21 @@ def op10_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.digests(contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes at each step of every order, for each language."""
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document by the word statistics of the benchmark texts."""
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document go into a mix of the sources by weight."""
+    return mixture.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_token_counts": op2_token_counts,
@@ -79,10 +94,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rules": op8_rules,
     "op9_licences": op9_licences,
     "op10_contamination": op10_contamination,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_resample": op12_resample,
+    "op13_mixture": op13_mixture,
 }
 
 SQL: dict[str, str] = {
     "op8_rules": rules.SQL,
     "op9_licences": licences.SQL,
     "op10_contamination": contamination.SQL,
+    "op11_filter_audit": audit.SQL,
+    "op12_resample": resample.SQL,
+    "op13_mixture": mixture.SQL,
 }

@@ -69,3 +69,10 @@ def chunks(batch: pa.RecordBatch, text: str = "text", size: int = CHUNK_CHARS) -
             start, gathered, texts = i + 1, 0, []
     if texts:
         yield batch.slice(start), texts
+
+
+def copied(df: DataFrame, copies: str, index: str, piece: int = 4096) -> DataFrame:
+    """Each row as often as ``copies`` says, numbered from 0 in ``index``; made in pieces, so no array grows with a count."""
+    first = df.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.call_function("div", F.col(copies) - 1, F.lit(piece)))))
+    last = F.least((F.col("_piece") + 1) * piece, F.col(copies)) - 1
+    return first.withColumn(index, F.explode(F.sequence(F.col("_piece") * piece, last))).drop("_piece", copies)
