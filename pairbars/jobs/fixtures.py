@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pairbars.functions.rolling import with_pos
 from pairbars.operators import features, ratio, regimes, sync
+from pairbars.operators.chunks import in_chunks
 from pairbars.sources.bars import resample
 
 TICK_ORDER = ["ts", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "price"]
@@ -32,12 +33,16 @@ def intraday(spark: SparkSession, sf_dir: str, timeframe: str = "M30") -> DataFr
     return resample(intraday_ticks(spark, sf_dir), timeframe, ["ts", "event_id"])
 
 
+def returns(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Log returns of both sides."""
+    for s in "ab":
+        df = features.log_return(df, keys, f"{s}_close", f"{s}_log_return")
+    return df
+
+
 def pair_bars(bars: DataFrame) -> DataFrame:
     """Matched bars of all pairs, with positions and log returns of both sides."""
-    rows = sync.synchronize(bars, sync.all_pairs(bars))
-    for s in "ab":
-        rows = features.log_return(rows, ["pair_id"], f"{s}_close", f"{s}_log_return")
-    return rows
+    return in_chunks(sync.synchronize(bars), ["pair_id"], returns, 1, pos="pos")
 
 
 def daily_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +51,8 @@ def daily_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def daily_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With hedge ratio, residual and its score, the price ratio and its scores."""
-    return ratio.ratio_features(ratio.ratio(ratio.scored(daily_pairs(spark, sf_dir))))
+    rows = sync.synchronize(daily(spark, sf_dir))
+    return in_chunks(rows, ["pair_id"], lambda d, k: ratio.ratio_features(ratio.ratio(ratio.scored(returns(d, k), keys=k)), keys=k), 1 + 200, pos="pos")
 
 
 def intraday_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +62,19 @@ def intraday_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def intraday_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With sessions and the volatility regime of side a."""
-    return features.volatility_regime(intraday_pairs(spark, sf_dir), 20, ["pair_id"], "a_log_return")
+    rows = in_chunks(sync.synchronize(intraday(spark, sf_dir)), ["pair_id"], lambda d, k: features.volatility_regime(returns(d, k), 20, k, "a_log_return"), 1 + 120, pos="pos")
+    return regimes.session_label(rows)
+
+
+def calendars(spark: SparkSession, sf_dir: str, without: tuple[int, ...] = ()) -> DataFrame:
+    """Times of bars on the first, last, and first and last business days of the months and quarters with trades; some taken out by their number."""
+    days = daily(spark, sf_dir).select("symbol", F.trunc("bar_ts", "month").alias("first"))
+    last = F.last_day("first")
+    on = {"MN1": F.col("first"), "ME": last, "BMS": F.date_add("first", F.when(F.weekday("first") > 4, 7 - F.weekday("first")).otherwise(F.lit(0))), "BME": F.date_sub(last, F.greatest(F.weekday(last) - 4, F.lit(0)))}
+    on |= {"QS": F.when(F.month("first") % 3 == 1, F.col("first")), "QE": F.when(F.month("first") % 3 == 1, last)}
+    cells = F.array(*[F.struct(F.lit(name).alias("name"), day.cast("timestamp_ntz").alias("bar_ts")) for name, day in on.items()])
+    rows = days.distinct().select("symbol", F.inline(cells)).filter("bar_ts is not null").select(F.concat_ws("-", "symbol", "name").alias("symbol"), "bar_ts")
+    return with_pos(rows, ["symbol"]).filter(~(F.col("pos") + 1).isin(*without)).drop("pos") if without else rows
 
 
 def faulty(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pairbars.functions.rolling import rounded
 from pairbars.jobs import fixtures as fx
 from pairbars.jobs.sql import BAR, SESSION, bars, corr, full, part, r, rs, sql, win
 from pairbars.operators import cleaning, correlation, features, leadlag, ratio, regimes, spread, sync
+from pairbars.operators.chunks import in_chunks
 from pairbars.sources import bars as src
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,8 +98,17 @@ query("c4_drop_duplicate_bars", sql("faulty", f"SELECT {_F} FROM (SELECT *, row_
 part("dts", "bars", "SELECT symbol, bar_ts, row_number() OVER w AS k, epoch(bar_ts)::BIGINT - lag(epoch(bar_ts)::BIGINT) OVER w AS dt FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY bar_ts)")
 query("c5_infer_frequency", sql("dts", """SELECT symbol, CASE WHEN n < 3 THEN NULL WHEN a = b THEN a WHEN weekly THEN 86400 END AS step_seconds, n >= 3 AND a < b AND weekly AS weekdays_only
 FROM (SELECT symbol, count(*) AS n, min(dt) AS a, max(dt) AS b, bool_and(isodow(bar_ts) < 6 AND (dt IS NULL OR dt = CASE WHEN isodow(bar_ts) = 1 THEN 259200 ELSE 86400 END)) AS weekly FROM dts WHERE k <= 100 GROUP BY symbol)"""))(
-    lambda s, d: cleaning.infer_frequency(fx.daily(s, d))
+    lambda s, d: cleaning.infer_frequency(fx.daily(s, d)).select("symbol", "step_seconds", "weekdays_only")
 )
+# calendars of months: the bars of the first, last, first and last business days of months or quarters, with some taken out
+_CALENDARS = (("MN1", 1, "start"), ("ME", 1, "end"), ("BMS", 1, "business_start"), ("BME", 1, "business_end"), ("QS", 3, "start"), ("QE", 3, "end"))
+_FIRST = "date_trunc('month', bar_ts)::TIMESTAMP"
+_LAST = "(date_trunc('month', bar_ts) + INTERVAL 1 MONTH - INTERVAL 1 DAY)::TIMESTAMP"
+_ON = {"start": _FIRST, "end": _LAST, "business_start": f"{_FIRST} + to_days((CASE isodow({_FIRST}) WHEN 6 THEN 2 WHEN 7 THEN 1 ELSE 0 END)::INT)", "business_end": f"{_LAST} - to_days((CASE isodow({_LAST}) WHEN 6 THEN 1 WHEN 7 THEN 2 ELSE 0 END)::INT)"}
+part("monthly", "bars", " UNION ALL ".join(f"SELECT symbol || '-{n}' AS symbol, {k} AS months, '{a}' AS anchor, bar_ts FROM (SELECT DISTINCT symbol, {_ON[a]} AS bar_ts FROM bars WHERE (year(bar_ts) * 12 + month(bar_ts) - 1) % {k} = 0)" for n, k, a in _CALENDARS))
+part("holed", "monthly", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar_ts) AS k FROM monthly)")
+query("c5_infer_frequency_months", sql("monthly", "SELECT symbol, NULL::BIGINT AS step_seconds, false AS weekdays_only, any_value(months) AS months, any_value(anchor) AS anchor FROM monthly GROUP BY symbol"))(lambda s, d: cleaning.infer_frequency(fx.calendars(s, d)))
+query("c6_missing_bars_months", sql("holed", "SELECT symbol, bar_ts::TIMESTAMP AS bar_ts FROM holed WHERE k IN (16, 17, 21)"))(lambda s, d: cleaning.missing_bars(fx.calendars(s, d, (16, 17, 21)), first=12))
 query("c6_missing_bars", sql("gaps", "SELECT symbol, bar_ts::TIMESTAMP AS bar_ts FROM gaps"))(lambda s, d: cleaning.missing_bars(cleaning.clean_bars(fx.faulty(s, d)), 86_400))
 query(
     "c7_quality_report",
@@ -118,10 +128,12 @@ query("c8_clean_bars", sql("c4", f"SELECT {_SOME} FROM c4"))(lambda s, d: cleani
 # joins
 
 _SIDES = ", ".join(f"round({s}_{c}, 6) + 0.0 AS {s}_{c}" if c in ("open", "high", "low", "close") else f"{s}_{c}" for s in "ab" for c in BAR.split(", "))
-query("j1_synchronize", sql("pb0", f"SELECT pair_id, bar_ts, pos, {_SIDES} FROM pb0"))(lambda s, d: sync.synchronize(fx.daily(s, d), sync.all_pairs(fx.daily(s, d))))
+query("j1_synchronize", sql("pb0", f"SELECT pair_id, bar_ts, pos, {_SIDES} FROM pb0"))(lambda s, d: sync.synchronize(fx.daily(s, d)))
+# a list of pairs given
+query("j1_synchronize_listed", sql("pb0", f"SELECT pair_id, bar_ts, pos, {_SIDES} FROM pb0 WHERE pair_id LIKE 'A%'"))(lambda s, d: sync.synchronize(fx.daily(s, d), sync.all_pairs(fx.daily(s, d)).filter("a_symbol like 'A%'")))
 part("ia", "ibars ipb_pairs", "SELECT pair_id, bar_ts FROM ipb_pairs JOIN ibars ON symbol = a_symbol")
 part("ib", "ibars ipb_pairs", "SELECT pair_id, bar_ts FROM ipb_pairs JOIN ibars ON symbol = b_symbol")
-query("j2_unmatched", sql("ia ib", "SELECT *, 'a' AS side FROM (SELECT * FROM ia EXCEPT SELECT * FROM ib) UNION ALL SELECT *, 'b' AS side FROM (SELECT * FROM ib EXCEPT SELECT * FROM ia)"))(lambda s, d: sync.unmatched(fx.intraday(s, d), sync.all_pairs(fx.intraday(s, d))))
+query("j2_unmatched", sql("ia ib", "SELECT *, 'a' AS side FROM (SELECT * FROM ia EXCEPT SELECT * FROM ib) UNION ALL SELECT *, 'b' AS side FROM (SELECT * FROM ib EXCEPT SELECT * FROM ia)"))(lambda s, d: sync.unmatched(fx.intraday(s, d)))
 query(
     "j3_sync_report",
     sql(
@@ -132,7 +144,7 @@ LEFT JOIN (SELECT pair_id, sum(epoch(nxt - bar_ts) / 1800 - 1) AS missing, min(b
 LEFT JOIN (SELECT pair_id, string_agg(strftime(t, '%Y-%m-%d %H:%M:%S'), ',' ORDER BY t) AS missing_periods FROM (SELECT pair_id, t, row_number() OVER (PARTITION BY pair_id ORDER BY t) AS k FROM (SELECT pair_id, unnest(generate_series(bar_ts + INTERVAL 30 MINUTE, nxt - INTERVAL 30 MINUTE, INTERVAL 30 MINUTE)) AS t
            FROM (SELECT pair_id, bar_ts, lead(bar_ts) OVER (PARTITION BY pair_id ORDER BY bar_ts) AS nxt FROM ipb0) WHERE nxt > bar_ts + INTERVAL 30 MINUTE)) WHERE k <= 10 GROUP BY 1) USING (pair_id)""",
     ),
-)(lambda s, d: _listed(sync.sync_report(fx.intraday(s, d), sync.all_pairs(fx.intraday(s, d)), 1800), "missing_periods"))
+)(lambda s, d: _listed(sync.sync_report(fx.intraday(s, d), step_seconds=1800), "missing_periods"))
 
 # features, on each symbol's own bars
 
@@ -192,21 +204,21 @@ _WS = (20, 50, 100, 200)
 _BOTH = "count(*) FILTER (a_log_return IS NOT NULL AND b_log_return IS NOT NULL)"
 part("rc", "pb", "SELECT *, " + ", ".join(f"CASE WHEN {_BOTH} OVER {win(w)} = {w} THEN {corr('a_log_return', 'b_log_return', win(w))} END AS corr_{w}" for w in _WS) + " FROM pb")
 _PK = ["pair_id", "bar_ts"]
-query("k1_rolling_correlation", sql("rc", f"SELECT pair_id, bar_ts, {rs(*[f'corr_{w}' for w in _WS])} FROM rc"))(lambda s, d: correlation.rolling_correlation(fx.daily_pairs(s, d)).select(*_PK, *[f"corr_{w}" for w in _WS]))
+query("k1_rolling_correlation", sql("rc", f"SELECT pair_id, bar_ts, {rs(*[f'corr_{w}' for w in _WS])} FROM rc"))(lambda s, d: correlation.rolling_correlation(fx.daily_pairs(s, d), pos="pos").select(*_PK, *[f"corr_{w}" for w in _WS]))
 part("sw", "pb", "SELECT x.pair_id, x.pos, y.a_log_return AS a, y.b_log_return AS b FROM pb x JOIN pb y ON y.pair_id = x.pair_id AND y.pos BETWEEN x.pos - 49 AND x.pos WHERE x.pos >= 50")
 part("sr", "sw", "SELECT pair_id, pos, rank() OVER (PARTITION BY pair_id, pos ORDER BY a) + (count(*) OVER (PARTITION BY pair_id, pos, a) - 1) / 2.0::DOUBLE AS ra, rank() OVER (PARTITION BY pair_id, pos ORDER BY b) + (count(*) OVER (PARTITION BY pair_id, pos, b) - 1) / 2.0::DOUBLE AS rb FROM sw")
-query("k2_rolling_spearman", sql("sr", f"SELECT pair_id, bar_ts, {r('c', 'spearman_50')} FROM pb LEFT JOIN (SELECT pair_id, pos, {corr('ra', 'rb')} AS c FROM sr GROUP BY 1, 2) USING (pair_id, pos)"))(lambda s, d: correlation.rolling_spearman(fx.daily_pairs(s, d)).select(*_PK, "spearman_50"))
+query("k2_rolling_spearman", sql("sr", f"SELECT pair_id, bar_ts, {r('c', 'spearman_50')} FROM pb LEFT JOIN (SELECT pair_id, pos, {corr('ra', 'rb')} AS c FROM sr GROUP BY 1, 2) USING (pair_id, pos)"))(lambda s, d: correlation.rolling_spearman(fx.daily_pairs(s, d), pos="pos").select(*_PK, "spearman_50"))
 part("lc", "rc", "SELECT pair_id, unnest([20, 50, 100, 200]) AS \"window\", unnest([corr_20, corr_50, corr_100, corr_200]) AS c FROM rc")
 query(
     "k3_correlation_statistics",
     sql("lc", "SELECT pair_id, \"window\", count(c) AS n, " + ", ".join([r("avg(c)", "mean"), r("median(c)", "median"), r("stddev_samp(c)", "std"), r("min(c)", "min"), r("max(c)", "max"), *[r(f"avg((c > {t})::INT) * 100", n) for t, n in ((0, "pct_positive"), (0.5, "pct_over_05"), (0.7, "pct_over_07"))]]) + " FROM lc GROUP BY 1, 2"),
-)(lambda s, d: correlation.correlation_statistics(correlation.rolling_correlation(fx.daily_pairs(s, d))))
+)(lambda s, d: correlation.correlation_statistics(correlation.rolling_correlation(fx.daily_pairs(s, d), pos="pos")))
 for _id, _g in (("k4_correlation_by_session", "session"), ("k5_correlation_by_regime", "volatility_regime")):
     query(_id, sql("reg", f"SELECT pair_id, {_g}, n_rows, {rs('correlation')}, {', '.join(r(f'CASE WHEN n_rows >= {w} THEN correlation END', f'corr_{w}') for w in _WS)} FROM (SELECT pair_id, {_g}, count(*) AS n_rows, {corr('a_log_return', 'b_log_return')} AS correlation FROM reg GROUP BY 1, 2)"))(lambda s, d, g=_g: correlation.correlation_by(fx.intraday_regimes(s, d), g))
 part("st", "pb", "SELECT pair_id, a_log_return AS a, b_log_return AS b, row_number() OVER (PARTITION BY pair_id ORDER BY bar_ts) - 1 AS p, count(*) OVER (PARTITION BY pair_id) AS n FROM pb WHERE a_log_return IS NOT NULL AND b_log_return IS NOT NULL")
 part("stw", "st", f"SELECT pair_id, w, {corr('a', 'b')} AS c FROM (SELECT DISTINCT pair_id AS q, unnest(range(0, n - 100, 50)) AS w FROM st) JOIN st ON pair_id = q AND p BETWEEN w AND w + 99 GROUP BY 1, 2")
 query("k6_correlation_stability", sql("stw", f"SELECT pair_id, {r('avg(c)', 'mean')}, {r('stddev_pop(c)', 'std')}, {r('min(c)', 'min')}, {r('max(c)', 'max')}, count(*) AS n_windows FROM stw GROUP BY 1"))(lambda s, d: correlation.correlation_stability(fx.daily_pairs(s, d)))
-query("k7_autocorrelation", sql("pb", " UNION ALL ".join(f"SELECT pair_id, {k} AS lag, {r(corr('x', 'y'), 'autocorrelation')} FROM (SELECT pair_id, a_log_return AS x, lag(a_log_return, {k}) OVER (PARTITION BY pair_id ORDER BY bar_ts) AS y FROM pb) GROUP BY 1" for k in range(21))))(lambda s, d: correlation.autocorrelation(fx.daily_pairs(s, d)))
+query("k7_autocorrelation", sql("pb", " UNION ALL ".join(f"SELECT pair_id, {k} AS lag, {r(corr('x', 'y'), 'autocorrelation')} FROM (SELECT pair_id, a_log_return AS x, lag(a_log_return, {k}) OVER (PARTITION BY pair_id ORDER BY bar_ts) AS y FROM pb) GROUP BY 1" for k in range(21))))(lambda s, d: correlation.autocorrelation(fx.daily_pairs(s, d), pos="pos"))
 
 # lead and lag
 
@@ -222,8 +234,8 @@ def _best(source: str, keys: str) -> str:
 
 
 part("ll", "pb", _lags("pb", "pair_id", 12))
-query("l1_lead_lag", sql("ll", f"SELECT pair_id, direction, lag, {rs('correlation')}, n_rows FROM ll"))(lambda s, d: leadlag.lead_lag(fx.daily_pairs(s, d)))
-query("l2_best_lag", sql("ll", _best("ll", "pair_id")))(lambda s, d: leadlag.best_lag(leadlag.lead_lag(fx.daily_pairs(s, d))))
+query("l1_lead_lag", sql("ll", f"SELECT pair_id, direction, lag, {rs('correlation')}, n_rows FROM ll"))(lambda s, d: leadlag.lead_lag(fx.daily_pairs(s, d), pos="pos"))
+query("l2_best_lag", sql("ll", _best("ll", "pair_id")))(lambda s, d: leadlag.best_lag(leadlag.lead_lag(fx.daily_pairs(s, d), pos="pos")))
 for _id, _g in (("l3_lead_lag_by_session", "session"), ("l3_lead_lag_by_regime", "volatility_regime")):
     part(f"ll_{_g}", "reg", _lags("reg", f"pair_id, {_g}", 12))
     query(_id, sql(f"ll_{_g}", _best(f"(SELECT * FROM ll_{_g} WHERE n_rows > 22)", f"pair_id, {_g}")))(lambda s, d, g=_g: leadlag.lead_lag_by(fx.intraday_regimes(s, d), g))
@@ -235,9 +247,13 @@ query("l4_conditional_lead_lag", sql("lon", f"SELECT pair_id, direction, lag, {r
 
 def _percentiles(s: SparkSession, d: str) -> DataFrame:
     rows = ratio.ratio(fx.daily_pairs(s, d))
-    for w in _WS:
-        rows = ratio.ratio_percentile(rows, w)
-    return rows
+
+    def run(rows: DataFrame, keys: list[str]) -> DataFrame:
+        for w in _WS:
+            rows = ratio.ratio_percentile(rows, w, keys)
+        return rows
+
+    return in_chunks(rows, ["pair_id"], run, max(_WS) - 1, pos="pos")
 
 
 query("t1_ratio", sql("scored", f"SELECT pair_id, bar_ts, {rs('ratio')} FROM scored"))(lambda s, d: ratio.ratio(fx.daily_pairs(s, d)).select(*_PK, "ratio"))
@@ -247,7 +263,7 @@ query("t3_ratio_percentile", sql("rat", "SELECT x.pair_id, x.bar_ts, " + ", ".jo
     lambda s, d: _percentiles(s, d).select(*_PK, *[f"ratio_percentile_{w}" for w in _WS])
 )
 query("t4_ratio_zscore", sql("rat", f"SELECT pair_id, bar_ts, {rs('ratio_zscore_100')} FROM rat"))(lambda s, d: fx.daily_scored(s, d).select(*_PK, "ratio_zscore_100"))
-query("t5_rolling_beta", sql("beta", f"SELECT pair_id, bar_ts, {rs('cov', 'var_a', 'beta')} FROM beta"))(lambda s, d: ratio.rolling_beta(fx.daily_pairs(s, d)).select(*_PK, "cov", "var_a", "beta"))
+query("t5_rolling_beta", sql("beta", f"SELECT pair_id, bar_ts, {rs('cov', 'var_a', 'beta')} FROM beta"))(lambda s, d: ratio.rolling_beta(fx.daily_pairs(s, d), pos="pos").select(*_PK, "cov", "var_a", "beta"))
 query("t6_residual", sql("res", f"SELECT pair_id, bar_ts, {rs('expected_b_return', 'residual')} FROM res"))(lambda s, d: fx.daily_scored(s, d).select(*_PK, "expected_b_return", "residual"))
 query("t7_residual_zscore", sql("scored", f"SELECT pair_id, bar_ts, {rs('residual_zscore')} FROM scored"))(lambda s, d: fx.daily_scored(s, d).select(*_PK, "residual_zscore"))
 part("lastr", "rat", "SELECT pair_id, last(ratio ORDER BY bar_ts) AS l, last(ratio_zscore_100 ORDER BY bar_ts) AS lz FROM rat GROUP BY 1")

@@ -43,18 +43,18 @@ def _forward(source: str, keys: str, table: str = "pb", group: str = "pair_id")
     return f"SELECT pair_id, {keyed}period, instrument, {FORWARD.format(keys='')} FROM {source} JOIN ({union}) USING ({using}) WHERE has = 1 GROUP BY pair_id, {keyed}period, instrument"
 
 
-query("e2_forward_returns", sql("cand pb", _forward("cand", "")))(lambda s, d: events.forward_returns(events.detect_divergences(events.with_forward(fx.daily_scored(s, d)))))
-query("e3_divergence_by_threshold", sql("e3_k pb", _forward("e3_k", "threshold"), recursive=True))(lambda s, d: events.divergence_by_threshold(fx.daily_scored(s, d)))
-query("e4_divergence_by_direction", sql("e1_k pb", _forward("e1_k", "direction"), recursive=True))(lambda s, d: events.divergence_by_direction(fx.daily_scored(s, d)))
+query("e2_forward_returns", sql("cand pb", _forward("cand", "")))(lambda s, d: events.forward_returns(events.detect_divergences(events.with_forward(fx.daily_scored(s, d), pos="pos"))))
+query("e3_divergence_by_threshold", sql("e3_k pb", _forward("e3_k", "threshold"), recursive=True))(lambda s, d: events.divergence_by_threshold(fx.daily_scored(s, d), pos="pos"))
+query("e4_divergence_by_direction", sql("e1_k pb", _forward("e1_k", "direction"), recursive=True))(lambda s, d: events.divergence_by_direction(fx.daily_scored(s, d), pos="pos"))
 # quarters stand for sessions here: daily bars have no hours
 part("ratq", "rat", "SELECT *, 'Q' || quarter(bar_ts) AS session FROM rat")
 part("candq", "ratq thr", "SELECT pair_id, session, pos FROM ratq JOIN thr ON abs(residual_zscore) >= threshold")
 query("e5_conditional_divergence", sql("candq", _forward("candq", "session", "ratq", "pair_id session")))(lambda s, d: events.conditional_divergence(fx.daily_scored(s, d).withColumn("session", F.concat(F.lit("Q"), F.quarter("bar_ts")))))
 part("rx", "rat thr", "SELECT rat.*, threshold, CASE WHEN ratio_zscore_100 > 0 THEN 'upper' ELSE 'lower' END AS extreme FROM (SELECT *, " + ", ".join(f"lead(ratio, {p}) OVER w AS r{p}" for p in PERIODS) + " FROM rat WINDOW w AS (PARTITION BY pair_id ORDER BY bar_ts)) rat JOIN thr ON abs(ratio_zscore_100) >= threshold")
-query("e6_ratio_extremes", sql("rx", "SELECT pair_id, threshold, extreme, period, " + FORWARD.format(keys="") + " FROM (" + " UNION ALL ".join(f"SELECT pair_id, threshold, extreme, {p} AS period, (r{p} - ratio) / nullif(ratio, 0) AS x FROM rx" for p in PERIODS) + ") WHERE x IS NOT NULL GROUP BY ALL"))(lambda s, d: events.ratio_extremes(fx.daily_scored(s, d)))
+query("e6_ratio_extremes", sql("rx", "SELECT pair_id, threshold, extreme, period, " + FORWARD.format(keys="") + " FROM (" + " UNION ALL ".join(f"SELECT pair_id, threshold, extreme, {p} AS period, (r{p} - ratio) / nullif(ratio, 0) AS x FROM rx" for p in PERIODS) + ") WHERE x IS NOT NULL GROUP BY ALL"))(lambda s, d: events.ratio_extremes(fx.daily_scored(s, d), pos="pos"))
 _LV = (0.0, 0.5, 1.0)
 part("rv", "rat thr", "SELECT rat.*, threshold FROM (SELECT pair_id, pos, ratio_zscore_100, " + ", ".join(f"min(CASE WHEN abs(ratio_zscore_100) <= {v} THEN pos END) OVER (PARTITION BY pair_id ORDER BY bar_ts ROWS BETWEEN 1 FOLLOWING AND 199 FOLLOWING) - pos AS t{i}" for i, v in enumerate(_LV)) + " FROM rat) rat JOIN thr ON abs(ratio_zscore_100) >= threshold")
-query("e7_ratio_reversion", sql("rv", "SELECT pair_id, threshold, level, count(*) AS n_events, " + r("avg((b IS NOT NULL)::INT) * 100", "pct_reverted") + ", " + r("coalesce(avg(b), 0)", "mean_bars") + ", coalesce(max(b), 0)::INTEGER AS max_bars FROM (" + " UNION ALL ".join(f"SELECT pair_id, threshold, {v}::DOUBLE AS level, t{i} AS b FROM rv" for i, v in enumerate(_LV)) + ") GROUP BY ALL"))(lambda s, d: events.ratio_reversion(fx.daily_scored(s, d)))
+query("e7_ratio_reversion", sql("rv", "SELECT pair_id, threshold, level, count(*) AS n_events, " + r("avg((b IS NOT NULL)::INT) * 100", "pct_reverted") + ", " + r("coalesce(avg(b), 0)", "mean_bars") + ", coalesce(max(b), 0)::INTEGER AS max_bars FROM (" + " UNION ALL ".join(f"SELECT pair_id, threshold, {v}::DOUBLE AS level, t{i} AS b FROM rv" for i, v in enumerate(_LV)) + ") GROUP BY ALL"))(lambda s, d: events.ratio_reversion(fx.daily_scored(s, d), pos="pos"))
 
 # spreads
 
@@ -141,17 +141,17 @@ COSTS = {"commission": 0.5, "slippage": 0.2}
 
 
 def _b1(s: SparkSession, d: str) -> DataFrame:
-    return backtest.lead_lag_trades(fx.daily_pairs(s, d), **COSTS)
+    return backtest.lead_lag_trades(fx.daily_pairs(s, d), pos="pos", **COSTS)
 
 
 def _b2(s: SparkSession, d: str) -> DataFrame:
-    return backtest.mean_reversion_trades(fx.daily_scored(s, d), **COSTS)
+    return backtest.mean_reversion_trades(fx.daily_scored(s, d), pos="pos", **COSTS)
 
 
 query("b1_lead_lag_trades", sql("b1", f"SELECT {_TR} FROM b1"))(_b1)
 query("b2_mean_reversion_trades", sql("b2", f"SELECT {_TR} FROM b2", recursive=True))(_b2)
 query("b3_trade_gate", sql("ll", "SELECT DISTINCT pair_id FROM (SELECT *, row_number() OVER (PARTITION BY pair_id, direction ORDER BY abs(correlation) DESC NULLS LAST, lag) AS k FROM ll) WHERE k = 1 AND direction = 'a_leads_b' AND correlation > 0.02"))(
-    lambda s, d: backtest.trade_gate(fx.daily_pairs(s, d), leadlag.best_lag(leadlag.lead_lag(fx.daily_pairs(s, d))), "a_leads_b", 0.02).select("pair_id").distinct()
+    lambda s, d: backtest.trade_gate(fx.daily_pairs(s, d), leadlag.best_lag(leadlag.lead_lag(fx.daily_pairs(s, d), pos="pos")), "a_leads_b", 0.02).select("pair_id").distinct()
 )
 
 
@@ -207,13 +207,13 @@ GRID = {"entry": (1.5, 2.0)}
 
 
 def _w1(s: SparkSession, d: str) -> DataFrame:
-    return walkforward.run_walkforward(_slices(s, d), backtest.lead_lag_trades, **COSTS)
+    return walkforward.run_walkforward(_slices(s, d), backtest.lead_lag_trades, pos="pos", **COSTS)
 
 
 query("wf3_run_walkforward", sql("w1m", f"SELECT {_WM}{_MET} FROM w1m"))(_w1)
 _SCORE = "coalesce(net_return, 0) / greatest(abs(coalesce(max_drawdown, 0)), 1e-6::DOUBLE)"
 part("best", "w20m w21m", f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pair_id, window_ ORDER BY score DESC, combo) AS k FROM ({' UNION ALL '.join(f'SELECT pair_id, window_, {i} AS combo, {_SCORE} AS score FROM w2{i}m WHERE split = {chr(39)}val{chr(39)}' for i in range(2))})) WHERE k = 1")
-query("wf4_parameter_search", sql("best", f'SELECT pair_id, window_ AS "window", combo, round(score, 2) + 0.0 AS score FROM best', recursive=True))(lambda s, d: walkforward.parameter_search(_slices(s, d), backtest.mean_reversion_trades, GRID, **COSTS).withColumn("score", F.round("score", 2)))
+query("wf4_parameter_search", sql("best", f'SELECT pair_id, window_ AS "window", combo, round(score, 2) + 0.0 AS score FROM best', recursive=True))(lambda s, d: walkforward.parameter_search(_slices(s, d), backtest.mean_reversion_trades, GRID, pos="pos", **COSTS).withColumn("score", F.round("score", 2)))
 query("wf5_walkforward_summary", sql("w1m", f"""SELECT pair_id, count(*) AS n_windows, {r('avg(coalesce(net_return, 0))', 'mean_net')}, {r('stddev_pop(coalesce(net_return, 0))', 'std_net')}, {r('avg(coalesce(sharpe, 0))', 'mean_sharpe')}, {r('avg(coalesce(profit_factor, 0))', 'mean_profit_factor')},
   {r('avg(coalesce(win_rate, 0))', 'mean_win_rate')}, {r('avg(coalesce(max_drawdown, 0))', 'mean_drawdown')}, sum((coalesce(net_return, 0) > 0)::INT)::BIGINT AS n_profitable, {r('avg((coalesce(net_return, 0) > 0)::INT) * 100', 'pct_profitable')} FROM w1m WHERE split = 'test' GROUP BY 1"""))(lambda s, d: walkforward.walkforward_summary(_w1(s, d)))
 
@@ -236,10 +236,10 @@ def _y1(rows: DataFrame) -> DataFrame:
 
 def _concluded(s: SparkSession, d: str, cointegrated: Callable[[DataFrame], DataFrame]) -> DataFrame:
     rows = fx.daily_scored(s, d)
-    stats = correlation.correlation_statistics(correlation.rolling_correlation(rows, (100,)), (100,)).select("pair_id", F.col("mean").alias("mean_corr"), "pct_over_05")
-    best = leadlag.best_lag(leadlag.lead_lag(rows)).groupBy("pair_id").agg(F.max(F.when(F.col("direction") == "a_leads_b", F.col("correlation"))).alias("corr_ab"), F.max(F.when(F.col("direction") == "b_leads_a", F.col("correlation"))).alias("corr_ba"))
+    stats = correlation.correlation_statistics(correlation.rolling_correlation(rows, (100,), pos="pos"), (100,)).select("pair_id", F.col("mean").alias("mean_corr"), "pct_over_05")
+    best = leadlag.best_lag(leadlag.lead_lag(rows, pos="pos")).groupBy("pair_id").agg(F.max(F.when(F.col("direction") == "a_leads_b", F.col("correlation"))).alias("corr_ab"), F.max(F.when(F.col("direction") == "b_leads_a", F.col("correlation"))).alias("corr_ba"))
     z = ratio.residual_zscore_summary(rows).select("pair_id", F.col("std").alias("z_std"))
-    n = events.divergence_by_threshold(rows).filter("instrument = 'a'").groupBy("pair_id").agg(F.sum("count").alias("n_events"))
+    n = events.divergence_by_threshold(rows, pos="pos").filter("instrument = 'a'").groupBy("pair_id").agg(F.sum("count").alias("n_events"))
     half = stattests.half_life(rows, "ratio").select("pair_id", "half_life")
     facts = stats
     for x in (best, z, n, cointegrated(rows), half):

@@ -8,7 +8,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairbars.functions.quantiles import with_quantiles
 from pairbars.functions.rolling import by, safe_div
+from pairbars.functions.work import written
+from pairbars.operators.chunks import in_chunks
 from pairbars.operators.select import greedy_select
 from pairbars.operators.spread import transaction_cost
 
@@ -16,17 +19,21 @@ PAIR = ("pair_id",)
 YEAR = math.sqrt(252 * 24 * 6)
 
 
-def lead_lag_trades(df: DataFrame, leader: str = "a", follower: str = "b", lag: int | str = 1, threshold: float | Column = 0.0005, hold: int = 6, commission: float = 0.0, slippage: float = 0.0, use_spread: bool = True, max_lag: int = 12, keys: Sequence[str] = PAIR) -> DataFrame:
+def lead_lag_trades(df: DataFrame, leader: str = "a", follower: str = "b", lag: int | str = 1, threshold: float | Column = 0.0005, hold: int = 6, commission: float = 0.0, slippage: float = 0.0, use_spread: bool = True, max_lag: int = 12, keys: Sequence[str] = PAIR, pos: str | None = None) -> DataFrame:
     """Follows large moves of the leader after ``lag`` bars (a number, or a column of at most ``max_lag``); trades may overlap."""
-    w = by(keys)
     ret = F.col(f"{leader}_log_return")
-    if isinstance(lag, str):
-        move = F.coalesce(*[F.when(F.col(lag) == k, F.lag(ret, k).over(w)) for k in range(max_lag + 1)])
-    else:
-        move = F.lag(ret, lag).over(w)
     close, spread = f"{follower}_close", f"{follower}_spread"
-    level = F.lit(threshold)
-    rows = df.select(*keys, "pos", level.alias("_level"), F.col("bar_ts").alias("entry_ts"), F.lead("bar_ts", hold).over(w).alias("exit_ts"), move.alias("_move"), F.col(close).alias("entry_price"), F.lead(close, hold).over(w).alias("exit_price"), F.col(spread).alias("_s"), F.lead(spread, hold).over(w).alias("_t"))
+
+    def moves(d: DataFrame, own: list[str]) -> DataFrame:
+        w = by(own)
+        if isinstance(lag, str):
+            move = F.coalesce(*[F.when(F.col(lag) == k, F.lag(ret, k).over(w)) for k in range(max_lag + 1)])
+        else:
+            move = F.lag(ret, lag).over(w)
+        return d.select("*", F.lit(threshold).alias("_level"), F.lead("bar_ts", hold).over(w).alias("exit_ts"), move.alias("_move"), F.lead(close, hold).over(w).alias("exit_price"), F.lead(spread, hold).over(w).alias("_t"))
+
+    rows = in_chunks(df, keys, moves, max_lag if isinstance(lag, str) else lag, hold, pos=pos)
+    rows = rows.select(*keys, "pos", "_level", F.col("bar_ts").alias("entry_ts"), "exit_ts", "_move", F.col(close).alias("entry_price"), "exit_price", F.col(spread).alias("_s"), "_t")
     rows = rows.filter((F.abs("_move") > F.col("_level")) & F.col("exit_ts").isNotNull())
     return _priced(rows.withColumn("side", F.when(F.col("_move") > 0, "LONG").otherwise("SHORT")).withColumn("holding_bars", F.lit(hold)), keys, commission, slippage, use_spread)
 
@@ -38,22 +45,24 @@ def _priced(rows: DataFrame, keys: Sequence[str], commission: float, slippage: f
     return rows.select(*keys, "pos", "side", "entry_ts", "exit_ts", "entry_price", "exit_price", gross.alias("gross_pnl"), (gross - cost).alias("net_pnl"), F.col("holding_bars").cast("long").alias("holding_bars"))
 
 
-def mean_reversion_trades(df: DataFrame, entry: float | Column = 2.0, exit: float | Column = 0.5, max_hold: int = 24, z: str = "residual_zscore", commission: float = 0.0, slippage: float = 0.0, use_spread: bool = True, keys: Sequence[str] = PAIR) -> DataFrame:
+def mean_reversion_trades(df: DataFrame, entry: float | Column = 2.0, exit: float | Column = 0.5, max_hold: int = 24, z: str = "residual_zscore", commission: float = 0.0, slippage: float = 0.0, use_spread: bool = True, keys: Sequence[str] = PAIR, pos: str | None = None) -> DataFrame:
     """Trades side b against a large score, one position at a time; one still open at the end is dropped.
 
-    Each candidate entry finds its exit in a bounded window; then the candidates
-    that don't overlap are chosen in order.
+    The first bar within ``max_hold`` that passes the level, by side, is a running minimum over bars that
+    begin with their position; a bar without one leaves at its limit. Then the candidates that don't overlap
+    are chosen in order.
     """
-    w, ahead = by(keys), by(keys).rowsBetween(1, max_hold)
-    score = F.col(z)
-    limit = F.lead("pos", max_hold).over(w)
-    leave = lambda done: F.least(F.min(F.when(done, F.col("pos"))).over(ahead), limit)
-    cells = F.struct("pos", "bar_ts", "b_close", "b_spread")
-    rows = df.withColumn("_short", leave(score <= exit)).withColumn("_long", leave(score >= -exit)).withColumn("_next", F.collect_list(cells).over(ahead))
-    rows = rows.filter(F.abs(z) >= entry).withColumn("side", F.when(score > 0, "SHORT").otherwise("LONG")).withColumn("_exit", F.when(score > 0, F.col("_short")).otherwise(F.col("_long")))
-    rows = rows.withColumn("_at", F.get("_next", F.col("_exit") - F.col("pos") - 1))
-    rows = rows.select(*keys, "pos", "side", F.col("bar_ts").alias("entry_ts"), F.col("_at.bar_ts").alias("exit_ts"), F.col("b_close").alias("entry_price"), F.col("_at.b_close").alias("exit_price"), F.col("b_spread").alias("_s"), F.col("_at.b_spread").alias("_t"), "_exit")
-    chosen = greedy_select(rows, keys, ["pos"], "pos", "_exit").filter("_exit is not null")
+    score, bar = F.col(z), F.struct("pos", "bar_ts", "b_close", "b_spread")
+
+    def exits(d: DataFrame, own: list[str]) -> DataFrame:
+        ahead = by(own).rowsBetween(1, max_hold)
+        leave = lambda done: F.coalesce(F.min(F.when(done, bar)).over(ahead), F.lead(bar, max_hold).over(by(own)))
+        return d.withColumn("_short", leave(score <= exit)).withColumn("_long", leave(score >= -exit))
+
+    rows = in_chunks(df, keys, exits, ahead=max_hold, pos=pos).filter(F.abs(z) >= entry)
+    rows = rows.withColumn("side", F.when(score > 0, "SHORT").otherwise("LONG")).withColumn("_at", F.when(score > 0, F.col("_short")).otherwise(F.col("_long")))
+    rows = rows.select(*keys, "pos", "side", F.col("bar_ts").alias("entry_ts"), F.col("_at.bar_ts").alias("exit_ts"), F.col("b_close").alias("entry_price"), F.col("_at.b_close").alias("exit_price"), F.col("b_spread").alias("_s"), F.col("_at.b_spread").alias("_t"), F.col("_at.pos").alias("_exit"))
+    chosen = greedy_select(rows, keys, max_hold, "pos", "_exit").filter("_exit is not null")
     return _priced(chosen.withColumn("holding_bars", F.col("_exit") - F.col("pos")), keys, commission, slippage, use_spread)
 
 
@@ -92,16 +101,16 @@ def risk_ratios(trades: DataFrame, keys: Sequence[str] = PAIR) -> DataFrame:
 
 def backtest_metrics(trades: DataFrame, bars: DataFrame, keys: Sequence[str] = PAIR) -> DataFrame:
     """One row of metrics for each key of ``bars``; zeros where it has no trades."""
-    keys = list(keys)
+    keys, trades = list(keys), written(trades)  # trades, few beside the bars, are summed in several ways
     span = bars.groupBy(*keys).agg(((F.unix_timestamp(F.max("bar_ts").cast("timestamp")) - F.unix_timestamp(F.min("bar_ts").cast("timestamp"))) / 86400).alias("_days"))
     x, cost = F.col("net_pnl"), F.col("gross_pnl") - F.col("net_pnl")
     win, lose = F.when(x > 0, x), F.when(x <= 0, x)
     aggs = {
-        "total_trades": F.count("*"), "win_rate": F.avg((x > 0).cast("double")) * 100, "avg_return": F.avg(x), "median_return": F.percentile(x, F.lit(0.5)), "avg_winner": F.avg(win), "avg_loser": F.avg(lose),
+        "total_trades": F.count("*"), "win_rate": F.avg((x > 0).cast("double")) * 100, "avg_return": F.avg(x), "avg_winner": F.avg(win), "avg_loser": F.avg(lose),
         "_won": F.coalesce(F.sum(win), F.lit(0.0)), "_lost": F.coalesce(F.sum(lose), F.lit(0.0)), "expectancy": F.avg(x), "avg_holding_bars": F.avg("holding_bars"), "best_trade": F.max(x), "worst_trade": F.min(x),
         "gross_return": F.sum("gross_pnl"), "total_costs": F.sum(cost), "net_return": F.sum(x),
     }
-    out = trades.groupBy(*keys).agg(*[f.alias(n) for n, f in aggs.items()])
+    out = with_quantiles(trades.groupBy(*keys).agg(*[f.alias(n) for n, f in aggs.items()]), trades, keys, "net_pnl", {"median_return": 0.5})
     out = out.withColumn("profit_factor", F.when(F.col("_lost") == 0, float("inf")).otherwise(F.abs(safe_div(F.col("_won"), F.col("_lost"))))).drop("_won", "_lost")
     for part in (max_drawdown(trades, keys), max_losing_run(trades, keys), risk_ratios(trades, keys)):
         out = out.join(part, keys)

@@ -1,8 +1,10 @@
-"""Chunks of long series with a halo, and rolling functions that need a window's values."""
+"""Chunks of long series with a halo, so that no window needs a whole series in one task."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import functools
+import inspect
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -10,23 +12,62 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from pairbars.functions.rolling import by
+from pairbars.functions.rolling import with_pos
 
 CHUNK = 10_000
+#: The key that a chunk's rows have besides those of their series.
+PART = "_chunk"
 
 
-def chunk_with_halo(df: DataFrame, keys: Sequence[str], halo: int, rows: int = CHUNK, ahead: int = 0, order: str = "bar_ts") -> DataFrame:
+def chunk_with_halo(df: DataFrame, keys: Sequence[str], halo: int, rows: int = CHUNK, ahead: int = 0, pos: str | None = None) -> DataFrame:
     """Copies rows into chunks of each key: ``_chunk``, ``_pos``, and ``_own``, false for rows of the halo.
 
     A chunk holds its own rows, the ``halo`` rows before and the ``ahead`` rows
     after, so windows that reach no further can run by (keys, _chunk), and one
-    long series is spread over many tasks.
+    long series is spread over many tasks. ``pos`` names a column with the rows' numbers
+    in their key, from 0 without a gap; without it they are counted.
     """
-    placed = df.withColumn("_pos", F.row_number().over(by(keys, order)) - 1)
+    placed = df.withColumn("_pos", F.col(pos)) if pos else with_pos(df, keys, out="_pos")
     first = F.floor(F.greatest(F.col("_pos") - ahead, F.lit(0)) / rows)
     last = F.floor((F.col("_pos") + halo) / rows)
-    spread = placed.withColumn("_chunk", F.explode(F.sequence(first, last)))
-    return spread.withColumn("_own", F.floor(F.col("_pos") / rows) == F.col("_chunk"))
+    spread = placed.withColumn(PART, F.explode(F.sequence(first, last)))
+    return spread.withColumn("_own", F.floor(F.col("_pos") / rows) == F.col(PART))
+
+
+def in_chunks(df: DataFrame, keys: Sequence[str], run: Callable[[DataFrame, list[str]], DataFrame], halo: int = 0, ahead: int = 0, rows: int = CHUNK, pos: str | None = None) -> DataFrame:
+    """``run(df, keys)`` on chunks in place of whole series, without the rows of the halo.
+
+    ``run`` adds columns by windows of the keys it is given, which reach at most ``halo``
+    rows back and ``ahead`` rows on, and keeps all rows. Several operators in one ``run`` share one
+    shuffle; their reaches add up.
+    """
+    spread = chunk_with_halo(df, keys, halo, rows, ahead, pos)
+    return run(spread, [*keys, PART]).filter("_own").drop(PART, "_own", "_pos")
+
+
+def chunked(halo: Callable[[dict], int] = lambda a: 0, ahead: Callable[[dict], int] = lambda a: 0) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
+    """Makes an operator (df, ..., keys) run in chunks; the reach follows from its arguments.
+
+    The operator then also takes ``pos`` and ``rows``, see ``chunk_with_halo``. Called on rows that are in chunks
+    already, it runs as it is.
+    """
+
+    def wrap(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        signature = inspect.signature(f)
+
+        @functools.wraps(f)
+        def run(df: DataFrame, *args: object, pos: str | None = None, rows: int = CHUNK, **named: object) -> DataFrame:
+            bound = signature.bind(df, *args, **named)
+            bound.apply_defaults()
+            given = dict(bound.arguments)
+            keys = list(given["keys"])
+            if PART in keys:
+                return f(**given)
+            return in_chunks(df, keys, lambda d, k: f(**{**given, "df": d, "keys": k}), halo(given), ahead(given), rows, pos)
+
+        return run
+
+    return wrap
 
 
 def _windows(values: np.ndarray, n: int) -> np.ndarray:
@@ -68,31 +109,32 @@ def _spearman(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
     return np.where(bad | (spread == 0), np.nan, (ra * rb).sum(1) / np.where(spread == 0, 1, spread))
 
 
-def rolling_apply(df: DataFrame, keys: Sequence[str], n: int, wanted: Mapping[str, tuple[str, ...]], rows: int = CHUNK, block: int = 2000) -> DataFrame:
+@chunked(lambda a: a["n"] - 1)
+def rolling_apply(df: DataFrame, keys: Sequence[str], n: int, wanted: Mapping[str, tuple[str, ...]], block: int = 2000) -> DataFrame:
     """Adds rolling values that need all values of a window.
 
     ``wanted``: new column to (function, columns...); functions are
     ``percent_rank``, ``share_at_most`` and ``spearman``. A window with a null
-    gives null. Series run in chunks with a halo of n - 1 rows, each in blocks; the
-    other columns go along, so nothing is joined back.
+    gives null. Chunks run in blocks; the other columns go along, so nothing is joined back.
     """
-    keys = list(keys)
     functions = {"percent_rank": _percent_rank, "share_at_most": _share_at_most, "spearman": _spearman}
     kept = [c for c in df.columns if c not in wanted]
-    spread = chunk_with_halo(df.select(kept), keys, n - 1, rows)
-    schema = StructType([*spread.select(kept).schema.fields, *[StructField(c, DoubleType()) for c in wanted]])
+    df = df.select(kept)
+    schema = StructType([*df.schema.fields, *[StructField(c, DoubleType()) for c in wanted]])
 
     def run(part: pa.Table) -> pa.Table:
-        part = part.sort_by("_pos")
-        own, size = part["_own"], part.num_rows
-        out = part.select(kept)
+        out = part.sort_by("_pos")
+        size = out.num_rows
+        found = {}
         for name, (function, *columns) in wanted.items():
             value = np.full(size, np.nan)
-            series = [part[c].cast(pa.float64()).to_numpy(zero_copy_only=False) for c in columns]
+            series = [out[c].cast(pa.float64()).to_numpy(zero_copy_only=False) for c in columns]
             for s in range(n - 1, size, block):
                 e = min(s + block, size)
                 value[s:e] = functions[function](*[x[s - n + 1 : e] for x in series], n)
-            out = out.append_column(name, pa.array(value, from_pandas=True))
-        return out.filter(own)
+            found[name] = pa.array(value, from_pandas=True)
+        for name, value in found.items():
+            out = out.append_column(name, value)
+        return out
 
-    return spread.groupBy(*keys, "_chunk").applyInArrow(run, schema)
+    return df.groupBy(*keys).applyInArrow(run, schema)

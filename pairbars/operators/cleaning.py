@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairbars.functions.rolling import by
+from pairbars.operators.chunks import in_chunks
 from pairbars.sources.bars import PRICES, first_per
 
 SYMBOL = ("symbol",)
@@ -54,38 +55,76 @@ def clean_bars(bars: DataFrame, keys: Sequence[str] = SYMBOL, arrival: str = "se
     return drop_duplicate_bars(drop_invalid_ohlc(drop_zero_price(drop_null_bars(bars), keys, strict)), keys, arrival).drop(arrival)
 
 
+def _seconds(ts: Column) -> Column:
+    return F.unix_timestamp(ts.cast("timestamp"))
+
+
+def _month_day(month: Column, anchor: str) -> Column:
+    """The day of a month, numbered from year 0, on which a bar of the calendar lies: first, last, or the first or last business day."""
+    first = F.make_date(F.call_function("div", month, F.lit(12)).cast("int"), (month % 12 + 1).cast("int"), F.lit(1))
+    last = F.last_day(first)
+    ahead, back = F.greatest(7 - F.weekday(first), F.lit(0)), F.greatest(F.weekday(last) - 4, F.lit(0))
+    return {"end": last, "business_end": F.date_sub(last, back), "start": first, "business_start": F.date_add(first, F.when(ahead < 3, ahead).otherwise(F.lit(0)))}[anchor]
+
+
+#: Where in a month a bar may lie, in the order in which it is asked.
+ANCHORS = ("end", "business_end", "start", "business_start")
+
+
+def _month(ts: Column) -> Column:
+    return F.year(ts) * 12 + F.month(ts) - 1
+
+
 def infer_frequency(bars: DataFrame, keys: Sequence[str] = SYMBOL, first: int = 100) -> DataFrame:
-    """``step_seconds`` of each key, if its first bars are regular, else null; ``weekdays_only`` for a bar on each business day.
+    """How the first bars of each key follow each other.
 
-    Business days are a step of one day that leaves out Saturdays and Sundays, with one weekend at least among the first bars.
+    ``step_seconds``, if they are equally far apart, else null; ``weekdays_only`` for a bar on each
+    business day, a step of one day that leaves out Saturdays and Sundays, with one weekend at least among the first bars;
+    ``months`` and ``anchor`` for bars that many months apart (12 for years, 3 for quarters), at one time of day on the first,
+    last, or first or last business day of the month. Fewer than three bars: none. Only the first bars of a key are sorted.
     """
-    w = by(keys)
-    rows = bars.withColumn("_n", F.row_number().over(w)).withColumn("_dt", _seconds(F.col("bar_ts")) - _seconds(F.lag("bar_ts").over(w)))
+    w, ts = by(keys), F.col("bar_ts")
+    head = bars.select(*keys, "bar_ts").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= first)
+    day = _seconds(F.date_trunc("day", ts))
+    rows = head.withColumn("_dt", _seconds(ts) - _seconds(F.lag("bar_ts").over(w))).withColumn("_dm", _month(ts) - _month(F.lag("bar_ts").over(w))).withColumn("_at", _seconds(ts) - day)
     weekday = F.weekday("bar_ts")
     weekly = (weekday < 5) & F.coalesce(F.col("_dt") == F.when(weekday == 0, 3 * DAY).otherwise(DAY), F.lit(True))
-    head = rows.filter(F.col("_n") <= first).groupBy(*keys).agg(F.count("*").alias("n"), F.min("_dt").alias("a"), F.max("_dt").alias("b"), F.bool_and(weekly).alias("weekly"))
+    on = {a: F.bool_and(F.to_date(ts) == _month_day(_month(ts), a)).alias(a) for a in ANCHORS}
+    head = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("_dt").alias("a"), F.max("_dt").alias("b"), F.bool_and(weekly).alias("weekly"), F.min("_dm").alias("least"), F.max("_dm").alias("most"), (F.min("_at") == F.max("_at")).alias("one_time"), *on.values())
     enough, same = F.col("n") >= 3, F.col("a") == F.col("b")
-    return head.select(*keys, F.when(enough & same, F.col("a")).when(enough & F.col("weekly"), F.lit(DAY).cast("long")).alias("step_seconds"), (enough & ~same & F.col("weekly")).alias("weekdays_only"))
-
-
-def _seconds(ts: Column) -> Column:
-    return F.unix_timestamp(ts.cast("timestamp"))
+    anchor = F.coalesce(*[F.when(F.col(a), a) for a in ANCHORS])
+    monthly = enough & F.col("one_time") & (F.col("least") == F.col("most")) & (F.col("least") > 0) & anchor.isNotNull()
+    step = F.when(enough & same, F.col("a")).when(enough & F.col("weekly"), F.lit(DAY).cast("long"))
+    return head.select(
+        *keys, F.when(~monthly, step).alias("step_seconds"), (enough & ~same & F.col("weekly") & ~monthly).alias("weekdays_only"),
+        F.when(monthly, F.col("least")).cast("int").alias("months"), F.when(monthly, anchor).alias("anchor"),
+    )
 
 
-def missing_bars(bars: DataFrame, step_seconds: int | None = None, keys: Sequence[str] = SYMBOL) -> DataFrame:
-    """Times between first and last bar, a step apart, that have no bar, without weekends for bars on business days. Only gaps are spread out."""
-    steps = bars.select(*keys).distinct().select(*keys, F.lit(step_seconds).cast("long").alias("step_seconds"), F.lit(False).alias("weekdays_only")) if step_seconds else infer_frequency(bars, keys)
-    rows = bars.withColumn("_next", F.lead("bar_ts").over(by(keys))).filter(F.col("_next").isNotNull()).join(steps.filter("step_seconds is not null"), list(keys))
-    a, b, step = _seconds(F.col("bar_ts")), _seconds(F.col("_next")), F.col("step_seconds")
+def missing_bars(bars: DataFrame, step_seconds: int | None = None, keys: Sequence[str] = SYMBOL, first: int = 100) -> DataFrame:
+    """Times between first and last bar that have no bar, by the given step or by what ``infer_frequency`` finds. Only gaps are spread out."""
+    keys, ts = list(keys), F.col("bar_ts")
+    found = bars.select(*keys).distinct().select(*keys, F.lit(step_seconds).cast("long").alias("step_seconds"), F.lit(False).alias("weekdays_only"), F.lit(None).cast("int").alias("months"), F.lit(None).cast("string").alias("anchor")) if step_seconds else infer_frequency(bars, keys, first)
+    rows = in_chunks(bars.select(*keys, "bar_ts"), keys, lambda d, own: d.withColumn("_next", F.lead("bar_ts").over(by(own))), ahead=1)
+    rows = rows.filter(F.col("_next").isNotNull()).join(found.filter("step_seconds is not null or months is not null"), keys)
+    a, b, step = _seconds(ts), _seconds(F.col("_next")), F.col("step_seconds")
     gaps = rows.filter(b - a > step).select(*keys, "weekdays_only", F.explode(F.sequence(a + step, b - 1, step)).alias("_t"))
     gaps = gaps.select(*keys, "weekdays_only", F.timestamp_seconds("_t").cast("timestamp_ntz").alias("bar_ts"))
-    return gaps.filter(~F.col("weekdays_only") | (F.weekday("bar_ts") < 5)).drop("weekdays_only")
+    gaps = gaps.filter(~F.col("weekdays_only") | (F.weekday("bar_ts") < 5)).drop("weekdays_only")
+    if step_seconds:
+        return gaps
+    here, later = _month(ts), _month(F.col("_next"))
+    wide = rows.filter(later - here > F.col("months")).select(*keys, "anchor", (a - _seconds(F.date_trunc("day", ts))).alias("_at"), F.explode(F.sequence(here + F.col("months"), later - 1, F.col("months"))).alias("_m"))
+    day = F.coalesce(*[F.when(F.col("anchor") == x, _month_day(F.col("_m"), x)) for x in ANCHORS])
+    return gaps.unionByName(wide.select(*keys, F.timestamp_seconds(_seconds(day) + F.col("_at")).cast("timestamp_ntz").alias("bar_ts")))
 
 
 def gap_list(gaps: DataFrame, keys: Sequence[str], listed: int, total: str, times: str) -> DataFrame:
-    """How many times are missing for each key, the first, and the first few as a list, without gathering the rest."""
-    few = F.when(F.col("_n") <= listed, F.col("bar_ts"))
-    return gaps.withColumn("_n", F.row_number().over(by(keys))).groupBy(*keys).agg(F.count("*").alias(total), F.min("bar_ts").alias("first_missing"), F.sort_array(F.collect_list(few)).alias(times))
+    """How many times are missing for each key, the first, and the first few as a list; each task keeps only its first few."""
+    keys = list(keys)
+    counts = gaps.groupBy(*keys).agg(F.count("*").alias(total), F.min("bar_ts").alias("first_missing"))
+    few = gaps.withColumn("_n", F.row_number().over(by(keys))).filter(F.col("_n") <= listed).groupBy(*keys).agg(F.sort_array(F.collect_list("bar_ts")).alias(times))
+    return counts.join(few, keys)
 
 
 def quality_report(bars: DataFrame, keys: Sequence[str] = SYMBOL, arrival: str = "seq", step_seconds: int | None = None, listed: int = 10) -> DataFrame:

@@ -7,22 +7,24 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairbars.functions.rolling import by, last_n, paired, safe_corr
-from pairbars.operators.chunks import rolling_apply
+from pairbars.functions.quantiles import with_quantiles
+from pairbars.functions.rolling import by, last_n, paired, safe_corr, with_pos
+from pairbars.operators.chunks import chunked, in_chunks, rolling_apply
 
 PAIR = ("pair_id",)
 WINDOWS = (20, 50, 100, 200)
 A, B = "a_log_return", "b_log_return"
 
 
+@chunked(lambda a: max(a["windows"]) - 1)
 def rolling_correlation(df: DataFrame, windows: Sequence[int] = WINDOWS, keys: Sequence[str] = PAIR, x: str = A, y: str = B) -> DataFrame:
     """``corr_w`` once a window holds w pairs."""
     px, _ = paired(F.col(x), F.col(y))
     return df.select("*", *[F.when(F.count(px).over(last_n(keys, w)) == w, safe_corr(F.col(x), F.col(y), last_n(keys, w))).alias(f"corr_{w}") for w in windows])
 
 
-def rolling_spearman(df: DataFrame, w: int = 50, keys: Sequence[str] = PAIR, x: str = A, y: str = B) -> DataFrame:
-    return rolling_apply(df, keys, w, {f"spearman_{w}": ("spearman", x, y)})
+def rolling_spearman(df: DataFrame, w: int = 50, keys: Sequence[str] = PAIR, x: str = A, y: str = B, pos: str | None = None) -> DataFrame:
+    return rolling_apply(df, keys, w, {f"spearman_{w}": ("spearman", x, y)}, pos=pos)
 
 
 def _long(df: DataFrame, keys: Sequence[str], windows: Sequence[int]) -> DataFrame:
@@ -33,9 +35,11 @@ def correlation_statistics(df: DataFrame, windows: Sequence[int] = WINDOWS, keys
     """Of the non-null values of each window: mean, median, deviation, range, shares over levels; zeros when there are none."""
     c = F.col("corr")
     share = lambda t: F.avg(F.when(c.isNotNull(), (c > t).cast("double"))) * 100
-    aggs = {"mean": F.avg(c), "median": F.percentile(c, F.lit(0.5)), "std": F.stddev_samp(c), "min": F.min(c), "max": F.max(c), "pct_positive": share(0), "pct_over_05": share(0.5), "pct_over_07": share(0.7)}
-    out = _long(df, keys, windows).groupBy(*keys, "window").agg(F.count(c).alias("n"), *[f.alias(n) for n, f in aggs.items()])
-    return out.select(*keys, "window", "n", *[F.when(F.col("n") == 0, 0.0).otherwise(F.col(n)).alias(n) for n in aggs])
+    aggs = {"mean": F.avg(c), "std": F.stddev_samp(c), "min": F.min(c), "max": F.max(c), "pct_positive": share(0), "pct_over_05": share(0.5), "pct_over_07": share(0.7)}
+    rows = _long(df, keys, windows)
+    out = rows.groupBy(*keys, "window").agg(F.count(c).alias("n"), *[f.alias(n) for n, f in aggs.items()])
+    out = with_quantiles(out, rows, [*keys, "window"], "corr", {"median": 0.5})
+    return out.select(*keys, "window", "n", *[F.when(F.col("n") == 0, 0.0).otherwise(F.col(n)).alias(n) for n in ("mean", "median", *list(aggs)[1:])])
 
 
 def correlation_by(df: DataFrame, group: str, windows: Sequence[int] = WINDOWS, keys: Sequence[str] = PAIR) -> DataFrame:
@@ -47,7 +51,7 @@ def correlation_by(df: DataFrame, group: str, windows: Sequence[int] = WINDOWS,
 def correlation_stability(df: DataFrame, w: int = 100, step: int | None = None, keys: Sequence[str] = PAIR, x: str = A, y: str = B) -> DataFrame:
     """Correlation in hopping windows that end before the last row; a null one makes the summary null."""
     keys, step = list(keys), step or w // 2
-    rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_p", F.row_number().over(by(keys)) - 1)
+    rows = with_pos(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()), keys, out="_p")
     size = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
     last = F.least(F.floor(F.col("_p") / step), F.floor((F.col("_n") - w - 1) / step))
     first = F.greatest(F.lit(0).cast("long"), F.ceil((F.col("_p") - w + 1) / step))
@@ -57,8 +61,9 @@ def correlation_stability(df: DataFrame, w: int = 100, step: int | None = None,
     return each.groupBy(*keys).agg(whole(F.avg("c")).alias("mean"), whole(F.stddev_pop("c")).alias("std"), whole(F.min("c")).alias("min"), whole(F.max("c")).alias("max"), F.count("*").alias("n_windows"))
 
 
-def autocorrelation(df: DataFrame, x: str = A, max_lag: int = 20, keys: Sequence[str] = PAIR) -> DataFrame:
+def autocorrelation(df: DataFrame, x: str = A, max_lag: int = 20, keys: Sequence[str] = PAIR, pos: str | None = None) -> DataFrame:
     """Correlation of a series with itself k rows earlier, one pass for all k."""
-    rows = df.select(*keys, F.col(x).alias("x"), *[F.lag(x, k).over(by(keys)).alias(f"l{k}") for k in range(max_lag + 1)])
+    narrow = df.select(*keys, "bar_ts", F.col(x).alias("x"), *([pos] if pos else []))
+    rows = in_chunks(narrow, keys, lambda d, own: d.select("*", *[F.lag("x", k).over(by(own)).alias(f"l{k}") for k in range(max_lag + 1)]), max_lag, pos=pos)
     wide = rows.groupBy(*keys).agg(*[safe_corr(F.col("x"), F.col(f"l{k}")).alias(f"l{k}") for k in range(max_lag + 1)])
     return wide.select(*keys, F.inline(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"l{k}").alias("autocorrelation")) for k in range(max_lag + 1)])))

@@ -8,17 +8,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairbars.functions.rolling import by, safe_corr
+from pairbars.operators.chunks import in_chunks
 
 PAIR = ("pair_id",)
 DIRECTIONS = {"a_leads_b": ("a_log_return", "b_log_return"), "b_leads_a": ("b_log_return", "a_log_return")}
 
 
-def lead_lag(df: DataFrame, max_lag: int = 12, keys: Sequence[str] = PAIR, directions: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+def lead_lag(df: DataFrame, max_lag: int = 12, keys: Sequence[str] = PAIR, directions: dict[str, tuple[str, str]] | None = None, pos: str | None = None) -> DataFrame:
     """``direction``, ``lag``, ``correlation`` and ``n_rows``; all lags in one aggregate per key."""
     directions = directions or DIRECTIONS
-    lags, w = range(max_lag + 1), by(keys)
+    lags = range(max_lag + 1)
     sides = sorted({c for d in directions.values() for c in d})
-    rows = df.select(*keys, *sides, *[F.lead(c, k).over(w).alias(f"{c}_{k}") for c in sides for k in lags])
+    narrow = df.select(*keys, "bar_ts", *sides, *([pos] if pos else []))
+    rows = in_chunks(narrow, keys, lambda d, own: d.select("*", *[F.lead(c, k).over(by(own)).alias(f"{c}_{k}") for c in sides for k in lags]), ahead=max_lag, pos=pos)
     wide = rows.groupBy(*keys).agg(F.count("*").alias("n_rows"), *[safe_corr(F.col(x), F.col(f"{y}_{k}")).alias(f"{d}_{k}") for d, (x, y) in directions.items() for k in lags])
     cells = [F.struct(F.lit(d).alias("direction"), F.lit(k).alias("lag"), F.col(f"{d}_{k}").alias("correlation")) for d in directions for k in lags]
     return wide.select(*keys, "n_rows", F.inline(F.array(*cells)))

@@ -1,4 +1,11 @@
-"""Greedy choice of rows that must not overlap."""
+"""Greedy choice of rows that must not overlap, in chunks of positions.
+
+The choice is sequential: a row is kept when it starts after the end of the last
+kept one. What a chunk needs to know of all rows before it is that one end, which reaches
+at most ``reach`` positions into it. So each chunk first says, for every such end, which end it
+leaves behind; the ends are carried from chunk to chunk, a row for each; then every chunk
+chooses by itself. No group holds more than the candidates of ``rows`` positions, however dense.
+"""
 
 from __future__ import annotations
 
@@ -9,32 +16,75 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Islands of candidates that one group holds.
-ISLANDS = 64
+from pairbars.functions.work import written
+
+ROWS = 10_000
+
+
+def after_earlier_phases(df: DataFrame, keys: Sequence[str], phases: Sequence[str], start: str) -> DataFrame:
+    """Of rows that are gone through phase by phase, those that can be kept at all.
+
+    When a phase is over, the running end is at or after its last candidate: either that was kept, or it was within the
+    end. So in later phases only rows that start after all candidates of the phases before can be kept.
+    """
+    keys = list(keys)
+    last = df.groupBy(*keys, *phases).agg(F.max(start).alias("_last"))
+    before = Window.partitionBy(*keys).orderBy(*phases).rowsBetween(Window.unboundedPreceding, -1)
+    last = last.withColumn("_before", F.max("_last").over(before)).drop("_last")
+    return df.join(last, [*keys, *phases]).filter(F.col("_before").isNull() | (F.col(start) > F.col("_before"))).drop("_before")
 
 
-def greedy_select(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:
-    """Takes rows in order and keeps one when its start is after the end of the last kept; a null end has none.
+def greedy_select(df: DataFrame, keys: Sequence[str], reach: int, start: str = "start", end: str = "end", phases: Sequence[str] = (), rows: int = ROWS) -> DataFrame:
+    """Takes rows in order of ``start`` and keeps one when it starts after the end of the last kept.
 
-    Sequential by nature, but a row that starts after all ends before it is kept
-    whatever came before: there a new island begins. Islands are found with a running
-    maximum, and groups of them are walked through independently, so a long series of
-    candidates is never one group.
+    An end is at its start or up to ``reach`` positions later; a null end is never reached. With
+    ``phases`` rows are taken phase by phase, and the running end goes on.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    ends = F.coalesce(F.col(end).cast("double"), F.lit(float("inf")))
-    latest = F.max(ends).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = df.withColumn("_new", (F.col(start) > F.coalesce(latest, F.lit(float("-inf")))).cast("long"))
-    rows = rows.withColumn("_group", F.floor(F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)) / ISLANDS)).drop("_new")
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(list(order), kind="stable")
-        starts, ends = rows[start].to_numpy(float), rows[end].to_numpy(float)
-        keep, last = np.zeros(len(rows), bool), -np.inf
-        for i in range(len(rows)):
-            if starts[i] > last:
-                keep[i] = True
-                last = np.inf if np.isnan(ends[i]) else ends[i]
-        return rows[keep].drop(columns="_group")
-
-    return rows.groupBy(*keys, "_group").applyInPandas(run, df.schema)
+    keys = list(keys)
+    # the candidates, few beside the rows they come from, are read three times
+    placed = written(df)
+    placed = after_earlier_phases(placed, keys, phases, start) if phases else placed
+    placed = placed.withColumn("_chunk", F.floor(F.col(start) / rows))
+    columns = df.columns
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+
+    def sorted_ends(part: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+        part = part.sort_values(start, kind="stable")
+        starts, ends = part[start].to_numpy(float), part[end].to_numpy(float)
+        ends = np.where(np.isnan(ends), np.inf, ends)
+        return part, starts, ends, np.searchsorted(starts, ends, side="right")
+
+    def leave(part: pd.DataFrame) -> pd.DataFrame:
+        """The end left behind for each end ``_chunk * rows - 1 + i`` of the rows before."""
+        part, starts, ends, follows = sorted_ends(part)
+        n = len(part)
+        left = ends.copy()
+        for i in range(n - 1, -1, -1):
+            if follows[i] < n:
+                left[i] = left[follows[i]]
+        chunk = int(part["_chunk"].iloc[0])
+        entering = chunk * rows - 1 + np.arange(reach + 1, dtype=float)
+        first = np.searchsorted(starts, entering, side="right")
+        out = np.where(first < n, left[np.minimum(first, n - 1)], entering)
+        return part[keys].iloc[:1].assign(_chunk=chunk, _left=[out.tolist()])
+
+    def carry(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_chunk")
+        last, entered = -np.inf, []
+        for chunk, left in zip(part["_chunk"], part["_left"], strict=True):
+            entered.append(last)
+            if last < np.inf:
+                last = left[int(max(last - (chunk * rows - 1), 0))]
+        return part[[*keys, "_chunk"]].assign(_entering=entered)
+
+    def choose(part: pd.DataFrame) -> pd.DataFrame:
+        part, starts, _, follows = sorted_ends(part)
+        kept, i = [], int(np.searchsorted(starts, part["_entering"].iloc[0], side="right"))
+        while i < len(part):
+            kept.append(i)
+            i = int(follows[i])
+        return part.iloc[kept][columns]
+
+    ends = placed.groupBy(*keys, "_chunk").applyInPandas(leave, f"{kinds}, _chunk long, _left array<double>")
+    entering = ends.groupBy(*keys).applyInPandas(carry, f"{kinds}, _chunk long, _entering double")
+    return placed.join(entering, [*keys, "_chunk"]).groupBy(*keys, "_chunk").applyInPandas(choose, df.schema)

@@ -7,26 +7,31 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairbars.functions.quantiles import with_quantiles
 from pairbars.functions.rolling import safe_div
 
 PAIR = ("pair_id",)
 
 
-def _stats(x: Column) -> list[Column]:
-    q = F.percentile(x, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    stats = {"mean": F.avg(x), "median": q[0], "min": F.min(x).cast("double"), "max": F.max(x).cast("double"), "q95": q[1], "q99": q[2]}
-    return [F.coalesce(f, F.lit(0.0)).alias(n) for n, f in stats.items()]
+QUANTILES = {"median": 0.5, "q95": 0.95, "q99": 0.99}
 
 
-def spread_stats(df: DataFrame, by_cols: Sequence[str] = (), sides: str = "ab", keys: Sequence[str] = PAIR) -> DataFrame:
-    """Mean, median, range and high quantiles of each side's spread, by any further columns; zeros when all are null."""
+def spread_stats(df: DataFrame, by_cols: Sequence[str] = (), sides: str = "ab", keys: Sequence[str] = PAIR, accuracy: int | None = None) -> DataFrame:
+    """Mean, median, range and high quantiles of each side's spread, by any further columns; zeros when all are null.
+
+    Quantiles are exact, or with an ``accuracy`` from a sketch with a rank error of at most 1 / accuracy.
+    """
     cells = F.array(*[F.struct(F.lit(s).alias("instrument"), F.col(f"{s}_spread").alias("x")) for s in sides])
-    return df.select(*keys, *by_cols, F.inline(cells)).groupBy(*keys, *by_cols, "instrument").agg(*_stats(F.col("x")))
+    by = [*keys, *by_cols, "instrument"]
+    rows = df.select(*keys, *by_cols, F.inline(cells))
+    x = F.col("x").cast("double")
+    out = with_quantiles(rows.groupBy(*by).agg(F.avg(x).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max")), rows, by, "x", QUANTILES, accuracy)
+    return out.select(*by, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("mean", "median", "min", "max", "q95", "q99")])
 
 
-def spread_by_hour(df: DataFrame, keys: Sequence[str] = PAIR) -> DataFrame:
+def spread_by_hour(df: DataFrame, keys: Sequence[str] = PAIR, accuracy: int | None = None) -> DataFrame:
     """Of side a, for the UTC hours present."""
-    return spread_stats(df.withColumn("hour", F.hour("bar_ts")), ["hour"], "a", keys).drop("instrument")
+    return spread_stats(df.withColumn("hour", F.hour("bar_ts")), ["hour"], "a", keys, accuracy).drop("instrument")
 
 
 def spread_cost(df: DataFrame, keys: Sequence[str] = PAIR) -> DataFrame:
@@ -34,8 +39,11 @@ def spread_cost(df: DataFrame, keys: Sequence[str] = PAIR) -> DataFrame:
     aggs = []
     for s in "ab":
         x = F.col(f"{s}_spread")
-        aggs += [F.avg(x).alias(f"{s}_mean"), F.percentile(x, F.lit(0.5)).alias(f"{s}_median"), F.avg(safe_div(x.cast("double"), F.col(f"{s}_close")) * 100).alias(f"{s}_cost_pct")]
-    return df.groupBy(*keys).agg(*aggs)
+        aggs += [F.avg(x).alias(f"{s}_mean"), F.avg(safe_div(x.cast("double"), F.col(f"{s}_close")) * 100).alias(f"{s}_cost_pct")]
+    out = df.groupBy(*keys).agg(*aggs)
+    for s in "ab":
+        out = with_quantiles(out, df, keys, f"{s}_spread", {f"{s}_median": 0.5})
+    return out.select(*keys, *[f"{s}_{c}" for s in "ab" for c in ("mean", "median", "cost_pct")])
 
 
 def transaction_cost(spread_entry: Column, spread_exit: Column, commission: float = 0.0, slippage: float = 0.0, point_size: float = 1.0) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairbars.functions.rolling import by
+from pairbars.operators.chunks import in_chunks
 
 PAIR = ("pair_id",)
 # Published response surfaces by (variables, with constant in the first stage).
@@ -139,8 +140,8 @@ def engle_granger(df: DataFrame, x: str = "a_close", y: str = "b_close", keys: S
 
 def half_life(df: DataFrame, x: str, keys: Sequence[str] = PAIR, least: int = 20) -> DataFrame:
     """Bars to halve a deviation, from the slope of changes on levels; infinite without reversion, 0 with fewer than ``least`` values."""
-    rows = df.filter(F.col(x).isNotNull())
-    rows = rows.select(*keys, F.lag(x).over(by(keys)).alias("_before"), F.col(x).alias("_x"))
+    rows = df.filter(F.col(x).isNotNull()).select(*keys, "bar_ts", F.col(x).alias("_x"))
+    rows = in_chunks(rows, keys, lambda d, own: d.withColumn("_before", F.lag("_x").over(by(own))), 1)
     fit = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.regr_slope(F.col("_x") - F.col("_before"), F.col("_before")).alias("s"))
     enough, reverts = F.col("n") >= least, F.col("s") < 0
     return fit.select(*keys, F.when(enough & reverts, -math.log(2) / F.col("s")).when(enough, float("inf")).otherwise(0.0).alias("half_life"), F.when(enough & reverts, -F.col("s")).otherwise(0.0).alias("speed"))

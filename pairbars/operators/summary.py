@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairbars.functions.rolling import by, safe_div
+from pairbars.functions.rolling import safe_div
 
 PAIR = ("pair_id",)
 
@@ -48,8 +48,8 @@ def conclusions(facts: DataFrame, strategies: DataFrame, keys: Sequence[str] = P
 
 def normalized_prices(df: DataFrame, keys: Sequence[str] = PAIR) -> DataFrame:
     """Closes of both sides as percent of the first."""
-    w = by(keys).rowsBetween(Window.unboundedPreceding, 0)
-    return df.select(*keys, "bar_ts", *[(safe_div(F.col(f"{s}_close"), F.first_value(f"{s}_close").over(w)) * 100).alias(f"{s}_index") for s in "ab"])
+    first = df.groupBy(*keys).agg(*[F.min_by(f"{s}_close", "bar_ts").alias(f"_{s}") for s in "ab"])
+    return df.join(first, list(keys)).select(*keys, "bar_ts", *[(safe_div(F.col(f"{s}_close"), F.col(f"_{s}")) * 100).alias(f"{s}_index") for s in "ab"])
 
 
 def return_histogram(df: DataFrame, x: str, bins: int = 100, keys: Sequence[str] = PAIR) -> DataFrame:

@@ -8,7 +8,6 @@ from itertools import product
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairbars.functions.rolling import with_pos
 from pairbars.operators.backtest import backtest_metrics
 
 PAIR = ("pair_id",)
@@ -38,16 +37,25 @@ def window_times(df: DataFrame, windows: DataFrame, keys: Sequence[str] = PAIR)
 
 
 def walkforward_slices(df: DataFrame, windows: DataFrame, keys: Sequence[str] = PAIR, least: Mapping[str, int] | None = None) -> DataFrame:
-    """The bars of each (window, split), positions anew; windows with a slice too short are left out."""
+    """The bars of each (window, split), positions anew; windows with a slice too short are left out.
+
+    The windows of a key have equal sizes and steps, so a bar's windows follow from its position by division, and
+    no bar meets a window that doesn't hold it.
+    """
     least = least or {"train": 100, "val": 50, "test": 50}
     ok = windows
     for s, n in least.items():
         ok = ok.filter(F.col(f"{s}_to") - F.col(f"{s}_from") + 1 >= n)
-    cells = F.array(*[F.struct(F.lit(s).alias("split"), F.col(f"{s}_from").alias("_from"), F.col(f"{s}_to").alias("_to")) for s in SPLITS])
-    # a few rows for each key
-    spans = ok.select(*keys, "window", F.inline(cells))
-    rows = df.join(spans, list(keys)).filter(F.col("pos").between(F.col("_from"), F.col("_to"))).drop("_from", "_to", "pos")
-    return with_pos(rows, [*keys, "window", "split"])
+    first, last = F.min("window"), F.max("window")
+    step = F.coalesce(F.try_divide(F.max("train_from") - F.min("train_from"), last - first), F.lit(1)).cast("long")
+    # one row for each key: the first window's slices, and how the others follow
+    plan = ok.groupBy(*keys).agg(first.alias("_first"), last.alias("_last"), step.alias("_step"), *[F.min(f"{s}_{e}").alias(f"_{s}_{e}") for s in SPLITS for e in ("from", "to")])
+    low = lambda s: F.col("_first") + F.greatest(F.ceil((F.col("pos") - F.col(f"_{s}_to")) / F.col("_step")), F.lit(0))
+    high = lambda s: F.least(F.col("_first") + F.floor((F.col("pos") - F.col(f"_{s}_from")) / F.col("_step")), F.col("_last"))
+    start = lambda s, k: F.col(f"_{s}_from") + (k - F.col("_first")) * F.col("_step")
+    hits = lambda s: F.when(high(s) >= low(s), F.transform(F.sequence(low(s), high(s)), lambda k: F.struct(k.alias("window"), F.lit(s).alias("split"), (F.col("pos") - start(s, k)).cast("int").alias("_at")))).otherwise(F.array())
+    rows = df.join(plan, list(keys)).withColumn("_hit", F.explode(F.concat(*[hits(s) for s in SPLITS])))
+    return rows.select(*[c for c in df.columns if c != "pos"], "_hit.window", "_hit.split", F.col("_hit._at").alias("pos"))
 
 
 def _combos(grid: Mapping[str, Sequence[float]]) -> list[dict[str, float]]:

@@ -31,9 +31,20 @@ def read_bars(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame
 
 
 def latest_n_bars(bars: DataFrame, n: int = 50_000, keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    """The newest n bars of each key."""
-    newest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("bar_ts")))
-    return bars.withColumn("_n", newest).filter(F.col("_n") <= n).drop("_n")
+    """The newest n bars of each key.
+
+    Counts by day say on which day the n-th bar lies: later days are kept whole, and only the bars of that day are sorted.
+    """
+    keys = list(keys)
+    rows = bars.withColumn("_day", F.date_trunc("day", "bar_ts"))
+    newer = Window.partitionBy(*keys).orderBy(F.desc("_day")).rowsBetween(Window.unboundedPreceding, -1)
+    days = rows.groupBy(*keys, "_day").agg(F.count("*").alias("_n")).withColumn("_newer", F.coalesce(F.sum("_n").over(newer), F.lit(0)))
+    # the day of the n-th bar, one row for each key
+    edge = days.filter(F.col("_newer") < n).groupBy(*keys).agg(F.min("_day").alias("_edge"), F.max("_newer").alias("_newer"))
+    rows = rows.join(edge, keys)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("bar_ts")))
+    last = rows.filter("_day = _edge").withColumn("_place", place).filter(F.col("_newer") + F.col("_place") <= n)
+    return rows.filter("_day > _edge").select(bars.columns).unionByName(last.select(bars.columns))
 
 
 def dedupe_ticks(ticks: DataFrame, order: Sequence[str], keys: Sequence[str] = ("symbol",)) -> DataFrame:
