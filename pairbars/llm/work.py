@@ -2,38 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_CHARS = 1 << 20
-
-
-def work_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which all executors share.
+from pairbars.functions.work import work_dir, written  # noqa: F401  the text operators take these from here
 
-    Where that setting is absent, a local session, as in tests, gets a folder of
-    this machine; on a cluster that is an error, since each executor would write
-    to its own disk.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="spark-llm-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/work-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, where: str, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the work folder: later jobs start from it."""
-    spark, path = df.sparkSession, f"{where}/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+CHUNK_CHARS = 1 << 20
 
 
 def removed(spark: SparkSession, *paths: str) -> None:
