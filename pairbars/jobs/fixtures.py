@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairbars.functions.rolling import with_pos
+from pairbars.functions.work import written
 from pairbars.operators import features, ratio, regimes, sync
 from pairbars.operators.chunks import in_chunks
 from pairbars.sources.bars import resample
@@ -25,6 +26,11 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(daily_ticks(spark, sf_dir), "D1", TICK_ORDER)
 
 
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars as a table, for what reads them more than once."""
+    return written(daily(spark, sf_dir))
+
+
 def intraday_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("value").alias("price"), "event_id")
 
@@ -40,9 +46,14 @@ def returns(df: DataFrame, keys: list[str]) -> DataFrame:
     return df
 
 
+def matched(bars: DataFrame) -> DataFrame:
+    """Matched bars of all pairs; ticks become bars once, which are then stored."""
+    return sync.synchronize(written(bars))
+
+
 def pair_bars(bars: DataFrame) -> DataFrame:
     """Matched bars of all pairs, with positions and log returns of both sides."""
-    return in_chunks(sync.synchronize(bars), ["pair_id"], returns, 1, pos="pos")
+    return in_chunks(matched(bars), ["pair_id"], returns, 1, pos="pos")
 
 
 def daily_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +62,7 @@ def daily_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def daily_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With hedge ratio, residual and its score, the price ratio and its scores."""
-    rows = sync.synchronize(daily(spark, sf_dir))
+    rows = matched(daily(spark, sf_dir))
     return in_chunks(rows, ["pair_id"], lambda d, k: ratio.ratio_features(ratio.ratio(ratio.scored(returns(d, k), keys=k)), keys=k), 1 + 200, pos="pos")
 
 
@@ -62,7 +73,7 @@ def intraday_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def intraday_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With sessions and the volatility regime of side a."""
-    rows = in_chunks(sync.synchronize(intraday(spark, sf_dir)), ["pair_id"], lambda d, k: features.volatility_regime(returns(d, k), 20, k, "a_log_return"), 1 + 120, pos="pos")
+    rows = in_chunks(matched(intraday(spark, sf_dir)), ["pair_id"], lambda d, k: features.volatility_regime(returns(d, k), 20, k, "a_log_return"), 1 + 120, pos="pos")
     return regimes.session_label(rows)
 
 

@@ -151,36 +151,36 @@ LEFT JOIN (SELECT pair_id, string_agg(strftime(t, '%Y-%m-%d %H:%M:%S'), ',' ORDE
 _KEY = ["symbol", "bar_ts"]
 _W = "WINDOW w AS (PARTITION BY symbol ORDER BY bar_ts)"
 part("ret", "bars", f"SELECT *, ln(close / lag(close) OVER w) AS log_return FROM bars {_W}")
-query("f1_log_return", sql("ret", f"SELECT symbol, bar_ts, {rs('log_return')} FROM ret"))(lambda s, d: features.log_return(fx.daily(s, d)).select(*_KEY, "log_return"))
-query("f2_pct_return", sql("bars", f"SELECT symbol, bar_ts, {r('close / lag(close) OVER w - 1', 'pct_return')} FROM bars {_W}"))(lambda s, d: features.pct_return(fx.daily(s, d)).select(*_KEY, "pct_return"))
+query("f1_log_return", sql("ret", f"SELECT symbol, bar_ts, {rs('log_return')} FROM ret"))(lambda s, d: features.log_return(fx.stored(s, d)).select(*_KEY, "log_return"))
+query("f2_pct_return", sql("bars", f"SELECT symbol, bar_ts, {r('close / lag(close) OVER w - 1', 'pct_return')} FROM bars {_W}"))(lambda s, d: features.pct_return(fx.stored(s, d)).select(*_KEY, "pct_return"))
 part("bn", "bars", "SELECT symbol, bar_ts, close, row_number() OVER (PARTITION BY symbol ORDER BY bar_ts) AS k FROM bars")
 part("em", "bn", "SELECT symbol, bar_ts, k, close AS e9, close AS e21, close AS e50, close AS e200 FROM bn WHERE k = 1 UNION ALL SELECT b.symbol, b.bar_ts, b.k, " + ", ".join(f"b.close * (2.0::DOUBLE / {n + 1}) + e{n} * (1 - 2.0::DOUBLE / {n + 1})" for n in (9, 21, 50, 200)) + " FROM em JOIN bn b ON b.symbol = em.symbol AND b.k = em.k + 1")
 
 
 @query("f3_ema", sql("em", f"SELECT symbol, bar_ts, {', '.join(r(f'e{n}', f'ema_{n}') for n in (9, 21, 50, 200))} FROM em", recursive=True))
 def _f3(s: SparkSession, d: str) -> DataFrame:
-    return features.emas(fx.daily(s, d), (9, 21, 50, 200)).select(*_KEY, *[f"ema_{n}" for n in (9, 21, 50, 200)])
+    return features.emas(fx.stored(s, d), (9, 21, 50, 200)).select(*_KEY, *[f"ema_{n}" for n in (9, 21, 50, 200)])
 
 
 _S14 = win(14, "symbol")
 part("chg", "bars", f"SELECT *, coalesce(close - lag(close) OVER w, 0) AS dc FROM bars {_W}")
 part("ud", "chg", f"SELECT symbol, bar_ts, {full('avg', 'greatest(dc, 0)', 14, _S14)} AS u, {full('avg', 'greatest(-dc, 0)', 14, _S14)} AS dn FROM chg")
-query("f4_rsi", sql("ud", f"SELECT symbol, bar_ts, {r('CASE WHEN dn = 0 AND u > 0 THEN 100 ELSE 100 - 100 / (1 + u / nullif(dn, 0)) END', 'rsi_14')} FROM ud"))(lambda s, d: features.rsi(fx.daily(s, d)).select(*_KEY, "rsi_14"))
+query("f4_rsi", sql("ud", f"SELECT symbol, bar_ts, {r('CASE WHEN dn = 0 AND u > 0 THEN 100 ELSE 100 - 100 / (1 + u / nullif(dn, 0)) END', 'rsi_14')} FROM ud"))(lambda s, d: features.rsi(fx.stored(s, d)).select(*_KEY, "rsi_14"))
 part("tr", "bars", f"""SELECT *, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr, CASE WHEN lag(high) OVER w IS NOT NULL THEN greatest(high - lag(high) OVER w, 0) END AS pdm, abs(low - lag(low) OVER w) AS mdm FROM bars {_W}""")
 part("atr", "tr", f"SELECT *, {full('avg', 'tr', 14, _S14)} AS atr_14, {full('avg', 'pdm', 14, _S14)} AS p, {full('avg', 'mdm', 14, _S14)} AS m FROM tr")
-query("f5_atr", sql("atr", f"SELECT symbol, bar_ts, {rs('atr_14')} FROM atr"))(lambda s, d: features.atr(fx.daily(s, d)).select(*_KEY, "atr_14"))
+query("f5_atr", sql("atr", f"SELECT symbol, bar_ts, {rs('atr_14')} FROM atr"))(lambda s, d: features.atr(fx.stored(s, d)).select(*_KEY, "atr_14"))
 part("di", "atr", "SELECT symbol, bar_ts, 100 * p / nullif(atr_14, 0) AS plus_di, 100 * m / nullif(atr_14, 0) AS minus_di FROM atr")
 part("dx", "di", "SELECT *, 100 * abs(plus_di - minus_di) / nullif(plus_di + minus_di, 0) AS dx FROM di")
-query("f6_adx", sql("dx", f"SELECT symbol, bar_ts, {rs('plus_di', 'minus_di')}, {r(full('avg', 'dx', 14, _S14), 'adx_14')} FROM dx"))(lambda s, d: features.adx(fx.daily(s, d)).select(*_KEY, "plus_di", "minus_di", "adx_14"))
+query("f6_adx", sql("dx", f"SELECT symbol, bar_ts, {rs('plus_di', 'minus_di')}, {r(full('avg', 'dx', 14, _S14), 'adx_14')} FROM dx"))(lambda s, d: features.adx(fx.stored(s, d)).select(*_KEY, "plus_di", "minus_di", "adx_14"))
 _MOM = (1, 2, 3, 6, 12)
-query("f7_momentum", sql("bars", f"SELECT symbol, bar_ts, {', '.join(r(f'close / lag(close, {p}) OVER w - 1', f'momentum_{p}') for p in _MOM)} FROM bars {_W}"))(lambda s, d: features.momentum(fx.daily(s, d)).select(*_KEY, *[f"momentum_{p}" for p in _MOM]))
+query("f7_momentum", sql("bars", f"SELECT symbol, bar_ts, {', '.join(r(f'close / lag(close, {p}) OVER w - 1', f'momentum_{p}') for p in _MOM)} FROM bars {_W}"))(lambda s, d: features.momentum(fx.stored(s, d)).select(*_KEY, *[f"momentum_{p}" for p in _MOM]))
 _FEATURES = ["log_return", "pct_return", "rsi_14", "atr_14", "plus_di", "minus_di", "adx_14", *[f"momentum_{p}" for p in _MOM], *[f"ema_{n}" for n in (9, 21, 50, 200)]]
 part("ind", "dx", f"SELECT symbol, bar_ts, plus_di, minus_di, {full('avg', 'dx', 14, _S14)} AS adx_14 FROM dx")
 part("mom", "bars", f"SELECT symbol, bar_ts, close / lag(close) OVER w - 1 AS pct_return, {', '.join(f'close / lag(close, {p}) OVER w - 1 AS momentum_{p}' for p in _MOM)} FROM bars {_W}")
 part("rs14", "ud", "SELECT symbol, bar_ts, CASE WHEN dn = 0 AND u > 0 THEN 100 ELSE 100 - 100 / (1 + u / nullif(dn, 0)) END AS rsi_14 FROM ud")
 part("ema4", "em", "SELECT symbol, bar_ts, " + ", ".join(f"e{n} AS ema_{n}" for n in (9, 21, 50, 200)) + " FROM em")
 query("f8_add_features", sql("ret atr ind mom rs14 ema4", f"SELECT symbol, bar_ts, {rs(*_FEATURES)} FROM ret JOIN (SELECT symbol, bar_ts, atr_14 FROM atr) USING (symbol, bar_ts) JOIN ind USING (symbol, bar_ts) JOIN mom USING (symbol, bar_ts) JOIN rs14 USING (symbol, bar_ts) JOIN ema4 USING (symbol, bar_ts)", recursive=True))(
-    lambda s, d: features.add_features(fx.daily(s, d)).select(*_KEY, *_FEATURES)
+    lambda s, d: features.add_features(fx.stored(s, d)).select(*_KEY, *_FEATURES)
 )
 query("f9_rolling_volatility", sql("ret", f"SELECT symbol, bar_ts, {r(full('stddev_samp', 'log_return', 100, win(100, 'symbol')), 'volatility')} FROM ret"))(lambda s, d: features.rolling_volatility(features.log_return(fx.daily(s, d))).select(*_KEY, "volatility"))
 query("f10_volatility_regime", sql("reg", "SELECT pair_id, bar_ts, volatility_regime FROM reg"))(lambda s, d: fx.intraday_regimes(s, d).select("pair_id", "bar_ts", "volatility_regime"))

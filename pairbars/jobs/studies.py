@@ -98,11 +98,7 @@ query("x2_engle_granger_one_lag", sql("eg_v", f"SELECT pair_id, {r('statistic',
 
 
 def _x1(s: SparkSession, d: str) -> DataFrame:
-    rows, out = fx.daily_scored(s, d), None
-    for x in ("a_close", "b_close", "ratio", "residual"):
-        part_of = stattests.adf_test(rows, x).withColumn("series", F.lit(x))
-        out = part_of if out is None else out.unionByName(part_of)
-    return out
+    return stattests.adf_tests(fx.daily_scored(s, d), ("a_close", "b_close", "ratio", "residual"))
 
 
 query("x1_adf_test")(_x1)

@@ -12,9 +12,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from pairbars.functions.work import written
 
@@ -46,45 +47,45 @@ def greedy_select(df: DataFrame, keys: Sequence[str], reach: int, start: str = "
     placed = after_earlier_phases(placed, keys, phases, start) if phases else placed
     placed = placed.withColumn("_chunk", F.floor(F.col(start) / rows))
     columns = df.columns
-    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    found = StructType([*[df.schema[k] for k in keys], StructField("_chunk", LongType()), StructField("_left", ArrayType(DoubleType()))])
+    entry = StructType([*found.fields[:-1], StructField("_entering", DoubleType())])
 
-    def sorted_ends(part: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]:
-        part = part.sort_values(start, kind="stable")
-        starts, ends = part[start].to_numpy(float), part[end].to_numpy(float)
+    def in_order(part: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+        part = part.take(np.argsort(part[start].to_numpy(), kind="stable"))
+        starts, ends = (part[c].cast(pa.float64()).to_numpy() for c in (start, end))
         ends = np.where(np.isnan(ends), np.inf, ends)
         return part, starts, ends, np.searchsorted(starts, ends, side="right")
 
-    def leave(part: pd.DataFrame) -> pd.DataFrame:
+    def leave(part: pa.Table) -> pa.Table:
         """The end left behind for each end ``_chunk * rows - 1 + i`` of the rows before."""
-        part, starts, ends, follows = sorted_ends(part)
-        n = len(part)
+        part, starts, ends, follows = in_order(part)
+        n = len(starts)
         left = ends.copy()
         for i in range(n - 1, -1, -1):
             if follows[i] < n:
                 left[i] = left[follows[i]]
-        chunk = int(part["_chunk"].iloc[0])
-        entering = chunk * rows - 1 + np.arange(reach + 1, dtype=float)
+        entering = part["_chunk"][0].as_py() * rows - 1 + np.arange(reach + 1, dtype=float)
         first = np.searchsorted(starts, entering, side="right")
         out = np.where(first < n, left[np.minimum(first, n - 1)], entering)
-        return part[keys].iloc[:1].assign(_chunk=chunk, _left=[out.tolist()])
+        return part.select([*keys, "_chunk"]).slice(0, 1).append_column("_left", pa.array([out.tolist()], pa.list_(pa.float64())))
 
-    def carry(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("_chunk")
+    def carry(part: pa.Table) -> pa.Table:
+        part = part.sort_by("_chunk")
         last, entered = -np.inf, []
-        for chunk, left in zip(part["_chunk"], part["_left"], strict=True):
+        for chunk, left in zip(part["_chunk"].to_pylist(), part["_left"].to_pylist(), strict=True):
             entered.append(last)
             if last < np.inf:
                 last = left[int(max(last - (chunk * rows - 1), 0))]
-        return part[[*keys, "_chunk"]].assign(_entering=entered)
+        return part.select([*keys, "_chunk"]).append_column("_entering", pa.array(entered, pa.float64()))
 
-    def choose(part: pd.DataFrame) -> pd.DataFrame:
-        part, starts, _, follows = sorted_ends(part)
-        kept, i = [], int(np.searchsorted(starts, part["_entering"].iloc[0], side="right"))
-        while i < len(part):
+    def choose(part: pa.Table) -> pa.Table:
+        part, starts, _, follows = in_order(part)
+        kept, i = [], int(np.searchsorted(starts, part["_entering"][0].as_py(), side="right"))
+        while i < len(starts):
             kept.append(i)
             i = int(follows[i])
-        return part.iloc[kept][columns]
+        return part.select(columns).take(pa.array(kept, pa.int64()))
 
-    ends = placed.groupBy(*keys, "_chunk").applyInPandas(leave, f"{kinds}, _chunk long, _left array<double>")
-    entering = ends.groupBy(*keys).applyInPandas(carry, f"{kinds}, _chunk long, _entering double")
-    return placed.join(entering, [*keys, "_chunk"]).groupBy(*keys, "_chunk").applyInPandas(choose, df.schema)
+    ends = placed.select(*keys, "_chunk", start, end).groupBy(*keys, "_chunk").applyInArrow(leave, found)
+    entering = ends.groupBy(*keys).applyInArrow(carry, entry)
+    return placed.join(entering, [*keys, "_chunk"]).groupBy(*keys, "_chunk").applyInArrow(choose, df.schema)

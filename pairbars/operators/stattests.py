@@ -1,21 +1,23 @@
 """Stationarity, cointegration and mean-reversion tests, one row for each key.
 
-A regression needs only the sums of products of its columns. Those are taken in
-numpy on the executors, batch by batch, so a series is never in one place; what is
-solved for a key is a matrix as wide as the lags.
+A regression needs only the sums of products of its columns. Those with the target or the
+level are aggregates over lagged columns; the others follow from them and from the differences at
+both ends of the series. So a series is never in one place; what is solved for a key is a matrix as
+wide as the lags.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairbars.functions.rolling import by
+from pairbars.functions.rolling import by, with_pos
+from pairbars.functions.work import written
 from pairbars.operators.chunks import in_chunks
 
 PAIR = ("pair_id",)
@@ -55,8 +57,8 @@ def _fit(gram: np.ndarray, columns: list[int]) -> tuple[np.ndarray, float, np.nd
     return b, float(gram[0, 0] - gram[columns, 0] @ b), inverse
 
 
-def _test(gram: np.ndarray, head: np.ndarray, limit: int, n: int, constant: bool, search: bool) -> tuple[float, int, int]:
-    """Statistic, chosen lag and rows used. Columns: target, level, 1, then lagged differences; the last column is the row's number."""
+def _test(gram: np.ndarray, x: np.ndarray, limit: int, n: int, constant: bool, search: bool) -> tuple[float, int, int]:
+    """Statistic, chosen lag and rows used. Columns: target, level, 1, then lagged differences; ``x`` are the first values of the series."""
     fixed = [1, 2] if constant else [1]
     rows = n - 1 - limit
     best, lag = math.inf, 0 if search else limit
@@ -65,63 +67,91 @@ def _test(gram: np.ndarray, head: np.ndarray, limit: int, n: int, constant: bool
         aic = rows * math.log(max(ssr, 1e-300) / rows) + 2 * (len(fixed) + k)
         if aic < best - 1e-12:
             best, lag = aic, k
-    more = head[head[:, -1] >= lag + 1][:, :-1]
+    # a shorter lag also uses the rows that the longest lag has no values for
+    d = np.diff(x)
+    more = np.array([[d[t - 1], x[t - 1], 1.0, *d[t - 1 - lag : t - 1][::-1]] for t in range(lag + 1, limit + 1)]).reshape(-1, 3 + lag)
     columns = [*fixed, *range(3, 3 + lag)]
-    used = np.nan_to_num(more[:, : 3 + lag])
-    whole = gram[: 3 + lag, : 3 + lag] + used.T @ used
+    whole = gram[: 3 + lag, : 3 + lag] + more.T @ more
     rows = n - 1 - lag
     b, ssr, inverse = _fit(whole, columns)
     return float(b[0] / math.sqrt(max(ssr, 0) / (rows - len(columns)) * inverse[0, 0])), lag, rows
 
 
+def _gram(own: np.ndarray, level: np.ndarray, ones: np.ndarray, squares: tuple[float, float, float], first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Sums of products of all columns, from the sums that hold the target or the level and the differences at both ends.
+
+    Products of two lagged differences are those of one lag less, shifted by a row: one product comes in at the front and
+    one goes out at the back.
+    """
+    limit = len(own) - 1
+    lags = np.zeros((limit + 1, limit + 1))
+    lags[0] = own
+    for i in range(limit):
+        lags[i + 1, i + 1 :] = lags[i, i:limit] + first[limit - 1 - i] * first[: limit - i][::-1] - last[-1 - i] * last[: len(last) - i][::-1][: limit - i]
+    lags = np.triu(lags) + np.triu(lags, 1).T
+    order = [0, *range(3, 3 + limit)]
+    gram = np.zeros((3 + limit, 3 + limit))
+    gram[np.ix_(order, order)] = lags
+    gram[1, order] = gram[order, 1] = level
+    gram[2, order] = gram[order, 2] = ones
+    gram[1, 1], gram[1, 2], gram[2, 1], gram[2, 2] = squares[0], squares[1], squares[1], squares[2]
+    return gram
+
+
 def dickey_fuller(df: DataFrame, x: str, keys: Sequence[str] = PAIR, constant: bool = True, variables: int = 1, least: int = 20, significance: float = 0.05, lag: int | None = None) -> DataFrame:
     """Augmented test with the lag of the smallest AIC, or with a given ``lag``.
 
     Returns ``statistic``, ``p_value``, ``lag``, ``n_obs``, critical values and
     ``stationary``; keys with fewer than ``least`` values give 0, 1 and false.
     """
-    keys = list(keys)
-    rows = df.filter(F.col(x).isNotNull()).select(*keys, "bar_ts", F.col(x).cast("double").alias("x"))
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("x").alias("center"))
-    longest = sizes.agg(F.max("n")).first()[0] or 0
-    search = lag is None
-    limit = (lambda n: max_lag(n, constant)) if search else (lambda n: min(lag, max(0, n - 4)))
-    width = limit(longest)
-    w = by(keys)
-    rows = rows.join(sizes.filter(F.col("n") >= least), keys)
-    rows = rows.withColumn("x", F.col("x") - (F.col("center") if constant else 0.0)).withColumn("dx", F.col("x") - F.lag("x").over(w)).withColumn("row", F.row_number().over(w) - 1)
-    cells = [F.col("dx"), F.lag("x").over(w), F.lit(1.0), *[F.lag("dx", k).over(w) for k in range(1, width + 1)], F.col("row").cast("double")]
-    rows = rows.select(*keys, "n", "row", F.array(*cells).alias("z")).filter("row > 0")
-    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for _, part in batch.groupby(keys, sort=False, dropna=False):
-                n = int(part["n"].iloc[0])
-                z = np.array([list(v) for v in part["z"]], float)
-                own = z[:, -1] >= limit(n) + 1
-                common = np.nan_to_num(z[own][:, :-1])
-                first = part.iloc[0]
-                out.append([*[first[k] for k in keys], n, True, (common.T @ common).ravel()])
-                out.extend([*[first[k] for k in keys], n, False, v] for v in z[~own])
-            yield pd.DataFrame(out, columns=[*keys, "n", "common", "z"])
+    keys, search = list(keys), lag is None
+    every = written(df.select(*keys, "bar_ts", F.col(x).cast("double").alias("x")))
+    rows = every.filter("x is not null")
+    n = F.col("n")
+    limit = F.least(F.ceil(12 * F.pow(n / 100, F.lit(0.25))), F.floor(n / 2) - int(constant) - 1) if search else F.least(F.lit(lag), n - 4)
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("x").alias("center")).filter(n >= least).withColumn("limit", F.greatest(limit, F.lit(0)).cast("int"))
+    sizes = written(sizes)
+    width = sizes.agg(F.max("limit")).first()[0] or 0
+    rows = with_pos(rows.join(sizes, keys), keys, out="row").withColumn("x", F.col("x") - (F.col("center") if constant else F.lit(0.0)))
+
+    def lagged(d: DataFrame, own: list[str]) -> DataFrame:
+        w = by(own)
+        d = d.withColumn("d0", F.col("x") - F.lag("x").over(w)).withColumn("level", F.lag("x").over(w))
+        return d.select("*", *[F.lag("d0", k).over(w).alias(f"d{k}") for k in range(1, width + 1)])
+
+    rows = in_chunks(rows, keys, lagged, width + 1, pos="row")
+    used = lambda c: F.sum(F.when(F.col("row") > F.col("limit"), c))
+    lags = [F.col(f"d{k}") for k in range(width + 1)]
+    sums = rows.groupBy(*keys, "n", "limit").agg(
+        F.array(*[used(F.col("d0") * d) for d in lags]).alias("own"), F.array(*[used(F.col("level") * d) for d in lags]).alias("level"), F.array(*[used(d) for d in lags]).alias("ones"),
+        F.array(used(F.col("level") * F.col("level")), used(F.col("level")), used(F.lit(1.0))).alias("squares"),
+        # as many values at either end as there are lags
+        F.array_sort(F.collect_list(F.when(F.col("row") <= F.col("limit") + 1, F.struct("row", "x")))).alias("first"), F.array_sort(F.collect_list(F.when(F.col("row") >= F.col("n") - F.col("limit") - 1, F.struct("row", "x")))).alias("last"),
+    )
+    sums = sums.select(*keys, "n", "limit", "own", "level", "ones", "squares", F.transform("first", lambda v: v["x"]).alias("first"), F.transform("last", lambda v: v["x"]).alias("last"))
 
     def solved(rows: pd.DataFrame) -> pd.DataFrame:
-        n, size = int(rows["n"].iloc[0]), 3 + width
-        gram = np.sum([np.array(v, float) for v in rows.loc[rows["common"], "z"]], axis=0).reshape(size, size)
-        head = np.array([list(v) for v in rows.loc[~rows["common"], "z"]], float).reshape(-1, size + 1)
-        statistic, chosen, used = _test(gram, head, limit(n), n, constant, search)
+        row = rows.iloc[0]
+        n, most = int(row["n"]), int(row["limit"])
+        first, last = (np.array(row[c], float) for c in ("first", "last"))
+        own, level, ones = (np.array(row[c], float)[: most + 1] for c in ("own", "level", "ones"))
+        gram = _gram(own, level, ones, tuple(row["squares"]), np.diff(first), np.diff(last))
+        statistic, chosen, used = _test(gram, first, most, n, constant, search)
         p, levels = p_value(statistic, variables), critical(used if variables == 1 else n - 1, variables)
-        out = rows[keys].iloc[:1].copy()
-        return out.assign(statistic=statistic, p_value=p, lag=chosen, n_obs=used, critical_1=levels["1%"], critical_5=levels["5%"], critical_10=levels["10%"], stationary=p < significance)
+        return rows[keys].assign(statistic=statistic, p_value=p, lag=chosen, n_obs=used, critical_1=levels["1%"], critical_5=levels["5%"], critical_10=levels["10%"], stationary=p < significance)
 
-    grams = rows.mapInPandas(partial, f"{kinds}, n long, common boolean, z array<double>")
-    found = grams.groupBy(*keys).applyInPandas(solved, f"{kinds}, statistic double, p_value double, lag long, n_obs long, critical_1 double, critical_5 double, critical_10 double, stationary boolean")
-    out = df.select(*keys).distinct().join(found, keys, "left")
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    found = sums.groupBy(*keys).applyInPandas(solved, f"{kinds}, statistic double, p_value double, lag long, n_obs long, critical_1 double, critical_5 double, critical_10 double, stationary boolean")
+    out = every.select(*keys).distinct().join(found, keys, "left")
     return out.na.fill({"statistic": 0.0, "p_value": 1.0, "lag": 0, "n_obs": 0, "stationary": False})
 
 
+def adf_tests(df: DataFrame, series: Sequence[str], keys: Sequence[str] = PAIR, significance: float = 0.05, lag: int | None = None) -> DataFrame:
+    """The test of several columns in one plan, a row for each key and ``series``."""
+    cells = F.array(*[F.struct(F.lit(c).alias("series"), F.col(c).cast("double").alias("x")) for c in series])
+    return dickey_fuller(df.select(*keys, "bar_ts", F.inline(cells)), "x", [*keys, "series"], significance=significance, lag=lag)
+
+
 def adf_test(df: DataFrame, x: str, keys: Sequence[str] = PAIR, significance: float = 0.05, lag: int | None = None) -> DataFrame:
     return dickey_fuller(df, x, keys, significance=significance, lag=lag)
 

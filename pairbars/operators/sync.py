@@ -2,7 +2,8 @@
 
 Bars meet by time: one shuffle brings the bars of a time together as a list in order
 of symbol, at most one for each instrument, and the pairs are made from that list. So what is
-shuffled before pairing is each bar once, whatever the number of pairs.
+shuffled before pairing is each bar once, whatever the number of pairs. Bars without a symbol or a
+time meet no other and count nowhere.
 """
 
 from __future__ import annotations
@@ -58,11 +59,11 @@ def synchronize(bars: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
 
 def unmatched(bars: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """Times of one side only: ``pair_id``, ``side``, ``bar_ts``."""
-    times = bars.select("symbol", "bar_ts")
+    times = bars.filter("symbol is not null and bar_ts is not null").select("symbol", "bar_ts")
     if pairs is None:
         # the names of all instruments, one list
         names = times.agg(F.collect_set("symbol").alias("names")).scalar()
-        rows = times.filter("symbol is not null and bar_ts is not null").groupBy("bar_ts").agg(F.collect_set("symbol").alias("_here")).withColumn("_gone", F.array_except(names, F.col("_here")))
+        rows = times.groupBy("bar_ts").agg(F.collect_set("symbol").alias("_here")).withColumn("_gone", F.array_except(names, F.col("_here")))
         rows = rows.withColumn("_x", F.explode("_here")).withColumn("_y", F.explode("_gone"))
         return rows.select(_pair_id(F.least("_x", "_y"), F.greatest("_x", "_y")), "bar_ts", F.when(F.col("_x") < F.col("_y"), "a").otherwise("b").alias("side"))
     a, b = (times.join(pairs.select("pair_id", F.col(f"{s}_symbol").alias("symbol")), "symbol").select("pair_id", "bar_ts") for s in "ab")
@@ -72,7 +73,7 @@ def unmatched(bars: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
 
 def sync_report(bars: DataFrame, pairs: DataFrame | None = None, step_seconds: int | None = None, listed: int = 10) -> DataFrame:
     """Bars of each side, matched, unmatched, and gaps of the joined series, the first ten in ``missing_periods``."""
-    times = bars.select("symbol", "bar_ts")
+    times = bars.filter("symbol is not null and bar_ts is not null").select("symbol", "bar_ts")
     matched = _pairing(times, pairs).select("pair_id", "bar_ts")
     sizes = times.groupBy("symbol").agg(F.count("*").alias("n"))
     out = all_pairs(sizes) if pairs is None else pairs
