@@ -145,14 +145,19 @@ def cascade(rules: Sequence[Rule]) -> Column:
     return verdict.otherwise(F.lit(True))
 
 
+def sampled(docs: DataFrame, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """At most ``rows`` different documents, those with the smallest hashes of id and text, whatever ids are null or repeated."""
+    keyed = with_text(docs, id_col, text_col).withColumn("h", F.xxhash64("doc_id", "text"))
+    chosen = keyed.select("h").distinct().orderBy("h").limit(rows)
+    # equal rows are one already within each task
+    return keyed.join(F.broadcast(chosen), "h").dropDuplicates(["h"]).select("doc_id", "text")
+
+
 def judge(docs: DataFrame, rules: Sequence[Rule] | None = None, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Counts, ``base_failed`` and ``kept`` for every row. A narrow map apart from the sample, which is chosen by a hash of the id."""
+    """Counts, ``base_failed`` and ``kept`` for every row. A narrow map apart from the sample."""
     rules = default_rules() if rules is None else rules
-    keyed = with_text(docs, id_col, text_col).withColumn("h", F.xxhash64("doc_id"))
-    ids = keyed.select("h").distinct().orderBy("h").limit(sample_rows)
-    sample = counted(keyed.join(F.broadcast(ids), "h").select("doc_id", "text"))
     # the documents are read by many tasks, their few sample rows then meet in one file
-    sample = written(sample.repartition(1), work_dir(docs.sparkSession), "sample")
+    sample = written(counted(sampled(docs, sample_rows, id_col, text_col)).repartition(1), work_dir(docs.sparkSession), "sample")
     order = ordered(rules, sample.filter(~base_failed()))
     rows = counted(docs, id_col, text_col).withColumn("base_failed", base_failed())
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.when(F.col("base_failed"), F.lit(False)).otherwise(cascade(order)).alias("kept"))

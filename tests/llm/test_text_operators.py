@@ -465,3 +465,12 @@ def test_quality_margin_is_the_sum_of_table_entries():
         want = model.base + sum(float(t[bin_of(j, row[j])]) for j, t in enumerate(model.tables))
         want += sum(float(t[model.coarse[i][bin_of(i, row[i])], model.coarse[j][bin_of(j, row[j])]]) for (i, j), t in zip(model.pairs, model.pair_tables, strict=True))
         assert abs(got - want) < 1e-9
+
+
+def test_rules_sample_is_bounded_for_any_ids(spark):
+    rows = [(None if i % 2 else 7, f"text number {i % 900} of a table") for i in range(3000)]
+    table = spark.createDataFrame([*rows, *[(7, "one text")] * 2000], "doc_id long, text string").repartition(6)
+    got = rules.sampled(table, 50)
+    assert got.count() == 50 == got.distinct().count()
+    assert rules.sampled(table, 10_000).count() == table.distinct().count()
+    assert rules.judge(table, sample_rows=50).count() == 5000
