@@ -12,7 +12,7 @@ bytes of each word. Special tokens in a text are found before anything else.
 
 Edge cases: null and empty texts give no ids and an empty decoded text; repeated
 rows are encoded as often as they occur; a word of any length is one word.
-Characters younger than Python's Unicode tables are listed below as the library has them.
+Characters younger than Python's Unicode tables, and marks younger than the library's, are listed below as the library has them.
 """
 
 from __future__ import annotations
@@ -51,10 +51,28 @@ LATER_SMALL = {
     **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)},
 }
 
+# Combining marks younger than the library's tables of canonical order, for which they are no marks.
+LATER_MARKS = [
+    (0x07FD, 0x07FD), (0x0898, 0x089F), (0x08CA, 0x08D3), (0x09FE, 0x09FE), (0x0C3C, 0x0C3C), (0x0D3B, 0x0D3C), (0x0EBA, 0x0EBA), (0x1715, 0x1715), (0x1ABF, 0x1ACE),
+    (0x1DF6, 0x1DFA), (0xA82C, 0xA82C), (0x10D24, 0x10D27), (0x10EAB, 0x10EAC), (0x10EFD, 0x10EFF), (0x10F46, 0x10F50), (0x10F82, 0x10F85), (0x11070, 0x11070),
+    (0x1133B, 0x1133B), (0x1145E, 0x1145E), (0x11839, 0x1183A), (0x1193D, 0x1193E), (0x11943, 0x11943), (0x119E0, 0x119E0), (0x11A34, 0x11A34), (0x11A47, 0x11A47),
+    (0x11A99, 0x11A99), (0x11D42, 0x11D42), (0x11D44, 0x11D45), (0x11D97, 0x11D97), (0x11F41, 0x11F42), (0x16FF0, 0x16FF1), (0x1E08F, 0x1E08F), (0x1E130, 0x1E136),
+    (0x1E2AE, 0x1E2AE), (0x1E2EC, 0x1E2EF), (0x1E4EC, 0x1E4EF),
+]
+#: Where a text is cut before NFC: at such a mark, and before the vowel sign of the one pair of letters that the library doesn't know to be one.
+_CUT = re.compile("([" + "".join(f"{chr(a)}-{chr(b)}" for a, b in LATER_MARKS) + "])|(?=\U00011930)")
+
 WIDE = re.compile("[\U00010000-\U0010ffff]")
 _LATER = re.compile("[" + "".join(map(chr, LATER_SMALL)) + "]")
 
 
+def composed(text: str) -> str:
+    """NFC by the library's tables: marks that these don't have keep their place, and nothing is ordered or composed across them."""
+    if text.isascii() or not _CUT.search(text):
+        return unicodedata.normalize("NFC", text)
+    return "".join(unicodedata.normalize("NFC", part) for part in _CUT.split(text) if part)
+
+
 def _classes(last: int) -> tuple[str, str]:
     """Letters and numbers up to a code point as ranges of a character class."""
     found: dict[str, list[list[int]]] = {"L": [], "N": []}
@@ -173,7 +191,7 @@ class Bpe:
         return [packed[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def words(self, text: str) -> list[str]:
-        text = unicodedata.normalize("NFC", text)
+        text = composed(text)
         # one letter at a time, so no final sigma
         text = text.replace("Σ", "σ").lower()
         if not text.isascii() and _LATER.search(text):

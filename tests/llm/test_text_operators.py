@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -67,6 +68,22 @@ def test_bpe_of_every_code_point():
         assert not wrong
 
 
+def test_bpe_of_neighbouring_marks():
+    lib, own = Tokenizer.from_file(PATH), bpe.Bpe(PATH)
+    all_marks = [chr(c) for c in range(0x110000) if unicodedata.combining(chr(c))]
+    others = ("\u0301", "\u0334", "\u064e", "\u0345", "\u0898")
+    texts = [t for m in all_marks for o in others for t in (f"a{m}{o} e{o}{m}", f"\u0627{m}{o}{m}")]
+    # every canonical pair, apart and composed
+    split = [unicodedata.decomposition(chr(c)) for c in range(0x110000)]
+    texts += [t for c, d in enumerate(split) if d and d[0] != "<" for t in ("x" + "".join(chr(int(x, 16)) for x in d.split()) + "\u0316y", f"x{chr(c)}\u0898\u0301y")]
+    rng = random.Random(1)
+    letters = ["a", "e", "\u0627", "\U00011935", "\U00011930", "\u1100", "\u1161", "\u11a8"]
+    texts += ["".join(rng.choice([*letters, *rng.choices(all_marks, k=3)]) for _ in range(rng.randrange(2, 9))) for _ in range(30_000)]
+    want = lib.encode_batch_fast(texts, add_special_tokens=False)
+    wrong = [t for t, e, w in zip(texts, own.encode(texts), want, strict=True) if np.frombuffer(e, "<u4").tolist() != w.ids]
+    assert not wrong
+
+
 def test_bpe_one_merge_at_a_time_is_the_same():
     one, many = bpe.Bpe(PATH), bpe.Bpe(PATH)
     one.at_once = False
