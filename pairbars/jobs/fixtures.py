@@ -62,8 +62,12 @@ def daily_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def daily_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With hedge ratio, residual and its score, the price ratio and its scores."""
-    rows = matched(daily(spark, sf_dir))
-    return in_chunks(rows, ["pair_id"], lambda d, k: ratio.ratio_features(ratio.ratio(ratio.scored(returns(d, k), keys=k)), keys=k), 1 + 200, pos="pos")
+    return scored(stored(spark, sf_dir))
+
+
+def scored(bars: DataFrame) -> DataFrame:
+    """The same of any stored bars: all windows of a pair in one pass over its chunks."""
+    return in_chunks(sync.synchronize(bars), ["pair_id"], lambda d, k: ratio.ratio_features(ratio.ratio(ratio.scored(returns(d, k), keys=k)), keys=k), 1 + 200, pos="pos")
 
 
 def intraday_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +94,7 @@ def calendars(spark: SparkSession, sf_dir: str, without: tuple[int, ...] = ()) -
 
 def faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars with planted faults, and an order of arrival ``seq``."""
-    rows = with_pos(daily(spark, sf_dir), ["symbol"]).withColumn("n", F.col("pos") + 1)
+    rows = written(with_pos(stored(spark, sf_dir), ["symbol"])).withColumn("n", F.col("pos") + 1)
     rows = rows.select("symbol", "bar_ts", F.when(F.col("n") % 41 == 0, 0.0).otherwise(F.col("open")).alias("open"), F.when(F.col("n") % 37 == 0, F.col("low") - 1).otherwise(F.col("high")).alias("high"), "low", F.when(F.col("n") % 43 != 0, F.col("close")).alias("close"), "tick_volume", "spread", "real_volume", F.col("n").cast("long").alias("seq"))
     again = rows.filter(F.col("seq") % 47 == 0).withColumn("close", F.col("close") * 1.5).withColumn("seq", F.col("seq") + 1_000_000)
     odd = rows.filter((F.col("symbol") == "AF") & (F.col("seq") % 41 != 0)).withColumn("symbol", F.lit("XX")).withColumn("open", F.when(F.col("seq") == 5, -1.0).otherwise(F.col("open"))).withColumn("low", F.when(F.col("seq") == 5, -1.0).otherwise(F.col("low")))

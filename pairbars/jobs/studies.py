@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairbars.functions.work import written
 from pairbars.jobs import fixtures as fx
 from pairbars.jobs.queries import query
-from pairbars.jobs.sql import FORWARD, part, r, rs, sql
-from pairbars.operators import backtest, correlation, events, leadlag, ratio, spread, stattests, summary, walkforward
+from pairbars.jobs.sql import FORWARD, SESSION, corr, full, part, r, rs, sql, win
+from pairbars.operators import backtest, correlation, events, features, leadlag, ratio, regimes, spread, stattests, summary, sync, walkforward
 
 PERIODS = (1, 2, 3, 6, 12)
 
@@ -97,6 +98,21 @@ query("x1_adf_one_lag", sql("adf_v", f"SELECT pair_id, {r('statistic', 'statisti
 query("x2_engle_granger_one_lag", sql("eg_v", f"SELECT pair_id, {r('statistic', 'statistic')} FROM ({_statistic('eg', False)})"))(lambda s, d: stattests.engle_granger(fx.daily_pairs(s, d), lag=1).select("pair_id", "statistic"))
 
 
+def _verdict(statistic: str, rows: str, variables: int, holds: str) -> str:
+    """p-value, critical values and verdict of a table with ``statistic`` and ``n``; the normal distribution is a series, beyond 3.9 deviations times the root of two 0 or 1 to six digits."""
+    low, switch, high = stattests.SWITCH[variables]
+    poly = lambda c: " + ".join(f"({x}) * pow(statistic, {k})" for k, x in enumerate(c))
+    z = f"(CASE WHEN statistic <= {switch} THEN {poly(stattests.SMALL_P[variables])} ELSE {poly(stattests.LARGE_P[variables])} END) / sqrt(2)"
+    erf = "CASE WHEN z > 3.9 THEN 1 WHEN z < -3.9 THEN -1 ELSE 2 / sqrt(pi()) * list_sum(list_transform(range(0, 80), lambda k: (1 - 2 * (k % 2)) * pow(z, 2 * k + 1) / (gamma(k + 1) * (2 * k + 1)))) END"
+    p = f"CASE WHEN statistic > {high} THEN 1 WHEN statistic < {low} THEN 0 ELSE 0.5 * (1 + {erf}) END"
+    levels = ", ".join(r(" + ".join(f"({b}) / pow({rows}, {i})" for i, b in enumerate(c)), f"critical_{k[:-1]}") for k, c in stattests.CRITICAL[variables].items())
+    return f"SELECT pair_id, {r('statistic', 'statistic')}, {r('p', 'p_value')}, {levels}, p < 0.05 AS {holds} FROM (SELECT *, {p} AS p FROM (SELECT *, {z} AS z FROM ({statistic})))"
+
+
+query("x1_adf_verdict_one_lag", sql("adf_v", _verdict(_statistic("adf", True), "n", 1, "stationary")))(lambda s, d: stattests.adf_test(fx.daily_scored(s, d), "ratio", lag=1).select("pair_id", "statistic", "p_value", "critical_1", "critical_5", "critical_10", "stationary"))
+query("x2_engle_granger_verdict_one_lag", sql("eg_v", _verdict(_statistic("eg", False), "(n + 1)", 2, "cointegrated")))(lambda s, d: stattests.engle_granger(fx.daily_pairs(s, d), lag=1).select("pair_id", "statistic", "p_value", "critical_1", "critical_5", "critical_10", "cointegrated"))
+
+
 def _x1(s: SparkSession, d: str) -> DataFrame:
     return stattests.adf_tests(fx.daily_scored(s, d), ("a_close", "b_close", "ratio", "residual"))
 
@@ -230,8 +246,78 @@ def _y1(rows: DataFrame) -> DataFrame:
     return summary.research_summary(sections)
 
 
+def _section(name: str, select: str, metrics: Sequence[str], item: str = "''") -> str:
+    """A result table as long rows: a metric for each of its numbers."""
+    return f"SELECT pair_id, '{name}' AS section, {item} AS item, unnest([{', '.join(repr(m) for m in metrics)}]) AS metric, round(unnest([{', '.join(f'({chr(34)}{m}{chr(34)})::DOUBLE' for m in metrics)}]), 6) + 0.0 AS value FROM ({select})"
+
+
+# sessions and regimes of the daily pairs, for the report
+part("dses", "pb", f"SELECT *, {SESSION} AS session FROM pb")
+part("dvol", "dses", f"SELECT *, {full('stddev_samp', 'a_log_return', 20, win(20))} AS volatility FROM dses")
+part("drank", "dvol", """SELECT x.pair_id, x.pos, (sum((y.volatility < x.volatility)::INT) + (sum((y.volatility = x.volatility)::INT) + 1) / 2.0::DOUBLE) / 100 AS rank
+  FROM dvol x JOIN dvol y ON y.pair_id = x.pair_id AND y.pos BETWEEN x.pos - 99 AND x.pos WHERE x.volatility IS NOT NULL AND y.volatility IS NOT NULL GROUP BY ALL HAVING count(*) = 100""")
+part("dreg", "dvol drank", "SELECT dvol.*, CASE WHEN rank <= 0.2 THEN 'LOW' WHEN rank >= 0.8 THEN 'HIGH' ELSE 'NORMAL' END AS volatility_regime FROM dvol LEFT JOIN drank USING (pair_id, pos)")
+_STATS = ["mean", "median", "std", "min", "max"]
+_RANGE = ["mean", "median", "min", "max", "q95", "q99"]
+_SIDE = [f"{s}_{c}" for s in "ab" for c in ("mean", "std", "spread_mean")]
+_MONEY = ["total_trades", "win_rate", "avg_return", "median_return", "avg_winner", "avg_loser", "expectancy", "avg_holding_bars", "best_trade", "worst_trade", "gross_return", "total_costs", "net_return", "profit_factor", "max_drawdown", "max_losing_run", "sharpe", "sortino", "trades_per_day", "cost_to_edge"]
+_FORWARD = ["mean", "median", "std", "pct_positive", "max", "min", "count"]
+_GAIN = "coalesce(net_return, 0)"
+_REPORT = [
+    _section("dataset", "SELECT pair_id, n AS matched, x - n AS a_unmatched, y - n AS b_unmatched FROM (SELECT pair_id, count(*) AS n FROM pb GROUP BY 1) JOIN pb_pairs USING (pair_id) JOIN (SELECT symbol AS a_symbol, count(*) AS x FROM bars GROUP BY 1) USING (a_symbol) JOIN (SELECT symbol AS b_symbol, count(*) AS y FROM bars GROUP BY 1) USING (b_symbol)", ["matched", "a_unmatched", "b_unmatched"]),
+    _section("correlation", 'SELECT pair_id, "window", count(c) AS n, avg(c) AS mean, median(c) AS median, stddev_samp(c) AS std, min(c) AS "min", max(c) AS "max", avg((c > 0)::INT) * 100 AS pct_positive, avg((c > 0.5)::INT) * 100 AS pct_over_05, avg((c > 0.7)::INT) * 100 AS pct_over_07 FROM lc GROUP BY 1, 2', ["n", *_STATS, "pct_positive", "pct_over_05", "pct_over_07"], '"window"::VARCHAR'),
+    _section("ratio", "SELECT pair_id, any_value(l) AS last, any_value(lz) AS last_zscore, avg(ratio) AS mean, stddev_samp(ratio) AS std, avg((ratio <= l)::INT) * 100 AS percentile FROM rat JOIN lastr USING (pair_id) GROUP BY 1", ["last", "last_zscore", "mean", "std", "percentile"]),
+    _section("beta", 'SELECT pair_id, avg(beta) AS mean, median(beta) AS median, min(beta) AS "min", max(beta) AS "max", stddev_samp(beta) AS std FROM beta GROUP BY 1', _STATS),
+    _section("residual_zscore", "SELECT * FROM y_t10", ["mean", "std", "min", "max"]),
+    _section("lead_lag", "SELECT pair_id, direction, CASE WHEN correlation IS NULL THEN 0 ELSE lag END AS lag, coalesce(correlation, 0) AS correlation, CASE WHEN correlation IS NULL THEN 0 ELSE lag * 10 END AS minutes, CASE WHEN correlation IS NULL THEN 0 ELSE n_rows - lag END AS sample_size FROM (SELECT *, row_number() OVER (PARTITION BY pair_id, direction ORDER BY abs(correlation) DESC NULLS LAST, lag) AS k FROM ll) WHERE k = 1", ["lag", "correlation", "minutes", "sample_size"], "direction"),
+    *[_section("regimes", f"SELECT pair_id, {g} AS label, count(*) AS n_rows, {corr('a_log_return', 'b_log_return')} AS correlation, " + ", ".join(f"avg({s}_log_return) AS {s}_mean, stddev_samp({s}_log_return) AS {s}_std, avg({s}_spread) AS {s}_spread_mean" for s in "ab") + f" FROM dreg GROUP BY pair_id, {g} HAVING count(*) >= 10", ["n_rows", "correlation", *_SIDE], f"'{g}/' || label") for g in ("session", "volatility_regime")],
+    _section("divergence", _forward("e3_k", "threshold"), _FORWARD, "format('{:.1f}/{}/{}', threshold, period, instrument)"),
+    *[_section("strategy", f"SELECT pair_id, {', '.join(f'coalesce({m}, 0) AS {m}' for m in _MONEY if m != 'sortino')}, CASE WHEN total_trades IS NULL THEN 0 ELSE sortino END AS sortino FROM {t}", _MONEY, f"'{n}'") for t, n in (("b1m", "lead_lag"), ("b2m", "mean_reversion"))],
+    _section("walk_forward", f"SELECT pair_id, count(*) AS n_windows, avg({_GAIN}) AS mean_net, stddev_pop({_GAIN}) AS std_net, avg(coalesce(sharpe, 0)) AS mean_sharpe, avg(coalesce(profit_factor, 0)) AS mean_profit_factor, avg(coalesce(win_rate, 0)) AS mean_win_rate, avg(coalesce(max_drawdown, 0)) AS mean_drawdown, sum(({_GAIN} > 0)::INT) AS n_profitable, avg(({_GAIN} > 0)::INT) * 100 AS pct_profitable FROM w1m WHERE split = 'test' GROUP BY 1", ["n_windows", "mean_net", "std_net", "mean_sharpe", "mean_profit_factor", "mean_win_rate", "mean_drawdown", "n_profitable", "pct_profitable"], "'lead_lag'"),
+    _section("stationarity", _verdict(_statistic("adf", True), "n", 1, "stationary"), ["statistic", "p_value", "stationary"], "'ratio'"),
+    _section("cointegration", _verdict(_statistic("eg", False), "(n + 1)", 2, "cointegrated"), ["statistic", "p_value", "cointegrated"]),
+    _section("half_life", "SELECT * FROM y_h", ["half_life"]),
+    *[_section("spread", f"SELECT pair_id, {g} AS label, s AS instrument, avg(x) AS mean, median(x) AS median, min(x) AS \"min\", max(x) AS \"max\", quantile_cont(x, 0.95) AS q95, quantile_cont(x, 0.99) AS q99 FROM (SELECT *, 'a' AS s, a_spread::DOUBLE AS x FROM dreg UNION ALL SELECT *, 'b' AS s, b_spread::DOUBLE AS x FROM dreg) GROUP BY ALL", _RANGE, "label || '/' || instrument") for g in ("'all'", "session", "volatility_regime")],
+    _section("spread_cost", "SELECT pair_id, " + ", ".join(f"avg({s}_spread) AS {s}_mean, median({s}_spread) AS {s}_median, avg({s}_spread / {s}_close * 100) AS {s}_cost_pct" for s in "ab") + " FROM pb GROUP BY 1", [f"{s}_{c}" for s in "ab" for c in ("mean", "median", "cost_pct")]),
+]
+
+
+@query("y1_research_report", sql("pb_pairs lc lastr beta y_t10 ll dreg e3_k b1m b2m w1m adf_v eg_v y_h", " UNION ALL ".join(_REPORT), recursive=True))
+def _report(s: SparkSession, d: str) -> DataFrame:
+    """All sections of a study; the scored table is stored once, as the data set of the study."""
+    bars = fx.stored(s, d)
+    rows = written(regimes.session_label(features.volatility_regime(fx.scored(bars), 20, ["pair_id"], "a_log_return", pos="pos")))
+    label = lambda df, *names: df.select("pair_id", F.concat_ws("/", *names).alias("item"), *[c for c in df.columns if c != "pair_id" and c not in names])
+    named = lambda df, name: df.withColumn("item", F.lit(name))
+    flag = lambda df, *columns: df.select("pair_id", *[F.col(c).cast("double").alias(c) for c in columns])
+    found = regimes.regime_table(rows)
+    spreads = [spread.spread_stats(rows.withColumn("label", F.lit("all") if g is None else F.col(g)), ["label"]) for g in (None, "session", "volatility_regime")]
+    slices = written(walkforward.walkforward_slices(rows, walkforward.walkforward_windows(rows, min_train=300)))
+    strategies = {"lead_lag": backtest.lead_lag_trades(rows, pos="pos", **COSTS), "mean_reversion": backtest.mean_reversion_trades(rows, pos="pos", **COSTS)}
+    every = [
+        ("dataset", sync.sync_report(bars, step_seconds=86_400).select("pair_id", "matched", "a_unmatched", "b_unmatched")),
+        ("correlation", label(correlation.correlation_statistics(correlation.rolling_correlation(rows, pos="pos")), "window")),
+        ("ratio", ratio.ratio_summary(rows)), ("beta", ratio.beta_summary(rows)), ("residual_zscore", ratio.residual_zscore_summary(rows)),
+        ("lead_lag", label(leadlag.best_lag(leadlag.lead_lag(rows, pos="pos")), "direction")),
+        ("regimes", label(found, "grouping", "label")),
+        ("divergence", label(events.divergence_by_threshold(rows, pos="pos").withColumn("threshold", F.format_number("threshold", 1)), "threshold", "period", "instrument")),
+        *[("strategy", named(backtest.backtest_metrics(trades, rows), name)) for name, trades in strategies.items()],
+        ("walk_forward", named(walkforward.walkforward_summary(walkforward.run_walkforward(slices, backtest.lead_lag_trades, pos="pos", **COSTS)), "lead_lag")),
+        ("stationarity", named(flag(stattests.adf_test(rows, "ratio", lag=1), "statistic", "p_value", "stationary"), "ratio")),
+        ("cointegration", flag(stattests.engle_granger(rows, lag=1), "statistic", "p_value", "cointegrated")),
+        ("half_life", stattests.half_life(rows, "ratio").select("pair_id", "half_life")),
+        *[("spread", label(x, "label", "instrument")) for x in spreads],
+        ("spread_cost", spread.spread_cost(rows)),
+    ]
+    out = None
+    for name, df in every:
+        long = summary.research_summary({name: df})
+        out = long if out is None else out.unionByName(long)
+    return out
+
+
 def _concluded(s: SparkSession, d: str, cointegrated: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    rows = fx.daily_scored(s, d)
+    rows = written(fx.daily_scored(s, d))
     stats = correlation.correlation_statistics(correlation.rolling_correlation(rows, (100,), pos="pos"), (100,)).select("pair_id", F.col("mean").alias("mean_corr"), "pct_over_05")
     best = leadlag.best_lag(leadlag.lead_lag(rows, pos="pos")).groupBy("pair_id").agg(F.max(F.when(F.col("direction") == "a_leads_b", F.col("correlation"))).alias("corr_ab"), F.max(F.when(F.col("direction") == "b_leads_a", F.col("correlation"))).alias("corr_ba"))
     z = ratio.residual_zscore_summary(rows).select("pair_id", F.col("std").alias("z_std"))
@@ -240,7 +326,7 @@ def _concluded(s: SparkSession, d: str, cointegrated: Callable[[DataFrame], Data
     facts = stats
     for x in (best, z, n, cointegrated(rows), half):
         facts = facts.join(x, "pair_id", "left")
-    both = [backtest.backtest_metrics(f(s, d), rows).select("pair_id", F.lit(name).alias("strategy"), "net_return", "profit_factor") for name, f in (("lead_lag", _b1), ("mean_reversion", _b2))]
+    both = [backtest.backtest_metrics(f(rows, pos="pos", **COSTS), rows).select("pair_id", F.lit(name).alias("strategy"), "net_return", "profit_factor") for name, f in (("lead_lag", backtest.lead_lag_trades), ("mean_reversion", backtest.mean_reversion_trades))]
     return summary.conclusions(facts, both[0].unionByName(both[1]))
 
 

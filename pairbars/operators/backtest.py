@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pairbars.functions.quantiles import with_quantiles
 from pairbars.functions.rolling import by, safe_div
 from pairbars.functions.work import written
-from pairbars.operators.chunks import in_chunks
+from pairbars.operators.chunks import CHUNK, in_chunks
 from pairbars.operators.select import greedy_select
 from pairbars.operators.spread import transaction_cost
 
@@ -71,22 +71,32 @@ def trade_gate(df: DataFrame, best: DataFrame, direction: str, least: float = 0.
     return df.join(best.filter((F.col("direction") == direction) & (F.col("correlation") > least)).select(*keys), list(keys), "left_semi")
 
 
-def equity_curve(trades: DataFrame, keys: Sequence[str] = PAIR) -> DataFrame:
+def _running(rows: DataFrame, keys: Sequence[str], value: Column, out: str, total: Callable[[Column | str], Column], both: Callable[[Column, Column], Column], chunk: int) -> DataFrame:
+    """A running ``total`` in order of ``pos``: within chunks of positions, and with ``both`` joined to that of all chunks before."""
+    rows = rows.withColumn("_part", F.floor(F.col("pos") / chunk)).withColumn("_value", value)
+    before = by(keys, "_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy(*keys, "_part").agg(total("_value").alias("_whole"))
+    parts = parts.select(*keys, "_part", total("_whole").over(before).alias("_before"))
+    here = total("_value").over(by([*keys, "_part"], "pos").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.join(parts, [*keys, "_part"]).withColumn(out, here)
+    return rows.withColumn(out, F.when(F.col("_before").isNull(), F.col(out)).otherwise(both(F.col(out), F.col("_before")))).drop("_part", "_value", "_before")
+
+
+def equity_curve(trades: DataFrame, keys: Sequence[str] = PAIR, chunk: int = CHUNK) -> DataFrame:
     """Running net result by trade order, its running maximum, and the drawdown from it."""
-    w = by(keys, "pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = trades.withColumn("equity", F.sum("net_pnl").over(w))
-    rows = rows.withColumn("peak", F.max("equity").over(w))
-    return rows.withColumn("drawdown", F.col("equity") - F.col("peak"))
+    rows = _running(trades, keys, F.col("net_pnl"), "equity", F.sum, lambda a, b: a + b, chunk)
+    rows = _running(rows, keys, F.col("equity"), "peak", F.max, F.greatest, chunk)
+    return rows.select(*trades.columns, "equity", "peak", (F.col("equity") - F.col("peak")).alias("drawdown"))
 
 
-def max_drawdown(trades: DataFrame, keys: Sequence[str] = PAIR) -> DataFrame:
-    return equity_curve(trades, keys).groupBy(*keys).agg(F.abs(F.min("drawdown")).alias("max_drawdown"))
+def max_drawdown(trades: DataFrame, keys: Sequence[str] = PAIR, chunk: int = CHUNK) -> DataFrame:
+    return equity_curve(trades, keys, chunk).groupBy(*keys).agg(F.abs(F.min("drawdown")).alias("max_drawdown"))
 
 
-def max_losing_run(trades: DataFrame, keys: Sequence[str] = PAIR) -> DataFrame:
+def max_losing_run(trades: DataFrame, keys: Sequence[str] = PAIR, chunk: int = CHUNK) -> DataFrame:
     """The longest run of trades that don't win; runs are numbered by the wins before them."""
-    wins = F.sum((F.col("net_pnl") > 0).cast("int")).over(by(keys, "pos").rowsBetween(Window.unboundedPreceding, 0))
-    runs = trades.withColumn("_run", wins).groupBy(*keys, "_run").agg(F.sum((F.col("net_pnl") <= 0).cast("long")).alias("n"))
+    rows = _running(trades, keys, (F.col("net_pnl") > 0).cast("long"), "_run", F.sum, lambda a, b: a + b, chunk)
+    runs = rows.groupBy(*keys, "_run").agg(F.sum((F.col("net_pnl") <= 0).cast("long")).alias("n"))
     return runs.groupBy(*keys).agg(F.max("n").alias("max_losing_run"))
 
 

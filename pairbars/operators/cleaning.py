@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairbars.functions.rolling import by
@@ -38,8 +38,10 @@ def drop_zero_price(bars: DataFrame, keys: Sequence[str] = SYMBOL, strict: bool
     if strict:
         return bars.filter(positive)
     zero = sum(((F.col(c) == 0).cast("int") for c in PRICES), F.lit(0))
-    has_zero = F.max(zero).over(Window.partitionBy(*keys))
-    return bars.withColumn("_zero", has_zero).filter((F.col("_zero") == 0) | positive).drop("_zero")
+    # one row for each key with a zero; a positive bar stays in either case
+    keys = list(keys)
+    with_zero = bars.filter(zero > 0).select(*keys).distinct().withColumn("_zero", F.lit(True))
+    return bars.join(with_zero, keys, "left").filter(F.col("_zero").isNull() | positive).select(bars.columns)
 
 
 def drop_invalid_ohlc(bars: DataFrame) -> DataFrame:
@@ -142,8 +144,8 @@ def quality_report(bars: DataFrame, keys: Sequence[str] = SYMBOL, arrival: str =
         F.count("*").alias("rows"), F.sum(_null_cells(bars, keys, arrival)).alias("nulls"), count(zero, "zeros"),
         count(whole & ~_valid(), "bad"), count(positive & ~_valid(), "bad_positive"), count(whole & _valid(), "kept"), count(positive & _valid(), "kept_positive"),
     )
-    has_zero = F.max("zeros").over(Window.partitionBy(*keys)) > 0
-    times = times.withColumn("_zero", has_zero).withColumn("_bad", F.when(F.col("_zero"), F.col("bad_positive")).otherwise(F.col("bad"))).withColumn("_kept", F.when(F.col("_zero"), F.col("kept_positive")).otherwise(F.col("kept")))
+    with_zero = times.filter("zeros > 0").select(*keys).distinct().withColumn("_zero", F.lit(True))
+    times = times.join(with_zero, keys, "left").withColumn("_bad", F.when(F.col("_zero"), F.col("bad_positive")).otherwise(F.col("bad"))).withColumn("_kept", F.when(F.col("_zero"), F.col("kept_positive")).otherwise(F.col("kept")))
     counts = times.groupBy(*keys).agg(F.sum("rows").alias("total_bars"), F.sum("nulls").alias("null_values"), F.sum("zeros").alias("zero_prices"), F.sum("_bad").alias("invalid_ohlc"), F.sum(F.greatest(F.col("_kept") - 1, F.lit(0))).alias("duplicates"))
     gaps = gap_list(missing_bars(times.filter("_kept > 0").select(*keys, "bar_ts"), step_seconds, keys), keys, listed, "missing_total", "gaps")
     out = counts.join(gaps, keys, "left").na.fill(0, ["missing_total"])

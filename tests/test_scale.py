@@ -247,3 +247,20 @@ def test_several_series_are_tested_in_one_plan(spark):
         assert (got[x].statistic, got[x].p_value, got[x].lag) == (one.statistic, one.p_value, one.lag)
     assert (got["none"].statistic, got["none"].p_value, got["none"].stationary) == (0.0, 1.0, False)
     assert got["noise"].stationary and not got["walk"].stationary
+
+
+@pytest.mark.parametrize("chunk", [3, 50, 10_000])
+def test_running_results_in_chunks(spark, chunk):
+    rng = np.random.default_rng(6)
+    pos = np.sort(rng.choice(2_000, 300, replace=False))
+    net = rng.normal(size=300).round(3)
+    trades = spark.createDataFrame(pd.DataFrame({"pair_id": "P", "pos": pos, "net_pnl": net})).repartition(4)
+    got = backtest.equity_curve(trades, chunk=chunk).orderBy("pos").toPandas()
+    equity = net.cumsum()
+    assert got["equity"].tolist() == pytest.approx(equity.tolist()) and got["peak"].tolist() == pytest.approx(np.maximum.accumulate(equity).tolist())
+    assert backtest.max_drawdown(trades, chunk=chunk).first().max_drawdown == pytest.approx((np.maximum.accumulate(equity) - equity).max())
+    longest = run = 0
+    for x in net:
+        run = 0 if x > 0 else run + 1
+        longest = max(longest, run)
+    assert backtest.max_losing_run(trades, chunk=chunk).first().max_losing_run == longest
