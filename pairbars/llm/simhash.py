@@ -148,8 +148,10 @@ def close_links(nodes: DataFrame, distance: int = 3, blocks: int = 5, bucket: in
     spark = nodes.sparkSession
     masks = block_masks(blocks, distance)
     keys = nodes.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)])).alias("k")).select("fp", "k.t", "k.key")
-    shared = keys.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    candidates = written(keys.join(shared, ["t", "key"]), work_dir(spark), "candidates")
+    where = work_dir(spark)
+    # written before the join, so that both sides are shuffles and a key of millions of fingerprints can be split
+    shared = written(keys.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1"), where, "shared")
+    candidates = written(keys.join(shared, ["t", "key"]), where, "candidates")
     links = _links(candidates.filter(F.col("n") <= bucket), distance)
     large = candidates.filter(F.col("n") > bucket)
     if large.isEmpty():
