@@ -357,8 +357,19 @@ def _read(texts: list[str], group: list[tuple[int, int, int]], net: Network, fou
                     found[i].append((int(kinds[s]), offset + a, offset + b))
 
 
+def refused(text: str, kind: int, start: int, end: int) -> bool:
+    """True for a span that a base rule has looked at and left out: part of a match that failed its check, or a card number by no check digit or length."""
+    if kind == 0:
+        return False
+    if kind == 2:
+        digits = _NOT_DIGITS.sub("", text[start:end])
+        if not (13 <= len(digits) <= 19 and _luhn(digits)):
+            return True
+    return any(m.start() <= start and end <= m.end() for m in {1: _IP, 2: _CARD, 3: _PHONE}[kind].finditer(text))
+
+
 def all_spans(texts: list[str], net: Network | None) -> list[list[tuple[int, int, int, bool]]]:
-    """Base spans, and the network's where they meet none of those; with a mark for base. By kind, then start."""
+    """Base spans, and the network's where they meet none of those and no base rule has refused them; with a mark for base. By kind, then start."""
     out = []
     added = network_spans(texts, net) if net else [[] for _ in texts]
     for text, more in zip(texts, added, strict=True):
@@ -368,7 +379,7 @@ def all_spans(texts: list[str], net: Network | None) -> list[list[tuple[int, int
             for _, a, b, _ in spans:
                 taken[a:b] = True
             for kind, a, b in more:
-                if b - a >= SHORTEST and not taken[a:b].any():
+                if b - a >= SHORTEST and not taken[a:b].any() and not refused(text, kind, a, b):
                     spans.append((kind, a, b, False))
                     taken[a:b] = True
         out.append(sorted(spans))

@@ -491,3 +491,16 @@ def test_rules_sample_is_bounded_for_any_ids(spark):
     assert got.count() == 50 == got.distinct().count()
     assert rules.sampled(table, 10_000).count() == table.distinct().count()
     assert rules.judge(table, sample_rows=50).count() == 5000
+
+
+def test_pii_adds_nothing_that_a_base_rule_refused():
+    net = pii.Network.fresh(4, 1)
+    texts = ["card 4845168114407328 here", "no 007592323165 card", "ip 10.0.0.300 and 10.0.0.1", "call +12 34 now", "4111.1111.1111.1111", "4111.1111.1111.1112"]
+    spans = {t: [(k, t.index(x), t.index(x) + len(x)) for k, x in found] for t, found in zip(texts, ([(2, "4845168114407328")], [(2, "007592323165")], [(1, "10.0.0.300")], [(3, "+12 34")], [(2, "4111.1111.1111.1111")], [(2, "4111.1111.1111.1112")]), strict=True)}
+    whole, pii.network_spans = pii.network_spans, lambda texts, net: [spans[t] for t in texts]
+    try:
+        got = pii.all_spans(texts, net)
+    finally:
+        pii.network_spans = whole
+    assert [[s for s in x if not s[3]] for x in got] == [[], [], [], [], [(2, 0, 19, False)], []]
+    assert [len(x) for x in got] == [0, 0, 1, 0, 1, 0]
