@@ -291,12 +291,14 @@ def _report(s: SparkSession, d: str) -> DataFrame:
     named = lambda df, name: df.withColumn("item", F.lit(name))
     flag = lambda df, *columns: df.select("pair_id", *[F.col(c).cast("double").alias(c) for c in columns])
     found = regimes.regime_table(rows)
-    spreads = [spread.spread_stats(rows.withColumn("label", F.lit("all") if g is None else F.col(g)), ["label"]) for g in (None, "session", "volatility_regime")]
+    correlations = written(correlation.rolling_correlation(rows, pos="pos").select("pair_id", *[f"corr_{w}" for w in correlation.WINDOWS]))
+    # all bars, their session and their regime in one pass
+    labelled = rows.select("pair_id", "a_spread", "b_spread", F.explode(F.array(F.lit("all"), "session", "volatility_regime")).alias("label"))
     slices = written(walkforward.walkforward_slices(rows, walkforward.walkforward_windows(rows, min_train=300)))
     strategies = {"lead_lag": backtest.lead_lag_trades(rows, pos="pos", **COSTS), "mean_reversion": backtest.mean_reversion_trades(rows, pos="pos", **COSTS)}
     every = [
         ("dataset", sync.sync_report(bars, step_seconds=86_400).select("pair_id", "matched", "a_unmatched", "b_unmatched")),
-        ("correlation", label(correlation.correlation_statistics(correlation.rolling_correlation(rows, pos="pos")), "window")),
+        ("correlation", label(correlation.correlation_statistics(correlations), "window")),
         ("ratio", ratio.ratio_summary(rows)), ("beta", ratio.beta_summary(rows)), ("residual_zscore", ratio.residual_zscore_summary(rows)),
         ("lead_lag", label(leadlag.best_lag(leadlag.lead_lag(rows, pos="pos")), "direction")),
         ("regimes", label(found, "grouping", "label")),
@@ -306,7 +308,7 @@ def _report(s: SparkSession, d: str) -> DataFrame:
         ("stationarity", named(flag(stattests.adf_test(rows, "ratio", lag=1), "statistic", "p_value", "stationary"), "ratio")),
         ("cointegration", flag(stattests.engle_granger(rows, lag=1), "statistic", "p_value", "cointegrated")),
         ("half_life", stattests.half_life(rows, "ratio").select("pair_id", "half_life")),
-        *[("spread", label(x, "label", "instrument")) for x in spreads],
+        ("spread", label(spread.spread_stats(labelled, ["label"]), "label", "instrument")),
         ("spread_cost", spread.spread_cost(rows)),
     ]
     out = None
