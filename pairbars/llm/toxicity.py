@@ -10,7 +10,10 @@ which weights that only add up cannot.
 
 Every term of the training texts keeps parameters in a table of ``BUCKETS`` hashes,
 whichever class it speaks for. How fast a term learns follows the evidence for it:
-the number of texts with it, and its association (chi-square) with either class.
+the number of texts with it, and its association (chi-square) with either class, or
+that of a pair which it is half of with what weights alone leave unexplained. So two
+words are learnt that are each as common in either class and tell only together. Pairs
+are tested among the ``PAIRED`` terms that vary most; other terms go by their own evidence.
 
 Edge cases: null and empty texts have no terms and get the score of the bias;
 with no labelled rows, or one class only, every score is that of the prior;
@@ -42,6 +45,10 @@ SHARED = 4
 BUCKETS = 1 << 20
 THRESHOLD = 0.3
 REMEMBERED = 300_000
+#: Terms whose pairs are tested, those that vary most: memory is some numbers for each two of them.
+PAIRED = 2_000
+#: Texts that are laid out over these terms at once.
+ROWS = 512
 _EDGES = re.compile(rb"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
 _known: dict[bytes, tuple[int, int]] = {}
@@ -99,14 +106,46 @@ class Machine:
 def evidence(docs: np.ndarray, ones: np.ndarray, n: int, positive: float) -> np.ndarray:
     """From 0 to 1: how sure it is that a term in ``docs`` of ``n`` rows, ``ones`` of them positive, speaks for a class."""
     rate = positive / n
-    chi = (ones - docs * rate) ** 2 / (docs * rate * (1 - rate))
-    return (docs / (docs + 10) * chi / (chi + 30)) ** 2
+    return _sure(docs, (ones - docs * rate) ** 2 / (docs * rate * (1 - rate)), 30)
+
+
+def _sure(docs: np.ndarray, chi: np.ndarray, half: float) -> np.ndarray:
+    return (docs / (docs + 10) * chi / (chi + half)) ** 2
+
+
+def pair_evidence(at: np.ndarray, row: np.ndarray, n: int, docs: np.ndarray, residual: np.ndarray, variance: np.ndarray, terms: int = PAIRED) -> np.ndarray:
+    """From 0 to 1 for each term: how sure it is that its best pair explains what the weights leave.
+
+    A score test of each pair: its summed residual squared, over its summed variance.
+    ``at`` and ``row`` are term and row of each entry, rows in order. Chance makes the best of
+    so many pairs large, hence only what lies over twice the logarithm of their number counts.
+    """
+    chosen = np.sort(np.argsort(-(docs * (1.0 - docs / n)), kind="stable")[:terms])
+    where = np.full(len(docs), -1, np.int32)
+    where[chosen] = np.arange(len(chosen))
+    mine = np.flatnonzero(where[at] >= 0)
+    column, row = where[at[mine]], row[mine]
+    left, spread, both = (np.zeros((len(chosen), len(chosen)), np.float32) for _ in range(3))
+    cuts = np.searchsorted(row, np.arange(0, n + ROWS, ROWS))
+    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        x = np.zeros((min(ROWS, n - k * ROWS), len(chosen)), np.float32)
+        x[row[a:b] - k * ROWS, column[a:b]] = 1
+        part = slice(k * ROWS, k * ROWS + len(x))
+        both += x.T @ x
+        left += x.T @ (x * residual[part, None])
+        spread += x.T @ (x * variance[part, None])
+    chi = left * left / (spread + 1) - 2 * np.log(len(chosen) ** 2 / 2 + 1)
+    np.fill_diagonal(chi, 0)
+    out = np.zeros(len(docs))
+    out[chosen] = _sure(both, np.maximum(chi, 0), 30).max(axis=1)
+    return out
 
 
 def fit(found: list[np.ndarray], y: np.ndarray, k: int = 4, rounds: int = 60, rate: float = 0.2, decay: float = 2e-4, seed: int = 7) -> Machine:
     """Log loss by Adam over all rows at once; rows come in a fixed order, so the result is the same on every run.
 
-    Memory: some five numbers of four bytes for each term of each row.
+    Weights alone are fitted first; the pairs that explain what these leave give their
+    terms a pace too. Memory: some five numbers of four bytes for each term of each row.
     """
     n = len(y)
     prior = (y.sum() + 1) / (n + 2)
@@ -122,33 +161,42 @@ def fit(found: list[np.ndarray], y: np.ndarray, k: int = 4, rounds: int = 60, ra
     m, full = len(kept), np.flatnonzero(counts)  # rows with a term
     starts = np.cumsum(counts[full]) - counts[full]
     by_term = np.argsort(at, kind="stable")
-    place = np.repeat(np.arange(len(full), dtype=np.int32), counts[full])[by_term]
+    row = np.repeat(np.arange(len(full), dtype=np.int32), counts[full])
+    place = row[by_term]
     del by_term
     docs, y_full = docs[kept], y[full]
     term_starts = np.cumsum(docs) - docs
     ones = np.add.reduceat(y_full.astype(np.float32)[place], term_starts)
-    pace = (rate * evidence(docs, ones, n, float(y.sum()))).astype(np.float32)
-    # the weights, then one row for each factor
+    sure = evidence(docs, ones, n, float(y.sum()))
+
+    def learnt(p: np.ndarray, bias: float, pace: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+        """The parameters (weights, then one row for each factor), the bias and the rows' scores."""
+        a, b, grad = np.zeros_like(p), np.zeros_like(p), np.empty_like(p)
+        for t in range(1, rounds + 1):
+            margin = bias + np.add.reduceat(p[0][at], starts)
+            sums = []
+            for factor in p[1:]:
+                v = factor[at]
+                sums.append(np.add.reduceat(v, starts))
+                v *= v
+                margin += 0.5 * (sums[-1] ** 2 - np.add.reduceat(v, starts))
+            scores = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
+            g = ((scores - y_full) / n).astype(np.float32)
+            grad[0] = np.add.reduceat(g[place], term_starts)
+            for j, total in enumerate(sums, 1):
+                # d margin / d factor of a term in a row: the sum of the row's factors without its own
+                grad[j] = np.add.reduceat((g * total)[place], term_starts) - grad[0] * p[j]
+            bias -= 10 * rate * float(g.sum())
+            grad += decay / 10 * p
+            a += 0.1 * (grad - a)
+            b += 0.01 * (grad * grad - b)
+            p -= pace * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.99**t)) + 1e-6)
+        return p, bias, scores
+
+    alone = learnt(np.zeros((1, m), np.float32), bias, (rate * sure).astype(np.float32))[2]
+    joint = pair_evidence(at, row, len(full), docs, (y_full - alone).astype(np.float32), (alone * (1 - alone)).astype(np.float32))
     p = np.vstack([np.zeros((1, m)), np.random.default_rng(seed).normal(0, 0.01, (k, m))]).astype(np.float32)
-    a, b, grad = np.zeros_like(p), np.zeros_like(p), np.empty_like(p)
-    for t in range(1, rounds + 1):
-        margin = bias + np.add.reduceat(p[0][at], starts)
-        sums = []
-        for factor in p[1:]:
-            v = factor[at]
-            sums.append(np.add.reduceat(v, starts))
-            v *= v
-            margin += 0.5 * (sums[-1] ** 2 - np.add.reduceat(v, starts))
-        g = ((1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y_full) / n).astype(np.float32)
-        grad[0] = np.add.reduceat(g[place], term_starts)
-        for j, total in enumerate(sums, 1):
-            # d margin / d factor of a term in a row: the sum of the row's factors without its own
-            grad[j] = np.add.reduceat((g * total)[place], term_starts) - grad[0] * p[j]
-        bias -= 10 * rate * float(g.sum())
-        grad += decay / 10 * p
-        a += 0.1 * (grad - a)
-        b += 0.01 * (grad * grad - b)
-        p -= pace * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.99**t)) + 1e-6)
+    p, bias, _ = learnt(p, bias, (rate * np.maximum(sure, joint)).astype(np.float32))
     return Machine(kept, bias, np.append(p[0], np.float32(0)), np.vstack([p[1:].T, np.zeros((1, k), np.float32)]))
 
 

@@ -453,6 +453,36 @@ def test_toxicity_learns_pairs(spark, empty):
     assert all(0 <= r.score <= 1 and not (r.doc_id is None and r.held_out) for r in toxicity.score(nulls, model).collect())
 
 
+def _auc(scores, y):
+    """How often a positive row is over a negative one; ties count half."""
+    above = scores[y == 1][:, None] - scores[y == 0][None, :]
+    return (above > 0).mean() + 0.5 * (above == 0).mean()
+
+
+@pytest.mark.parametrize("rule", [lambda a, b: a != b, lambda a, b: a == b, lambda a, b: a and b])
+def test_toxicity_learns_pairs_of_words_that_tell_nothing_alone(rule):
+    rng = np.random.default_rng(5)
+    filler = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}{i}" for i in range(400)]
+    texts, y = [], []
+    for _ in range(4000):
+        a, b = (int(x) for x in rng.random(2) < 0.5)
+        texts.append(" ".join(rng.permutation([*rng.choice(filler, 30), *["maple"] * a, *["copper"] * b])))
+        y.append(float(rule(a, b)))
+    found, y = toxicity.terms(texts), np.array(y)
+    model = toxicity.fit(found[:3000], y[:3000])
+    assert _auc(model.margin(found[3000:]), y[3000:]) > 0.95
+
+
+def test_pair_evidence_of_chance_is_small():
+    rng = np.random.default_rng(6)
+    x = rng.random((3000, 300)) < 0.2
+    row, at = np.nonzero(x)
+    y = rng.random(3000) < 0.3
+    args = at, row, 3000, x.sum(0), (y - 0.3).astype(np.float32), np.full(3000, 0.21, np.float32)
+    assert toxicity.pair_evidence(*args).max() < 0.1
+    assert (toxicity.pair_evidence(*args, terms=10) > 0).sum() <= 10
+
+
 def test_toxicity_margin_is_the_sum_over_pairs():
     rng = np.random.default_rng(3)
     kept = np.sort(rng.choice(1000, 40, replace=False))
