@@ -7,17 +7,21 @@ missed. Documents and items are joined on these fingerprints, then each match is
 extended word by word to both sides; it is a hit if it reaches ``WINDOW`` words.
 Items of fewer words are one window each: their fingerprint is the whole item.
 
-The benchmark's fingerprints are broadcast while they are few (counted first);
-beyond ``BROADCAST_ROWS`` they are joined by a shuffle.
+The benchmark's fingerprints are broadcast while they are few (counted first). A text
+then is read once for all its matches: places whose hash passes a sieve of bits and is
+the smallest of a window go on with the words about them, and meet the benchmark
+there, so no text is shuffled. Beyond ``BROADCAST_ROWS`` fingerprints are joined by a
+shuffle, and so are the texts that hold some.
 
 Edge cases: null and empty texts have no words, so no hits, and an item without
 words is never hit; a null item_id can hit but is not listed; repeated items and
-documents count as often as they occur. Of equal texts with a shared fingerprint one
-is extended.
+documents count as often as they occur.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +30,8 @@ from pairbars.llm.work import work_dir, written
 WINDOW = 13
 K = 8
 BROADCAST_ROWS = 200_000
+#: Bits of the sieve; it lets through one place in five that doesn't match, at most.
+SIEVE = 1 << 20
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # what no word holds, once ASCII letters are in lower case
 BETWEEN = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -67,20 +73,97 @@ def _places(kind: int, wanted: str | None) -> Column:
     placed = F.transform("grams", lambda x, i: F.struct(x.alias("fp"), i.alias("p")))
     if wanted:
         placed = F.filter(placed, lambda s: F.array_contains(wanted, s["fp"]))
-    about = F.sequence(F.lit(-_reach(kind)), F.lit(_length(kind) + _reach(kind) - 1))
-    return F.transform(placed, lambda s: F.struct(s["fp"].alias("fp"), s["p"].alias("p"), F.transform(about, lambda j: F.get("words", s["p"] + j)).alias("about")))
+    return F.transform(placed, lambda s: F.struct(s["fp"].alias("fp"), s["p"].alias("p"), _about(kind, s["p"]).alias("about")))
+
+
+def _about(kind: int, p: Column) -> Column:
+    """The words from ``_reach`` before a place to ``_reach`` after its fingerprint."""
+    return F.transform(F.sequence(F.lit(-_reach(kind)), F.lit(_length(kind) + _reach(kind) - 1)), lambda j: F.get("words", p + j))
+
+
+def _run(holds: Callable[[int], Column], most: int) -> Column:
+    """How many of ``holds(1)``, ``holds(2)`` … are true before the first that is not."""
+    out = F.when(F.lit(False), F.lit(0))
+    for j in range(most):
+        out = out.when(~F.coalesce(holds(j + 1), F.lit(False)), F.lit(j))
+    return out.otherwise(F.lit(most))
+
+
+def _extended() -> tuple[Column, Column]:
+    """The words [a, b) of a match, extended to both sides if it is winnowed; null if the words differ."""
+    reach = _reach(0)
+    same = lambda j: F.get("about", F.lit(j)) == F.get("item_about", F.lit(j))
+    core = F.slice("about", reach + 1, K) == F.slice("item_about", reach + 1, K)
+    whole = F.when(F.col("about") == F.col("item_about"), F.col("p"))
+    a = F.when(core, F.col("p") - _run(lambda j: same(reach - j), reach))
+    b = F.when(core, F.col("p") + K + _run(lambda j: same(reach + K - 1 + j), reach))
+    winnowed = F.col("kind") == 0
+    return F.when(winnowed, a).otherwise(whole), F.when(winnowed, b).otherwise(whole + F.col("kind"))
+
+
+def _sieve(marks: DataFrame) -> Callable[[Column], Column]:
+    """Whether a hash may be one of those marked: a bit for each, ``SIEVE`` bits for all in one literal."""
+    bit = F.col("fp").bitwiseAND(F.lit(SIEVE - 1))
+    rows = marks.groupBy(F.shiftright(bit, 6).cast("int").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
+    bits = ["0"] * (SIEVE // 64)
+    for r in rows.collect():  # at most SIEVE / 64 rows
+        bits[r["at"]] = str(r["bits"])
+    held = F.split(F.lit(",".join(bits)), ",").cast("array<bigint>")
+
+    def passes(fp: Column) -> Column:
+        low = fp.bitwiseAND(F.lit(SIEVE - 1))
+        return F.call_function("shiftrightunsigned", F.get(held, F.shiftright(low, 6).cast("int")), low.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    return passes
+
+
+def _in_place(texts: DataFrame, marks: DataFrame, kinds: list[int]) -> DataFrame:
+    """Places of the texts that share a fingerprint with the few ``marks``, in one narrow pass."""
+    passes = _sieve(marks)
+    rows = texts.select("key", words_of(F.col("text")).alias("words")).withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    rows = rows.withColumns({f"grams{kind}": _grams("hashes", _length(kind)) for kind in kinds})
+
+    def places(kind: int) -> Column:
+        grams = f"grams{kind}"
 
+        def chosen(s: Column) -> Column:
+            if kind:
+                return passes(s["fp"])
+            # the smallest of a window: the run of grams about it that are not smaller is as long as one
+            before = _run(lambda j: F.get(grams, s["p"] - j) >= s["fp"], WINDOW - K)
+            after = _run(lambda j: F.get(grams, s["p"] + j) >= s["fp"], WINDOW - K)
+            return passes(s["fp"]) & (before + after >= WINDOW - K)
 
-def _extended(kind: int) -> tuple[Column, Column]:
-    """How many words agree to the left and to the right of a match; null if the match itself doesn't."""
-    reach, k = _reach(kind), _length(kind)
-    same = lambda j: F.coalesce(F.get("about", F.lit(j)) == F.get("item_about", F.lit(j)), F.lit(False))
-    left, right = F.when(F.lit(False), F.lit(0)), F.when(F.lit(False), F.lit(0))
-    for j in range(reach):
-        left = left.when(~same(reach - 1 - j), F.lit(j))
-        right = right.when(~same(reach + k + j), F.lit(j))
-    match = F.slice("about", reach + 1, k) == F.slice("item_about", reach + 1, k)
-    return F.when(match, left.otherwise(F.lit(reach))), F.when(match, right.otherwise(F.lit(reach)))
+        placed = F.filter(F.transform(grams, lambda x, i: F.struct(x.alias("fp"), i.alias("p"))), chosen)
+        return F.transform(placed, lambda s: F.struct(F.lit(kind).alias("kind"), s["fp"].alias("fp"), s["p"].alias("p"), _about(kind, s["p"]).alias("about")))
+
+    return rows.select("key", F.inline(F.concat(*map(places, kinds)))).join(F.broadcast(marks), ["kind", "fp"])
+
+
+def _by_shuffle(texts: DataFrame, marks: DataFrame, kinds: list[int], where: str) -> DataFrame:
+    """The same for any number of ``marks``: texts that share a fingerprint are found first, then one of each is read for its places."""
+    hashes = texts.select("key", words_of(F.col("text")).alias("words")).select("key", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    parts = []
+    for kind in kinds:
+        grams = hashes.select("key", _grams("hashes", _length(kind)).alias("grams"))
+        if not kind:
+            grams = grams.select("key", _smallest("grams", WINDOW - K + 1).alias("grams"))
+        own = marks.filter(F.col("kind") == kind).select("fp").distinct()
+        parts.append(grams.select("key", F.explode(F.array_distinct("grams")).alias("fp")).join(own, "fp").select("key", F.lit(kind).alias("kind"), "fp"))
+    # for each text at most as many as the benchmark has
+    found = _union(parts).groupBy("key").agg(F.collect_set(F.struct("kind", "fp")).alias("fps"))
+    found = written(found, where, "found")
+
+    # one text of each key, chosen before the shuffle; what is found grows with the documents, so it is never broadcast
+    once = texts.select("key", "text").dropDuplicates(["key"])
+    hit = once.join(found.hint("merge"), "key").select("key", "fps", words_of(F.col("text")).alias("words"))
+    hit = hit.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    parts = []
+    for kind in kinds:
+        part = hit.withColumn("grams", _grams("hashes", _length(kind))).withColumn("wanted", _of_kind(kind))
+        part = part.select("key", F.lit(kind).alias("kind"), F.inline(_places(kind, "wanted")))
+        parts.append(part.join(marks.filter(F.col("kind") == kind), ["kind", "fp"]))
+    return _union(parts)
 
 
 def entries(items: DataFrame) -> DataFrame:
@@ -110,37 +193,18 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     spark = docs.sparkSession
     where = work_dir(spark)
     marks = written(entries(items), where, "entries")
-    small = F.broadcast if marks.count() <= BROADCAST_ROWS else (lambda df: df)
     kinds = sorted(r.kind for r in marks.select("kind").distinct().collect())  # at most WINDOW numbers
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.md5(text.cast("binary")).alias("key"))
     if not kinds:
         return texts.select("doc_id", F.size(words_of(F.col("text"))).cast("long").alias("n_words"), *_no_hits())
 
-    hashes = texts.select("key", words_of(F.col("text")).alias("words")).select("key", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
-    parts = []
-    for kind in kinds:
-        grams = hashes.select("key", _grams("hashes", _length(kind)).alias("grams"))
-        if not kind:
-            grams = grams.select("key", _smallest("grams", WINDOW - K + 1).alias("grams"))
-        own = small(marks.filter(F.col("kind") == kind).select("fp").distinct())
-        parts.append(grams.select("key", F.explode(F.array_distinct("grams")).alias("fp")).join(own, "fp").select("key", F.lit(kind).alias("kind"), "fp"))
-    # for each text at most as many as the benchmark has
-    found = _union(parts).groupBy("key").agg(F.collect_set(F.struct("kind", "fp")).alias("fps"))
-    found = written(found, where, "found")
-
-    # one text of each key, chosen before the shuffle; what is found grows with the documents, so it is never broadcast
-    once = texts.select("key", "text").dropDuplicates(["key"])
-    hit = once.join(found.hint("merge"), "key").select("key", "fps", words_of(F.col("text")).alias("words"))
-    hit = hit.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
-    parts = []
-    for kind in kinds:
-        left, right = _extended(kind)
-        part = hit.withColumn("grams", _grams("hashes", _length(kind))).withColumn("wanted", _of_kind(kind))
-        part = part.select("key", F.inline(_places(kind, "wanted"))).join(small(marks.filter(F.col("kind") == kind)), "fp")
-        part = part.select("key", "item_id", (F.col("p") - left).alias("a"), (F.col("p") + _length(kind) + right).alias("b"))
-        parts.append(part.filter(F.col("b") - F.col("a") >= (kind or WINDOW)))
-    spans = _union(parts).groupBy("key").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
+    few = marks.count() <= BROADCAST_ROWS
+    shared = _in_place(texts, marks, kinds) if few else _by_shuffle(texts, marks, kinds, where)
+    a, b = _extended()
+    matches = shared.select("key", "item_id", "kind", a.alias("a"), b.alias("b"))
+    matches = matches.filter(F.col("b") - F.col("a") >= F.when(F.col("kind") == 0, WINDOW).otherwise(F.col("kind")))
+    spans = matches.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),

@@ -369,7 +369,9 @@ def test_rules_symbols_and_verdict(spark):
         assert got[i].kept == (not got[i].base_failed and not bad), t
 
 
-def test_contamination(spark, docs, texts, empty):
+@pytest.mark.parametrize("broadcast", [contamination.BROADCAST_ROWS, 0])
+def test_contamination(spark, docs, texts, empty, monkeypatch, broadcast):
+    monkeypatch.setattr(contamination, "BROADCAST_ROWS", broadcast)
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
     items = [(1, texts[5][100:400]), (2, None), (3, "!!"), (4, texts[15]), (10, "then once"), (11, " ".join(words(texts[20])[2:10])), (12, texts[16] + " unseen words follow here"), (None, texts[17])]
     bench = spark.createDataFrame(items, "item_id long, text string")
