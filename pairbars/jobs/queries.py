@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairbars.functions.rolling import rounded
+from pairbars.functions.work import work_dir
 from pairbars.jobs import fixtures as fx
 from pairbars.jobs.sql import BAR, SESSION, bars, corr, full, part, r, rs, sql, win
 from pairbars.operators import cleaning, correlation, features, leadlag, ratio, regimes, spread, sync
@@ -66,6 +67,19 @@ query("s5_coarser", sql("bars", f"""SELECT {_SOME} FROM (SELECT symbol, date_tru
   sum(tick_volume)::BIGINT AS tick_volume, max(spread) AS spread, sum(real_volume)::BIGINT AS real_volume FROM bars GROUP BY symbol, date_trunc('month', bar_ts))"""))(lambda s, d: src.coarser(fx.daily(s, d), "MN1"))
 
 
+@query("s1_read_bars_files", sql("bars", f"SELECT format, {_SOME} FROM bars, (VALUES ('csv'), ('parquet')) t(format)"))
+def _s1_files(s: SparkSession, d: str) -> DataFrame:
+    """The daily bars as files of both formats below the shared folder, each bar twice, read by the declared schema."""
+    where = work_dir(s)
+    rows = fx.daily(s, d).withColumn("time", F.unix_timestamp(F.col("bar_ts").cast("timestamp")))
+    rows = rows.select([F.col(c.split()[0]).cast(c.split()[1]) for c in src.BAR_SCHEMA.split(", ")])
+    rows = rows.unionByName(rows)
+    rows.write.parquet(f"{where}/parquet")
+    rows.write.option("header", True).csv(f"{where}/csv")
+    each = [src.read_bars(s, f"{where}/{fmt}", fmt).select(F.lit(fmt).alias("format"), *["symbol", "bar_ts", *src.PRICES, "tick_volume", "spread", "real_volume"]) for fmt in ("csv", "parquet")]
+    return each[0].unionByName(each[1])
+
+
 @query("s6_write_dataset", sql("pb0", f"SELECT format, pair_id, bar_ts, {rs('a_close', 'b_close')} FROM pb0, (VALUES ('csv'), ('parquet')) t(format)"))
 def _s6(s: SparkSession, d: str) -> DataFrame:
     """Written to a new folder below the shared one, and read again."""

@@ -10,7 +10,7 @@ import pytest
 import __spark_entry__ as entry
 
 DIR = "/root/testdata/sf0.001"
-NAMES = ["s1_read_bars", "s4_resolve_symbols", "s5_resample_w1", "s6_write_dataset", "c5_infer_frequency", "c7_quality_report", "c8_clean_bars", "j3_sync_report", "f3_ema", "f6_adx", "f10_volatility_regime", "r3_regime_table", "k2_rolling_spearman", "k6_correlation_stability", "l2_best_lag", "t3_ratio_percentile", "t7_residual_zscore", "e1_detect_divergences", "e7_ratio_reversion", "x1_adf_one_lag", "x2_engle_granger_one_lag", "wf4_parameter_search", "f8_add_features", "p3_spread_by_hour", "x3_half_life", "b2_mean_reversion_trades", "b4_backtest_metrics", "y4_return_histogram"]
+NAMES = ["s1_read_bars", "s1_read_bars_files", "s4_resolve_symbols", "s5_resample_w1", "s6_write_dataset", "c5_infer_frequency", "c7_quality_report", "c8_clean_bars", "j3_sync_report", "f3_ema", "f6_adx", "f10_volatility_regime", "r3_regime_table", "k2_rolling_spearman", "k6_correlation_stability", "l2_best_lag", "t3_ratio_percentile", "t7_residual_zscore", "e1_detect_divergences", "e7_ratio_reversion", "x1_adf_one_lag", "x2_engle_granger_one_lag", "wf4_parameter_search", "f8_add_features", "p3_spread_by_hour", "x3_half_life", "b2_mean_reversion_trades", "b4_backtest_metrics", "y4_return_histogram"]
 
 
 def same(frame, cols):
