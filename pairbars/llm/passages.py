@@ -28,27 +28,34 @@ from pairbars.llm.work import removed, work_dir, written
 
 LENGTH = 51
 Q = 13
-PIECE = 1 << 17
-_TABLE = np.random.default_rng(21).integers(0, 1 << 63, (2, 256 * 64), dtype=np.uint64)
+PIECE = 1 << 14
+_ODD = np.random.default_rng(21).integers(1, 1 << 63, (2, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def word_ids(data: np.ndarray, stops: np.ndarray) -> tuple[Ids, np.ndarray]:
     """Identifiers of the words of texts end to end, and the numbers of words up to the texts' ends."""
-    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
-    cut = np.zeros(len(data) + 1, bool)
-    cut[0] = cut[stops] = True
-    before, after = np.append(False, inside[:-1]), np.append(inside[1:], False)
-    starts = np.flatnonzero(inside & (~before | cut[:-1]))
-    ends = np.flatnonzero(inside & (~after | cut[1:])) + 1
+    inside = (data != 32) & (data - np.uint8(9) > 4)
+    begins, finals = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    finals[:-1] &= ~inside[1:]
+    for edge, at in ((begins, stops[stops < len(data)]), (finals, stops[stops > 0] - 1)):
+        edge[at] = inside[at]
+    starts, ends = np.flatnonzero(begins), np.flatnonzero(finals) + 1
     ids = [np.empty(len(starts), np.uint64) for _ in range(2)]
+    padded = np.append(data, np.zeros(8, np.uint8))
+    eights = np.ndarray((len(data),), "<u8", padded, strides=(1,))  # the eight bytes from every place
     for s in range(0, len(starts), PIECE):
-        a, n = starts[s : s + PIECE], ends[s : s + PIECE] - starts[s : s + PIECE]
-        first = np.cumsum(n) - n
-        place = np.arange(n.sum()) - np.repeat(first, n)
-        at = data[np.repeat(a, n) + place].astype(np.int64) * 64 + (place & 63)
-        block = (2 * (place >> 6) + 1).astype(np.uint64)
+        begin, n = starts[s : s + PIECE], ends[s : s + PIECE] - starts[s : s + PIECE]
+        parts = (n + 7) // 8
+        first = np.cumsum(parts) - parts
+        place = np.arange(parts.sum()) - np.repeat(first, parts)
+        part = eights[np.repeat(begin, parts) + 8 * place]
+        last = first + parts - 1
+        part[last] &= np.uint64(2**64 - 1) >> (8 * (8 * parts - n)).astype(np.uint64)
+        place = place.astype(np.uint64)
         for lane in range(2):
-            ids[lane][s : s + PIECE] = mixed(np.add.reduceat(_TABLE[lane][at] * block, first) + n.astype(np.uint64), lane)
+            x = mixed(part * _ODD[lane, 0] + place * _ODD[lane, 1], lane)
+            ids[lane][s : s + PIECE] = mixed(np.add.reduceat(x, first) + n.astype(np.uint64), lane)
     return ids, np.searchsorted(starts, stops)
 
 

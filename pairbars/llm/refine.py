@@ -14,7 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SEGMENT = 1 << 14
+SEGMENT = 1 << 15
+#: Bytes that are kept or left out together where only some strings are asked for.
+BLOCK = 64
 #: Bytes of whole texts that a task works through at once.
 AT_ONCE = 1 << 20
 _PLACE = np.uint64((1 << 28) - 1)
@@ -76,21 +78,20 @@ def anchors(data: np.ndarray, stops: np.ndarray, length: int, q: int, bucket: Ca
     """Anchor places, first and last start of the strings that have them, and the anchors' buckets, of texts end to end that stop at ``stops``."""
     places, firsts, lasts, found = [], [], [], []
     width = length - q + 1
+    sizes = np.diff(stops, prepend=0)
+    room = np.maximum(sizes - length + 1, 0)
+    fits = np.repeat(np.tile([True, False], len(sizes)), np.stack([room, sizes - room], axis=1).ravel())
     for s in range(0, max(0, len(data) - length + 1), SEGMENT):
         gram = bucket(data[s : s + SEGMENT + length - 1], q)
         n = len(gram)
-        order = (gram & ~_PLACE) | np.arange(n, dtype=np.uint64)
-        padded = np.full(-(-n // width) * width, np.iinfo(np.uint64).max, np.uint64)
-        padded[:n] = order
-        blocks = padded.reshape(-1, width)
-        before = np.minimum.accumulate(blocks, axis=1).ravel()
-        after = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-        starts = np.arange(n - width + 1)
-        inside = stops[np.searchsorted(stops, starts + s, side="right")] >= starts + s + length
-        starts = starts[inside]
+        starts = np.flatnonzero(fits[s : s + n - width + 1])
         if not len(starts):
             continue
-        place = (np.minimum(after[starts], before[starts + width - 1]) & _PLACE).astype(np.int64)
+        least, have = (gram & ~_PLACE) | np.arange(n, dtype=np.uint64), 1
+        while have < width:
+            step = min(have, width - have)
+            least, have = np.minimum(least[:-step], least[step:]), have + step
+        place = (least[starts] & _PLACE).astype(np.int64)
         cuts = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
         places.append(place[cuts] + s)
         firsts.append(starts[cuts] + s)
@@ -108,11 +109,24 @@ def _level(length: int) -> int:
     return 1 << (length.bit_length() - 1)
 
 
+def covered(data: np.ndarray, wanted: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, list[tuple[np.ndarray, int]]]:
+    """The blocks that strings (starts, length) cover, end to end, and the strings in them; a string's blocks stay neighbours."""
+    n = -(-len(data) // BLOCK)
+    change = np.zeros(n + 1, np.int64)
+    for starts, length in wanted:
+        change += np.bincount(starts // BLOCK, minlength=n + 1) - np.bincount((starts + length - 1) // BLOCK + 1, minlength=n + 1)
+    live = np.cumsum(change[:-1]) > 0
+    blocks = np.append(data, np.zeros(n * BLOCK - len(data), data.dtype)).reshape(n, BLOCK)
+    shift = (np.cumsum(live) - 1 - np.arange(n)) * BLOCK
+    return blocks[live].ravel(), [(starts + shift[starts // BLOCK], length) for starts, length in wanted]
+
+
 def at_places(data: np.ndarray, wanted: list[tuple[np.ndarray, int]]) -> list[Ids]:
     """The identifiers of strings (starts, length), each from the last level that is not longer than they are.
 
-    The levels are shared; only segments in which a string starts are worked through.
+    The levels are shared; only blocks of bytes that a string covers are worked through.
     """
+    data, wanted = covered(data, wanted)
     out = [[np.zeros(len(starts), np.uint64) for _ in range(2)] for starts, _ in wanted]
     own = [np.argsort(starts // SEGMENT, kind="stable") for starts, _ in wanted]
     cuts = [np.searchsorted(starts[order] // SEGMENT, np.arange(len(data) // SEGMENT + 2)) for (starts, _), order in zip(wanted, own, strict=True)]
@@ -143,11 +157,11 @@ def mapped(rows: DataFrame, work: Callable[..., dict[str, np.ndarray]], schema:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             number = np.asarray(batch.column("row"))
-            text, begin = batch.column("text"), 0
+            text, begin = batch.column("text").cast(pa.binary()), 0
             while begin < batch.num_rows:
                 data, end, size = [], begin, 0
                 while end < batch.num_rows and size < AT_ONCE:
-                    data.append(text[end].as_py().encode("utf-8", "replace"))
+                    data.append(text[end].as_py())
                     size += len(data[-1])
                     end += 1
                 flat, stops = np.frombuffer(b"".join(data), np.uint8), np.cumsum([len(d) for d in data])
