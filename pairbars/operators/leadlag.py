@@ -15,13 +15,18 @@ DIRECTIONS = {"a_leads_b": ("a_log_return", "b_log_return"), "b_leads_a": ("b_lo
 
 
 def lead_lag(df: DataFrame, max_lag: int = 12, keys: Sequence[str] = PAIR, directions: dict[str, tuple[str, str]] | None = None, pos: str | None = None) -> DataFrame:
-    """``direction``, ``lag``, ``correlation`` and ``n_rows``; all lags in one aggregate per key."""
+    """``direction``, ``lag``, ``correlation`` and ``n_rows``; all lags in one aggregate per key.
+
+    Opposite directions share the correlation at lag 0 to the last bit, so neither is the larger.
+    """
     directions = directions or DIRECTIONS
     lags = range(max_lag + 1)
     sides = sorted({c for d in directions.values() for c in d})
     narrow = df.select(*keys, "bar_ts", *sides, *([pos] if pos else []))
     rows = in_chunks(narrow, keys, lambda d, own: d.select("*", *[F.lead(c, k).over(by(own)).alias(f"{c}_{k}") for c in sides for k in lags]), ahead=max_lag, pos=pos)
-    wide = rows.groupBy(*keys).agg(F.count("*").alias("n_rows"), *[safe_corr(F.col(x), F.col(f"{y}_{k}")).alias(f"{d}_{k}") for d, (x, y) in directions.items() for k in lags])
+    # a covariance taken the other way round differs by rounding, so at lag 0 the sides come in order of name
+    ends = {(d, k): sorted(xy) if k == 0 else xy for d, xy in directions.items() for k in lags}
+    wide = rows.groupBy(*keys).agg(F.count("*").alias("n_rows"), *[safe_corr(F.col(x), F.col(f"{y}_{k}")).alias(f"{d}_{k}") for (d, k), (x, y) in ends.items()])
     cells = [F.struct(F.lit(d).alias("direction"), F.lit(k).alias("lag"), F.col(f"{d}_{k}").alias("correlation")) for d in directions for k in lags]
     return wide.select(*keys, "n_rows", F.inline(F.array(*cells)))
 

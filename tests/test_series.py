@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pairbars.operators import backtest, correlation, events, features, leadlag, stattests, walkforward
+from pairbars.operators import backtest, correlation, events, features, leadlag, stattests, summary, walkforward
 from pairbars.operators.chunks import rolling_apply
 
 T0 = datetime(2024, 1, 1)
@@ -87,6 +87,20 @@ def test_noise_and_nulls_have_no_lag(spark):
     assert set(values(flat, "corr_5")) == {None}
 
 
+def test_one_correlation_at_lag_0_makes_neither_direction_stronger(spark):
+    """Both have it, so a is not larger than b in any pair, whichever way the sums are rounded."""
+    rng, pairs, n = np.random.default_rng(4), 40, 120
+    a = rng.normal(size=pairs * n)
+    frame = pd.DataFrame({"pair_id": np.repeat([f"P{i:02}" for i in range(pairs)], n), "bar_ts": [T0 + timedelta(minutes=10 * i) for i in range(n)] * pairs, "a_log_return": a, "b_log_return": 0.8 * a + rng.normal(size=pairs * n)})
+    best = leadlag.best_lag(leadlag.lead_lag(spark.createDataFrame(frame)))
+    sides = [F.first(F.when(F.col("direction") == d, F.col("correlation")), ignorenulls=True).alias(c) for d, c in (("a_leads_b", "corr_ab"), ("b_leads_a", "corr_ba"))]
+    facts = best.groupBy("pair_id").agg(F.max("lag").alias("lag"), *sides)
+    assert [(r.lag, r.corr_ab - r.corr_ba) for r in facts.collect()] == [(0, 0.0)] * pairs
+    facts = facts.select("pair_id", "corr_ab", "corr_ba", *[F.lit(0.0).alias(c) for c in ("mean_corr", "pct_over_05", "z_std", "n_events", "half_life")], F.lit(False).alias("cointegrated"))
+    rules = summary.conclusions(facts, spark.createDataFrame([], "pair_id string, strategy string, net_return double, profit_factor double"))
+    assert [r.rule for r in rules.filter("rule like 'stronger%'").collect()] == ["stronger_b_to_a"] * pairs
+
+
 def _adf(x, constant=True):
     """The test restated with plain least squares on one array."""
     x, n = np.asarray(x, float), len(x)
